@@ -3,12 +3,24 @@
 from __future__ import annotations
 
 from ..session import table
-from . import canonical
+from . import canonical, leakage, tokenizer
 
 
 def p1_found(spark, d):
     return canonical.canonical_matches(table(spark, d, "combined_jobs"), table(spark, d, "canonical_values"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found,)}
+def p7_ids(spark, d):
+    return tokenizer.encode_corpus(table(spark, d, "documents"))
+
+
+def p8_found(spark, d):
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_overlaps(spark, d):
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p7_ids, p8_found, p8_overlaps)}
 SQL: dict[str, str] = {}
