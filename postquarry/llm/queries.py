@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import canonical, leakage, tokenizer
+from . import canonical, leakage, reading, tokenizer
 
 
 def p1_found(spark, d):
@@ -22,5 +22,13 @@ def p8_overlaps(spark, d):
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p7_ids, p8_found, p8_overlaps)}
+def p9_found(spark, d):
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "level_labels")).select("doc_id", "reading_level")
+
+
+def p9_grades(spark, d):
+    return reading.reading_grades(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p7_ids, p8_found, p8_overlaps, p9_found, p9_grades)}
 SQL: dict[str, str] = {}
