@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: (least length of the reference string, edits allowed from there on)
 EDITS = ((0, 0), (5, 1), (8, 2), (12, 3), (17, 4))
 #: Reference lists of up to so many strings are broadcast; longer ones are joined by shuffle.
@@ -192,6 +194,7 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     values are no values and left out.  With an empty reference list every value is reported with -1.
     """
     spread = values.where("value is not null").select("field", "value", F.explode(candidates(F.col("value"))).alias("text"))
+    spread = cut(spread)  # the readings of a value are made once
     found = closest_entries(spread.select("field", "text").distinct(), reference)
     scored = spread.join(found, ["field", "text"])
     best = scored.groupBy("field", "value").agg(F.min(F.struct("edits", (-F.length("text")).alias("l"), "ref_id")).alias("b"))
