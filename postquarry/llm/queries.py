@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 from ..session import table
-from . import canonical, leakage, reading, tokenizer
+from . import canonical, languages, leakage, reading, tokenizer
 
 
 def p1_found(spark, d):
     return canonical.canonical_matches(table(spark, d, "combined_jobs"), table(spark, d, "canonical_values"))
 
 
+def p2_found(spark, d):
+    return languages.mislabelled_segments(table(spark, d, "combined_jobs")).select("row_id", "field", "segment", "lang")
+
+
+def p2_segments(spark, d):
+    return languages.label_segments(table(spark, d, "combined_jobs"))
+
+
 def p7_ids(spark, d):
     return tokenizer.encode_corpus(table(spark, d, "documents"))
 
@@ -30,5 +38,5 @@ def p9_grades(spark, d):
     return reading.reading_grades(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p7_ids, p8_found, p8_overlaps, p9_found, p9_grades)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_segments, p7_ids, p8_found, p8_overlaps, p9_found, p9_grades)}
 SQL: dict[str, str] = {}
