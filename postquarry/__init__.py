@@ -1,0 +1,8 @@
+"""A Spark-first engine for job postings and texts about them."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers are sent whole, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
