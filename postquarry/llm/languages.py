@@ -305,10 +305,10 @@ def label_segments(df: DataFrame, key: str = "row_id", texts: tuple[str, ...] =
     for names, whole in ((texts, False), (wholes, True)):
         if names:
             machines[whole] = train([t for n in names for t in column(fields.index(n))], langs * len(names), whole)
-    shared = spark.sparkContext.broadcast(machines)
+    shared = spark.sparkContext.broadcast({whole: (m.weights, m.bias) for whole, m in machines.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label = {whole: Labeller(m) for whole, m in shared.value.items()}
+        label = {whole: Labeller(Machines(*m)) for whole, m in shared.value.items()}
         for big in batches:
             for k in range(0, big.num_rows, 5000):
                 b = big.slice(k, 5000)

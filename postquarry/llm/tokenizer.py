@@ -216,10 +216,12 @@ def encode_corpus(docs: DataFrame, text: str = "text", key: str = "doc_id", voca
     driver and sent to the executors (its size is that of the file).
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(PairTable(load_ranks(vocabulary)))
+    shared = spark.sparkContext.broadcast(vars(PairTable(load_ranks(vocabulary))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(shared.value)
+        table = PairTable.__new__(PairTable)
+        vars(table).update(shared.value)
+        encode = Encoder(table)
         for b in batches:
             for k in range(0, b.num_rows, 1000):
                 part = b.slice(k, 1000)
