@@ -65,16 +65,16 @@ def without_remarks(text: Column) -> Column:
     return t
 
 
-def edits(length: Column) -> Column:
+def edits(length: Column, allowed: tuple[tuple[int, int], ...] = EDITS) -> Column:
     """Edits allowed for a reference string of ``length``."""
-    k = F.lit(EDITS[0][1])
-    for least, n in EDITS[1:]:
+    k = F.lit(0)
+    for least, n in allowed:
         k = F.when(length >= least, n).otherwise(k)
     return k
 
 
-def _edits(length: int) -> int:
-    return [n for least, n in EDITS if length >= least][-1]
+def _edits(length: int, allowed: tuple[tuple[int, int], ...]) -> int:
+    return [0, *[n for least, n in allowed if length >= least]][-1]
 
 
 def _level_words() -> list[str]:
@@ -98,9 +98,7 @@ def level(text: Column) -> Column:
 
 
 def _near(word: Column, target: str) -> Column:
-    k = 1 if len(target) < 6 else 3
-    same_letters = F.array_sort(F.split(word, "")) == F.array(*[F.lit(c) for c in sorted(target)])
-    return (F.levenshtein(word, F.lit(target), k) >= 0) | ((F.length(word) == len(target)) & same_letters)
+    return F.levenshtein(word, F.lit(target), 2 if len(target) < 6 else 3) >= 0
 
 
 def candidates(text: Column) -> Column:
@@ -149,11 +147,11 @@ def reference_strings(reference: DataFrame) -> DataFrame:
     return turned.where("text <> ''").groupBy("field", "text").agg(best.alias("b")).select("field", "text", F.col("b.ref_id").alias("ref_id"))
 
 
-def _layout(spark, lengths: list[int]) -> DataFrame:
+def _layout(spark, lengths: list[int], allowed: tuple[tuple[int, int], ...]) -> DataFrame:
     """``m, l, i, at, n``: of a value of length m, the substrings (1-based at, n long) that may be segment i of a reference of length l."""
     rows = []
     for ref_len in lengths:
-        k = _edits(ref_len)
+        k = _edits(ref_len, allowed)
         cuts = [ref_len * i // (k + 1) for i in range(k + 2)]
         for m in range(max(1, ref_len - k), ref_len + k + 1):
             d = m - ref_len
@@ -166,8 +164,11 @@ def _layout(spark, lengths: list[int]) -> DataFrame:
     return spark.createDataFrame(rows, "m int, l int, i int, at int, n int")
 
 
-def closest_entries(strings: DataFrame, reference: DataFrame) -> DataFrame:
-    """``field, text, ref_id, edits`` for the distinct plain ``strings`` (``field, text``) that have an entry within reach."""
+def closest_entries(strings: DataFrame, reference: DataFrame, allowed: tuple[tuple[int, int], ...] = EDITS) -> DataFrame:
+    """``field, text, ref_id, edits`` for the distinct plain ``strings`` (``field, text``) that have an entry within reach.
+
+    ``allowed``: the edits from each length of the reference string on.
+    """
     spark = strings.sparkSession
     refs = reference_strings(reference)
     lengths = sorted(r["l"] for r in refs.select(F.length("text").alias("l")).distinct().collect())
@@ -175,14 +176,14 @@ def closest_entries(strings: DataFrame, reference: DataFrame) -> DataFrame:
         return strings.select("field", "text", F.lit(None).cast("bigint").alias("ref_id"), F.lit(None).cast("int").alias("edits")).where("false")
     small = refs.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     hint = F.broadcast if small else (lambda x: x)
-    segs = refs.withColumn("l", F.length("text")).withColumn("__k", edits(F.col("l"))).select(
+    segs = refs.withColumn("l", F.length("text")).withColumn("__k", edits(F.col("l"), allowed)).select(
         "field", F.col("text").alias("ref"), "ref_id", "l", F.col("__k").alias("k"), F.explode(F.sequence(F.lit(0), F.col("__k"))).alias("i")
     )
     segs = segs.withColumn("seg", F.expr("substring(ref, int(floor(l * i / (k + 1))) + 1, int(floor(l * (i + 1) / (k + 1))) - int(floor(l * i / (k + 1))))"))
     # the layout is as long as the reference strings are, whatever their number
-    probes = strings.withColumn("m", F.length("text")).join(F.broadcast(_layout(spark, lengths)), "m")
+    probes = strings.withColumn("m", F.length("text")).join(F.broadcast(_layout(spark, lengths, allowed)), "m")
     probes = probes.select("field", "text", "l", "i", F.expr("substring(text, at, n)").alias("seg"))
-    near = probes.join(hint(segs), ["field", "l", "i", "seg"]).withColumn("edits", F.levenshtein("text", "ref", 4)).where("edits >= 0 and edits <= k")
+    near = probes.join(hint(segs), ["field", "l", "i", "seg"]).withColumn("edits", F.levenshtein("text", "ref", max(n for _, n in allowed))).where("edits >= 0 and edits <= k")
     best = near.groupBy("field", "text").agg(F.min(F.struct("edits", "ref_id")).alias("b"))
     return best.select("field", "text", F.col("b.ref_id").alias("ref_id"), F.col("b.edits").alias("edits"))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import canonical, languages, leakage, reading, tokenizer
+from . import canonical, languages, leakage, linkage, reading, tokenizer
 
 
 def p1_found(spark, d):
@@ -18,6 +18,14 @@ def p2_segments(spark, d):
     return languages.label_segments(table(spark, d, "combined_jobs"))
 
 
+def p6_pairs(spark, d):
+    return linkage.linked_pairs(table(spark, d, "combined_jobs"), table(spark, d, "canonical_values"))
+
+
+def p6_found(spark, d):
+    return p6_pairs(spark, d).select("row_id_1", "row_id_2")
+
+
 def p7_ids(spark, d):
     return tokenizer.encode_corpus(table(spark, d, "documents"))
 
@@ -38,5 +46,5 @@ def p9_grades(spark, d):
     return reading.reading_grades(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_segments, p7_ids, p8_found, p8_overlaps, p9_found, p9_grades)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_segments, p6_found, p6_pairs, p7_ids, p8_found, p8_overlaps, p9_found, p9_grades)}
 SQL: dict[str, str] = {}
