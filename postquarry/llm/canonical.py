@@ -43,7 +43,8 @@ def plain(text: Column) -> Column:
     """Lower case without accents and look-alike letters; anything but letters and digits is one space; 'and' words are dropped."""
     t = F.lower(F.regexp_replace(text, r"[\p{Mn}\x{200B}-\x{200D}\x{FEFF}\x{AD}]", ""))
     t = F.translate(t, _LOOKALIKES[0] + _ACCENTS[0], _LOOKALIKES[1] + _ACCENTS[1])
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "ß", "ss"), "œ", "oe"), "æ", "ae")
+    for c, by in (("ß", "ss"), ("œ", "oe"), ("æ", "ae")):
+        t = F.replace(t, F.lit(c), F.lit(by))
     t = F.regexp_replace(t, r"(?<=\b\p{L})\.(?=\p{L}\b)", "")
     t = F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")
     t = F.regexp_replace(t, r"(?<= |^)(?:and|und|et|y|en de|e)(?= )", " ")
@@ -81,20 +82,29 @@ def _level_words() -> list[str]:
     return [w for words in LEVELS.values() for w in words.split()]
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def level(text: Column) -> Column:
     """senior, junior, lead or none: by the first or last words of a plain title, slips of the pen allowed."""
-    t = F.split(plain(without_remarks(text)), " ")
-    head, tail = F.element_at(t, 1), F.element_at(t, -1)
-    out = F.lit(None).cast("string")
-    for name, words in reversed(LEVELS.items()):
-        exact = F.arrays_overlap(t, F.array(*[F.lit(w) for w in words.split()]))
-        out = F.when(exact, name).otherwise(out)
-    near = F.lit(None).cast("string")
-    for name, words in reversed(LEVELS.items()):
-        for w in words.split():
-            if len(w) >= 4:
-                near = F.when(_near(head, w) | _near(tail, w), name).otherwise(near)
-    return F.coalesce(out, near, F.lit("none"))
+
+    def of(t: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, words in reversed(LEVELS.items()):
+            out = F.when(F.arrays_overlap(t, F.array(*[F.lit(w) for w in words.split()])), name).otherwise(out)
+        return F.coalesce(out, let(F.element_at(t, 1), near), let(F.element_at(t, -1), near), F.lit("none"))
+
+    def near(word: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, words in reversed(LEVELS.items()):
+            for w in words.split():
+                if len(w) >= 4:
+                    out = F.when(_near(word, w), name).otherwise(out)
+        return out
+
+    return F.coalesce(let(F.split(plain(without_remarks(text)), " "), of), F.lit("none"))
 
 
 def _near(word: Column, target: str) -> Column:
@@ -103,17 +113,12 @@ def _near(word: Column, target: str) -> Column:
 
 def candidates(text: Column) -> Column:
     """The plain strings that may be the entry itself: the whole, without remarks, and its parts around separators."""
-    t = without_remarks(text)
     sep = r"\s[-–—|/]\s|\s?[@>|]\s?|\s?,\s|\s?[;:]\s"
-    no_brackets = F.regexp_replace(t, r"[(\[][^)\]]*[)\]]", " ")
-    head = F.regexp_extract(t, rf"^(.*)(?:{sep})", 1)
-    tail = F.regexp_extract(t, rf"(?:{sep})(.*?)$", 1)
-    words = r"(?:" + "|".join(sorted(_level_words(), key=len, reverse=True)) + r")"
-    raw = F.transform(F.array(t, no_brackets, head, tail), plain)
-    strip = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, rf"^{words} ", ""), rf" {words}$", ""))
-    own = F.transform(raw, strip)
-    first = lambda x: F.substring_index(x, " ", 1)
-    last = lambda x: F.substring_index(x, " ", -1)
+    level_words = r"(?:" + "|".join(sorted(_level_words(), key=len, reverse=True)) + r")"
+
+    def readings(t: Column) -> Column:
+        no_brackets = F.regexp_replace(t, r"[(\[][^)\]]*[)\]]", " ")
+        return F.array_distinct(F.array(t, no_brackets, F.regexp_extract(t, rf"^(.*)(?:{sep})", 1), F.regexp_extract(t, rf"(?:{sep})(.*?)$", 1)))
 
     def like_level(w: Column) -> Column:
         hit = F.lit(False)
@@ -122,10 +127,13 @@ def candidates(text: Column) -> Column:
                 hit = hit | _near(w, target)
         return hit
 
-    without_first = F.transform(own, lambda x: F.when(x.contains(" ") & like_level(first(x)), F.regexp_replace(x, r"^\S+ ", "")))
-    without_last = F.transform(own, lambda x: F.when(x.contains(" ") & like_level(last(x)), F.regexp_replace(x, r" \S+$", "")))
-    every = F.array_distinct(F.concat(own, without_first, without_last))
-    return F.filter(every, lambda x: x.isNotNull() & (x != ""))
+    # a level word at either end is dropped, also a misspelt one
+    ended = lambda x: F.regexp_replace(F.regexp_replace(x, rf"^{level_words} ", ""), rf" {level_words}$", "")
+    first = lambda x: F.when(like_level(F.substring_index(x, " ", 1)), F.regexp_replace(x, r"^\S+ ", ""))
+    last = lambda x: F.when(like_level(F.substring_index(x, " ", -1)), F.regexp_replace(x, r" \S+$", ""))
+    texts = F.array_distinct(F.transform(F.transform(let(without_remarks(text), readings), plain), ended))
+    every = F.flatten(F.transform(F.filter(texts, lambda x: x != ""), lambda x: F.when(x.contains(" "), F.array(x, first(x), last(x))).otherwise(F.array(x))))
+    return F.array_distinct(F.filter(every, lambda x: x.isNotNull() & (x != "")))
 
 
 def reference_strings(reference: DataFrame) -> DataFrame:
@@ -194,13 +202,13 @@ def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     Of several readings of a value the one with the fewest edits counts, then the longest.  Null and blank
     values are no values and left out.  With an empty reference list every value is reported with -1.
     """
-    spread = values.where("value is not null").select("field", "value", F.explode(candidates(F.col("value"))).alias("text"))
+    spread = values.where("value is not null").select("field", "value", F.explode_outer(candidates(F.col("value"))).alias("text"))
     spread = cut(spread)  # the readings of a value are made once
-    found = closest_entries(spread.select("field", "text").distinct(), reference)
+    found = closest_entries(spread.select("field", "text").where("text is not null").distinct(), reference)
     scored = spread.join(found, ["field", "text"])
     best = scored.groupBy("field", "value").agg(F.min(F.struct("edits", (-F.length("text")).alias("l"), "ref_id")).alias("b"))
-    matched = best.select("field", "value", F.col("b.ref_id").alias("ref_id"), F.col("b.edits").alias("edits"))
-    rest = values.where("value is not null").join(matched, ["field", "value"], "left_anti")
+    matched = cut(best.select("field", "value", F.col("b.ref_id").alias("ref_id"), F.col("b.edits").alias("edits")))
+    rest = spread.select("field", "value").distinct().join(matched, ["field", "value"], "left_anti")
     return matched.unionByName(rest.select("field", "value", F.lit(-1).cast("bigint").alias("ref_id"), F.lit(None).cast("int").alias("edits")))
 
 

@@ -50,12 +50,12 @@ _PLACE_NOISE = (
 
 
 def employer(company: Column) -> tuple[Column, Column]:
-    """The plain first word of an employer's name without its legal form, and the plain rest ('' if none)."""
+    """The plain first word of an employer's name without its legal form, and the plain second word ('' if none)."""
     t = F.regexp_replace(company, r"(?<=\p{Ll})(?=\p{Lu})", " ")
     t = canonical.plain(t)
     for _ in range(2):
         t = F.trim(F.regexp_replace(t, rf" (?:{LEGAL})$", ""))
-    return F.substring_index(t, " ", 1), F.regexp_replace(t, r"^\S+ ?", "")
+    return F.substring_index(t, " ", 1), F.regexp_extract(t, r"^\S+ (\S+)", 1)
 
 
 def place(location: Column) -> Column:
@@ -82,14 +82,17 @@ def _titles(jobs: DataFrame, reference: DataFrame) -> DataFrame:
     """``title, job, level, team`` of distinct titles; job is the entry of the reference list, else the plain title."""
     titles = jobs.select("title").where("title is not null").distinct()
     mapped = canonical.map_values(titles.select(F.lit("title").alias("field"), F.col("title").alias("value")), reference)
-    words = reference.where("field = 'title'").select(F.explode(F.concat(F.array("label"), F.coalesce("alt_labels", F.array().cast("array<string>")))).alias("n")).select(F.explode(F.split(canonical.plain(F.col("n")), " ")).alias("w"))
-    vocabulary = [r["w"] for r in words.where("length(w) > 3").distinct().orderBy("w").limit(2000).collect()]
-    t = canonical.without_remarks(F.col("value"))
-    tail = canonical.plain(F.regexp_extract(t, r"(?:\s?[,@]\s?|\s[-–—|]\s)\s*(\p{L}{4,})\s*$", 1))
-    known = F.exists(F.array(*[F.lit(w) for w in vocabulary]), lambda w: F.levenshtein(w, tail, 2) >= 0) if vocabulary else F.lit(False)
-    team = F.when(tail == "", "").when(known, "").otherwise(tail)
-    core = canonical.plain(F.regexp_replace(t, r"(?:\s?[,@]\s?|\s[-–—|]\s)\s*\p{L}{4,}\s*$", ""))
-    return mapped.select(F.col("value").alias("title"), F.when(F.col("ref_id") >= 0, F.concat(F.lit("#"), F.col("ref_id"))).otherwise(core).alias("job"), canonical.level(F.col("value")).alias("level"), team.alias("team"))
+    # what stands behind a separator at the end is a team, unless it is a word of the reference list
+    words = reference.where("field = 'title'").select(F.explode(F.concat(F.array("label"), F.coalesce("alt_labels", F.array().cast("array<string>")))).alias("n"))
+    words = words.select(F.explode(F.split(canonical.plain(F.col("n")), " ")).alias("label")).where("length(label) > 3").distinct()
+    words = words.select(F.lit("word").alias("field"), F.crc32("label").alias("ref_id"), "label", F.lit(None).cast("array<string>").alias("alt_labels"))
+    behind = r"(?:\s?[,@]\s?|\s[-–—|]\s)\s*(\p{L}{4,})\s*$"
+    parts = lambda t: F.struct(canonical.plain(F.regexp_extract(t, behind, 1)).alias("team"), canonical.plain(F.regexp_replace(t, behind, "")).alias("core"))
+    split = cut(mapped.select("*", canonical.level(F.col("value")).alias("level"), canonical.let(canonical.without_remarks(F.col("value")), parts).alias("p")))
+    split = split.select("value", "ref_id", "level", "p.team", "p.core")
+    known = canonical.closest_entries(split.select(F.lit("word").alias("field"), F.col("team").alias("text")).where("text <> ''").distinct(), words, ((4, 2),)).select(F.col("text").alias("team"), F.lit(True).alias("known"))
+    job = F.when(F.col("ref_id") >= 0, F.concat(F.lit("#"), F.col("ref_id"))).otherwise(F.col("core"))
+    return split.join(known, "team", "left").select(F.col("value").alias("title"), job.alias("job"), "level", F.when(F.col("known"), "").otherwise(F.col("team")).alias("team"))
 
 
 def comparable(jobs: DataFrame, reference: DataFrame) -> DataFrame:
