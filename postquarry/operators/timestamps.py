@@ -121,8 +121,10 @@ def normalise_timestamps(df: DataFrame, text: str, sources: DataFrame, source: s
         .groupBy(F.col("source").alias("__source"))
         .agg(F.min("home_zone").alias("__home"), F.min("numeric_order").alias("__order"))
     )
-    base = df.withColumn("__text", tidy(F.col(text)))
-    out = base.join(look, base[source] == look["__source"], "left")
+    # the row travels as one struct, so that no name in it can clash with one in here
+    keep = [c for c in df.columns if c not in ("posted_utc", "pattern")]
+    base = df.select(F.struct(*[df[c] for c in keep]).alias("__row"), df[text].cast("string").alias("__raw"), tidy(df[text].cast("string")).alias("__text"), df[source].cast("string").alias("__from"))
+    out = base.join(look, F.col("__from") == F.col("__source"), "left")
     t = F.col("__text")
     mdy = F.coalesce(F.col("__order") == "MDY", F.lit(False))
     epoch = t.rlike(r"^\d{10}(?:\d{3})?$")
@@ -167,9 +169,8 @@ def normalise_timestamps(df: DataFrame, text: str, sources: DataFrame, source: s
         F.when(t.rlike(r"^\d{13}$"), F.expr("timestamp_ntz'1970-01-01' + make_dt_interval(0, 0, 0, cast(substring(__text, 1, 10) as decimal(18,6)))")),
     )
     shown = F.concat(F.translate(F.substring(moment.cast("string"), 1, 19), " ", "T"), F.lit("Z"))
-    shown = F.when(F.col(text).isNull() | F.col(text).rlike(BLANK), F.lit(None)).otherwise(F.coalesce(shown, F.lit(INVALID)))
-    keep = [c for c in df.columns if c not in ("posted_utc", "pattern")]
-    return out.select(*[df[c] for c in keep], shown.alias("posted_utc"), name.alias("pattern"))
+    shown = F.when(F.col("__raw").isNull() | F.col("__raw").rlike(BLANK), F.lit(None)).otherwise(F.coalesce(shown, F.lit(INVALID)))
+    return out.select(*[F.col("__row").getField(c).alias(c) for c in keep], shown.alias("posted_utc"), name.alias("pattern"))
 
 
 def odd_timestamps(jobs: DataFrame, sources: DataFrame) -> DataFrame:
