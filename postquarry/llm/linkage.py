@@ -22,8 +22,10 @@ from . import canonical
 
 #: Posterior from which a pair is a match.
 CONFIDENT = 0.5
-#: Edits between two spellings of an employer's name.
+#: Edits between two spellings of a second name or a team.
 NAME_EDITS = 2
+#: How often matches have different names or teams: by definition never.
+NEVER = 0.001
 #: Edits between a city's name and a slip of it, by length.
 CITY_EDITS = ((4, 2), (10, 3))
 
@@ -109,6 +111,15 @@ def _near(a: Column, b: Column, k: int) -> Column:
     return F.levenshtein(a, b, k) >= 0
 
 
+def _slip(a: Column, b: Column) -> Column:
+    """Whether two names differ by one slip of the pen: one edit, or two neighbouring letters changed over.
+
+    Invented names lie close together once there are very many of them; a second edit would bring in strangers.
+    """
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    return _near(a, b, 1) | (_near(a, b, 2) & (F.length(a) == F.length(b)) & (letters(a) == letters(b)))
+
+
 def _pattern(a: str, b: str) -> list[Column]:
     """Agreement levels of a pair: 0 differ, 1 one is missing, 2 nearly, 3 equal."""
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
@@ -116,7 +127,7 @@ def _pattern(a: str, b: str) -> list[Column]:
     def either(c: str) -> Column:
         return F.when(x(c) == y(c), F.when(x(c) == "", 1).otherwise(3)).when((x(c) == "") | (y(c) == ""), 1).when(_near(x(c), y(c), NAME_EDITS), 2).otherwise(0)
 
-    name = F.when(x("name") == y("name"), 3).when(_near(x("name"), y("name"), NAME_EDITS), 2).otherwise(0)
+    name = F.when(x("name") == y("name"), 3).when(_slip(x("name"), y("name")), 2).otherwise(0)
     return [name.alias("c_name"), either("second").alias("c_second"), F.when((x("city") == "") | (y("city") == ""), 1).otherwise(3).alias("c_city"), either("team").alias("c_team")]
 
 
@@ -166,34 +177,42 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("row_id_1"), F.greatest("x", "y").alias("row_id_2"), *_LEVELS)
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> dict[tuple[int, ...], float]:
-    """Posterior match probability of each agreement pattern, by expectation-maximisation over the pattern counts."""
+def chance(rows: DataFrame, column: str) -> float:
+    """How likely two rows that have a value in ``column`` have the same one by chance."""
+    got = rows.where(F.col(column) != "").groupBy(column).count().agg(F.sum("count").alias("n"), F.sum(F.col("count").cast("double") ** 2).alias("s")).first()
+    return min(max(got["s"] / got["n"] ** 2, 1e-6), 0.9) if got["n"] else 0.5
+
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]], by_chance: dict[int, float], rounds: int = 200) -> dict[tuple[int, ...], float]:
+    """Posterior match probability of each agreement pattern, by expectation-maximisation over the pattern counts.
+
+    For the attributes in ``by_chance`` the levels of non-matches are known, from how often values agree by chance; those of
+    matches, and both of the other attributes, are estimated. A missing value says nothing for or against.
+    """
     if not patterns:
         return {}
     levels = np.array([p for p, _ in patterns])
     n = np.array([c for _, c in patterns], float)
-    width = 4
-    # start: agreement is likely among matches; a missing value says nothing
-    m = np.tile([0.02, 0.3, 0.18, 0.5], (levels.shape[1], 1))
-    u = np.tile([0.4, 0.3, 0.1, 0.2], (levels.shape[1], 1))
+    cols, said = np.arange(levels.shape[1]), levels != 1
+    m = np.tile([0.05, 1.0, 0.15, 0.8], (len(cols), 1))
+    u = np.tile([0.6, 1.0, 0.1, 0.3], (len(cols), 1))
+    for c, p in by_chance.items():
+        u[c] = [(1 - p) * 0.99, 1.0, (1 - p) * 0.01, p]
     share = 0.5
-    cols = np.arange(levels.shape[1])
     for _ in range(rounds):
         a = share * np.prod(m[cols, levels], axis=1)
         b = (1 - share) * np.prod(u[cols, levels], axis=1)
         post = a / np.maximum(a + b, 1e-300)
-        share = float(np.clip((n * post).sum() / n.sum(), 1e-6, 1 - 1e-6))
+        share = float(np.clip((n * post).sum() / n.sum(), 1e-4, 1 - 1e-4))
         for c in cols:
-            for k in range(width):
-                at = levels[:, c] == k
-                m[c, k] = ((n * post)[at].sum() + 0.5) / ((n * post).sum() + 2)
-                u[c, k] = ((n * (1 - post))[at].sum() + 0.5) / ((n * (1 - post)).sum() + 2)
-        # whether a value is missing doesn't depend on the pair being a match
-        missing = np.array([n[levels[:, c] == 1].sum() / n.sum() for c in cols])
-        for t in (m, u):
-            rest = t[:, [0, 2, 3]].sum(axis=1)
-            t[:, [0, 2, 3]] *= ((1 - missing) / np.maximum(rest, 1e-12))[:, None]
-            t[:, 1] = np.maximum(missing, 1e-6)
+            for t, w in ((m, post), (u, 1 - post)):
+                if t is u and c in by_chance:
+                    continue
+                total = (n * w)[said[:, c]].sum()
+                for k in (0, 2, 3):
+                    t[c, k] = ((n * w)[levels[:, c] == k].sum() + 0.5) / (total + 1.5)
+            if c in by_chance:
+                m[c, 0] = NEVER
     return {tuple(int(x) for x in p): float(q) for p, q in zip(levels, post)}
 
 
@@ -207,7 +226,7 @@ def linked_pairs(jobs: DataFrame, reference: DataFrame, confident: float = CONFI
     rows = cut(comparable(jobs, reference))
     pairs = cut(candidate_pairs(rows))
     counts = pairs.groupBy(*_LEVELS).count().collect()  # as many rows as there are patterns: 256 at most
-    posterior = estimate([(tuple(r[c] for c in _LEVELS), r["count"]) for r in counts])
+    posterior = estimate([(tuple(r[c] for c in _LEVELS), r["count"]) for r in counts], {0: chance(rows, "name"), 1: chance(rows, "second"), 3: chance(rows, "team")})
     confidence = F.lit(0.0)
     for p, q in posterior.items():
         ruled_out = p[0] == 0 or p[1] == 0 or p[3] == 0

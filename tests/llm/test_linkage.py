@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,9 +20,9 @@ def refs(spark):
 
 
 def test_pairs(spark, refs):
-    many = []
+    many, rnd = [], random.Random(9)
     for k in range(60):  # enough of everything to estimate from
-        name = f"{'bdfgklmnprstvz'[k % 14]}o{'bdfgklmnprstvz'[k // 14]}ike{'aeiou'[k % 5]}ta"
+        name = "".join(rnd.choice("bdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(5))
         for s in "AB":
             many.append((1000 + 2 * k + (s == "B"), s, "Payments Engineer", f"{name} Works", "Porto, PT"))
         if k < 8:
@@ -42,5 +44,7 @@ def test_names_and_places(spark):
 
 
 def test_estimate():
-    post = K.estimate([((3, 3, 3, 1), 900), ((0, 0, 3, 1), 500), ((3, 0, 3, 1), 100), ((2, 3, 3, 1), 40)])
-    assert post[(3, 3, 3, 1)] > 0.9 and post[(2, 3, 3, 1)] > 0.5 and post[(0, 0, 3, 1)] < 0.1 and K.estimate([]) == {}
+    known = {0: 0.02, 1: 0.12, 3: 0.01}
+    post = K.estimate([((3, 3, 3, 1), 900), ((0, 0, 3, 1), 500), ((3, 0, 3, 1), 100), ((2, 3, 3, 1), 40), ((3, 1, 3, 1), 50)], known)
+    assert post[(3, 3, 3, 1)] > 0.9 and post[(2, 3, 3, 1)] > 0.5 and post[(3, 1, 3, 1)] > 0.5 and post[(3, 0, 3, 1)] < 0.3 and post[(0, 0, 3, 1)] < 0.1
+    assert K.estimate([((3, 3, 3, 1), 9)], known)[(3, 3, 3, 1)] > 0.5 and K.estimate([], known) == {}
