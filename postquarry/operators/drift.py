@@ -20,8 +20,9 @@ from ..session import cut
 
 #: Share of aligned, non-null value pairs that must agree for a rename.
 AGREE = 0.6
-#: The same for fields with two values or fewer, where agreement comes easily.
-AGREE_FLAGS = 0.95
+#: The same for fields with two values or fewer, where agreement comes easily: it must also be far above chance, or the names alike.
+AGREE_FLAGS = 0.85
+ABOVE_CHANCE, ALIKE = 0.6, 0.4
 #: Most distinct field names of all feeds together that the unified table is built for.
 MAX_NAMES = 5000
 
@@ -42,10 +43,12 @@ def _kind(schema: Column) -> Column:
 
 
 def plain_value(text: Column, kind: Column) -> Column:
-    """A value in one dress whatever its type: lists joined, one-field objects unwrapped, numbers bare, flags as true/false, days as dates."""
-    t = F.when(kind == "object", F.regexp_replace(F.regexp_replace(text, r'^\{"[^"]*":"?', ""), r'"?\}$', "")).otherwise(text)
+    """A value in one dress whatever its type: lists joined, objects without their keys, numbers bare, flags as true/false, days as dates."""
+    t = F.when(kind == "object", F.regexp_replace(F.regexp_replace(text, r'"[^"]*":', ""), r'[{}\[\]"]', "")).otherwise(text)
     t = F.when(kind == "array", F.regexp_replace(F.regexp_replace(t, r'^\["?|"?\]$', ""), r'"?,"?', "; ")).otherwise(t)
     t = F.lower(F.trim(F.regexp_replace(F.regexp_replace(t, r"[;,] ?", "; "), r"\s+", " ")))
+    # parts of short values in one order
+    t = F.when(t.contains("; ") & (F.length(t) < 200), F.array_join(F.array_sort(F.split(t, "; ")), "; ")).otherwise(t)
     return F.when(t.isin("true", "yes", "y", "1"), "true").when(t.isin("false", "no", "n", "0"), "false").otherwise(t)
 
 
@@ -136,6 +139,8 @@ def _renames(values: DataFrame, diff: DataFrame) -> DataFrame:
     votes = shared.groupBy(*step, "new_r", "old_r").agg(F.count("*").alias("__votes"))
     best_new = Window.partitionBy(*step, "new_r").orderBy(F.desc("__votes"), "old_r")
     best_old = Window.partitionBy(*step, "old_r").orderBy(F.desc("__votes"), "new_r")
+    # records that share little beside the best of their file are strangers with a word in common
+    votes = votes.withColumn("__most", F.max("__votes").over(Window.partitionBy(*step))).where("__votes * 3 >= __most")
     pairs = votes.withColumn("__a", F.row_number().over(best_new)).where("__a = 1").withColumn("__b", F.row_number().over(best_old)).where("__b = 1")
     pairs = pairs.select(*step, "new_r", "old_r")
     a = old.join(gone.withColumnRenamed("gone", "field"), [*step, "field"]).select(*step, F.col("record_id").alias("old_r"), F.col("field").alias("gone"), F.col("plain").alias("was"))
@@ -144,13 +149,15 @@ def _renames(values: DataFrame, diff: DataFrame) -> DataFrame:
         pairs.join(a, [*step, "old_r"])
         .join(b, [*step, "new_r"])
         .groupBy(*step, "gone", "came")
-        .agg(F.count("*").alias("n"), F.avg((F.col("was") == F.col("is")).cast("double")).alias("share"), F.count_distinct("was").alias("kinds"))
+        .agg(F.count("*").alias("n"), F.avg((F.col("was") == F.col("is")).cast("double")).alias("share"), F.count_distinct("was").alias("kinds"), F.avg((F.col("was") == "true").cast("double")).alias("p"), F.avg((F.col("is") == "true").cast("double")).alias("q"))
     )
+    by_chance = F.col("p") * F.col("q") + (1 - F.col("p")) * (1 - F.col("q"))
+    above = F.when(by_chance < 1, (F.col("share") - by_chance) / (1 - by_chance)).otherwise(0.0)
     alike = 1 - F.levenshtein(F.lower("gone"), F.lower("came")) / F.greatest(F.length("gone"), F.length("came"))
     held = held.withColumn("alike", alike).where(
         ((F.col("kinds") > 2) & (F.col("share") >= AGREE))
-        | ((F.col("kinds") == 2) & (F.col("share") >= AGREE_FLAGS))
-        | ((F.col("kinds") == 1) & (F.col("share") >= AGREE_FLAGS) & (F.col("alike") >= 0.4))
+        | ((F.col("kinds") == 2) & (F.col("share") >= AGREE_FLAGS) & ((above >= ABOVE_CHANCE) | (F.col("alike") >= ALIKE)))
+        | ((F.col("kinds") == 1) & (F.col("share") >= AGREE_FLAGS) & (F.col("alike") >= ALIKE))
     )
     rank = [F.desc("share"), F.desc("n"), F.desc("alike")]
     for_gone = Window.partitionBy(*step, "gone").orderBy(*rank, "came")
