@@ -140,7 +140,8 @@ def _renames(values: DataFrame, diff: DataFrame) -> DataFrame:
     best_new = Window.partitionBy(*step, "new_r").orderBy(F.desc("__votes"), "old_r")
     best_old = Window.partitionBy(*step, "old_r").orderBy(F.desc("__votes"), "new_r")
     # records that share little beside the best of their file are strangers with a word in common
-    votes = votes.withColumn("__most", F.max("__votes").over(Window.partitionBy(*step))).where("__votes * 3 >= __most")
+    most = votes.groupBy(*step).agg(F.max("__votes").alias("__most"))
+    votes = votes.join(most, step).where("__votes * 3 >= __most").drop("__most")
     pairs = votes.withColumn("__a", F.row_number().over(best_new)).where("__a = 1").withColumn("__b", F.row_number().over(best_old)).where("__b = 1")
     pairs = pairs.select(*step, "new_r", "old_r")
     a = old.join(gone.withColumnRenamed("gone", "field"), [*step, "field"]).select(*step, F.col("record_id").alias("old_r"), F.col("field").alias("gone"), F.col("plain").alias("was"))

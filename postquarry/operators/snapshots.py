@@ -18,7 +18,7 @@ from ..session import cut
 
 #: Rows of a chunk, on average.
 CHUNK_ROWS = 64
-#: Shards by hash of the key. A shard of a snapshot is sorted in one task; at 100 TB raise it.
+#: Shards by hash of the key, at least; a shard of a snapshot is sorted in one task.
 SHARDS = 512
 
 
@@ -58,7 +58,7 @@ def snapshot_changes(
     ignore: tuple[str, ...] = ("loaded_at",),
     defaults: dict[str, object] | None = None,
     chunk_rows: int = CHUNK_ROWS,
-    shards: int = SHARDS,
+    shards: int = 0,
 ) -> DataFrame:
     """``when`` (later snapshot, text), ``key``, ``change`` (added, removed, changed) between consecutive snapshots.
 
@@ -67,6 +67,8 @@ def snapshot_changes(
     to no record and are left out.  The first snapshot has no changes.  An empty table, or one snapshot,
     gives no rows.  Extra columns are compared too, whatever their names.
     """
+    # more shards where the session is set up for more data; all snapshots of a run share the number
+    shards = shards or max(SHARDS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     skip = {when, key, order, *ignore}
     rows = df.select(
         df[when].cast("date").alias("__at"), plain_id(df[key].cast("string")).alias("__key"), df[order].alias("__order"),

@@ -99,10 +99,10 @@ def category_counts_all(spark, d):
     return analytics.category_counts(jobs(spark, d))
 
 
-@query("""SELECT user_id::varchar AS user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3 = 0 DESC, ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
+@query("""SELECT user_id::varchar AS user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts >= TIMESTAMP '2024-01-15' DESC, ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
 def upsert_keep_last(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", "event_type", "ts")
-    old, new = e.where("event_id % 3 <> 0"), e.where("event_id % 3 = 0")
+    old, new = e.where("ts < '2024-01-15'"), e.where("ts >= '2024-01-15'")
     return tables.upsert(old, new, "user_id", F.col("ts"), F.col("event_id")).select("user_id", "event_id", "event_type")
 
 
@@ -218,9 +218,9 @@ _DATE_A = "try_strptime(regexp_replace(posting_date, '^Posted ', ''), ['%B %d, %
 _DATE_B = "try_strptime(regexp_replace({c}, '^Posted ', ''), ['%B %d, %Y', '%b %d, %Y', '%Y-%m-%d', '%m/%d/%Y'])::date"
 
 
-@query(f"SELECT row_id, CASE WHEN posting_date = trim(posting_date) THEN {_DATE_A}::varchar END AS day FROM combined_jobs WHERE posting_date ~ '^(Posted )?[A-Za-z0-9, ]*$'")
+@query(f"SELECT row_id, CASE WHEN posting_date = trim(posting_date) THEN {_DATE_A}::varchar END AS day FROM combined_jobs")
 def date_parse_a(spark, d):
-    return table(spark, d, "combined_jobs").where(r"posting_date rlike '^(Posted )?[A-Za-z0-9, ]*$'").select("row_id", X.parse_date(F.col("posting_date"), X.DATES_A).cast("string").alias("day"))
+    return table(spark, d, "combined_jobs").select("row_id", X.parse_date(F.col("posting_date"), X.DATES_A).cast("string").alias("day"))
 
 
 @query("SELECT load_seq, " + _DATE_B.format(c="posted_date") + "::varchar AS day, coalesce(strftime(" + _DATE_B.format(c="posted_date") + ", '%d %b, %Y'), nullif(posted_date, ''), 'N/A') AS shown FROM amazon_api_jobs")
@@ -345,14 +345,18 @@ def parse_sections(spark, d):
 
 
 def _label_sql(words: dict[str, str]) -> str:
-    return "CASE " + " ".join(
-        f"WHEN regexp_matches(line, '{'^(?:' + w + ')' + chr(92) + 'b' if k == 'responsibilities' else chr(92) + 'b(?:' + w + ')' + chr(92) + 'b'}', 'i') THEN '{k}'" for k, w in ((k, w.replace("'", "''")) for k, w in words.items())
-    ) + " END"
+    edge = "[^\\p{L}\\p{N}_]"
 
+    def one(k: str, w: str) -> str:
+        before = "^" if k == "responsibilities" else f"(?:^|{edge})"
+        return f"WHEN regexp_matches(line, '{before}(?:{w})(?:$|{edge})', 'i') THEN '{k}'"
 
-@query(f"""SELECT label, count(*) AS n FROM (SELECT {_label_sql(sections.LINE_WORDS)} AS label FROM (SELECT unnest(regexp_split_to_array(text, '\\r?\\n|\\. ')) AS line FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*'))) GROUP BY 1""")
+    return "CASE " + " ".join(one(k, w.replace("'", "''")) for k, w in words.items()) + " END"
+
+
+@query(f"""SELECT label, count(*) AS n FROM (SELECT {_label_sql(sections.LINE_WORDS)} AS label FROM (SELECT unnest(regexp_split_to_array(text, '\r?\n|\. ')) AS line FROM documents)) GROUP BY 1""")
 def fallback_lines(spark, d):
-    lines = table(spark, d, "documents").where(r"text rlike '^[\\x00-\\x7f]*$'").select(F.explode(F.split("text", r"\r?\n|\. ")).alias("line"))
+    lines = table(spark, d, "documents").select(F.explode(F.split("text", r"\r?\n|\. ")).alias("line"))
     return lines.groupBy(sections.line_label(F.col("line")).alias("label")).agg(F.count("*").alias("n"))
 
 
@@ -389,11 +393,12 @@ def page_repeats(spark, d):
     return quality.page_repeats(table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "user_id"), "day", "user_id")
 
 
-@query("""WITH e AS (SELECT ts::date::varchar AS day, CASE event_id % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'refresh' WHEN 2 THEN 'skip' ELSE 'error' END AS o FROM events),
+@query("""WITH e AS (SELECT ts::date::varchar AS day, CASE WHEN value < 10 THEN 'new' WHEN value < 40 THEN 'refresh' WHEN value < 70 THEN 'skip' ELSE 'error' END AS o FROM events),
 c AS (SELECT day, count(*) FILTER (o = 'new') AS "new", count(*) FILTER (o = 'refresh') AS refresh, count(*) FILTER (o = 'skip') AS skip, count(*) FILTER (o = 'error') AS error, count(*) AS t FROM e GROUP BY 1)
 SELECT * EXCLUDE (t), (sum(t) OVER (ORDER BY day))::bigint AS seen_total FROM c""")
 def crawl_counts(spark, d):
-    kind = F.element_at(F.array(*[F.lit(k) for k in ("new", "refresh", "skip", "error")]), (F.col("event_id") % 4).cast("int") + 1)
+    v = F.col("value")
+    kind = F.when(v < 10, "new").when(v < 40, "refresh").when(v < 70, "skip").otherwise("error")
     return quality.crawl_counts(table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), kind.alias("outcome")), "day", "outcome")
 
 

@@ -73,6 +73,13 @@ def test_qualifications(spark):
     assert one(spark, markup.visible_items(F.col("a")), a="&lt;li&gt;Go&lt;/li&gt;&lt;li&gt;n/a&lt;/li&gt;&lt;li&gt;https://x.y&lt;/li&gt;<p>- Rust.</p>") == ["Go", "Rust"]
 
 
+def test_pages(spark):
+    page = '<div data-job-id="7"><h3>A &amp; <b>B</b></h3><a href="/x">l</a></div><li class="t" data-job-id="8">just  text</li>'
+    assert [tuple(t) for t in one(spark, markup.tiles(F.col("a")), a=page)] == [("7", "A & B", "/x"), ("8", "just text", None)]
+    assert one(spark, markup.after_heading(F.col("a"), "BASIC QUALIFICATIONS"), a="<h2>Description</h2><p>x</p><h2 class='q'>Basic qualifications</h2>\n<p>A<br>B</p>") == "A\nB"
+    assert one(spark, markup.tiles(F.col("a")), a="none") == []
+
+
 def test_skills(spark):
     df = spark.createDataFrame([("c1", "A<br>B", "A"), ("c1", "A", None), (None, "B", "")], "job_category string, b string, p string")
     got = {tuple(r) for r in analytics.skill_counts(df, markup.qualifications(F.col("b")), markup.qualifications(F.col("p")), "job_category").collect()}
