@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 #: (least length of the reference string, edits allowed from there on)
-EDITS = ((0, 0), (5, 1), (8, 2), (12, 3), (17, 4))
+EDITS = ((0, 0), (5, 1), (8, 2), (12, 3), (15, 4))
 #: Reference lists of up to so many strings are broadcast; longer ones are joined by shuffle.
 MAX_BROADCAST = 60_000
 
@@ -47,7 +47,7 @@ def plain(text: Column) -> Column:
         t = F.replace(t, F.lit(c), F.lit(by))
     t = F.regexp_replace(t, r"(?<=\b\p{L})\.(?=\p{L}\b)", "")
     t = F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")
-    t = F.regexp_replace(t, r"(?<= |^)(?:and|und|et|y|en de|e)(?= )", " ")
+    t = F.regexp_replace(t, r"(?<= |^)(?:and|und)(?= )", " ")
     return F.trim(F.regexp_replace(t, r" +", " "))
 
 

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .words import slices
+
 FAMILIES = {"germanic": ("en", "de", "nl"), "romance": ("fr", "es", "it", "pt")}
 LANGS = tuple(x for langs in FAMILIES.values() for x in langs)
 PAIRS = tuple(p for langs in FAMILIES.values() for p in itertools.combinations(langs, 2))
@@ -310,8 +312,7 @@ def label_segments(df: DataFrame, key: str = "row_id", texts: tuple[str, ...] =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = {whole: Labeller(Machines(*m)) for whole, m in shared.value.items()}
         for big in batches:
-            for k in range(0, big.num_rows, 5000):
-                b = big.slice(k, 5000)
+            for b in slices(big, 5000):
                 keys, said, opening = b.column(0), b.column(1), {}
                 for c, name in enumerate(fields, 2):
                     d = label[name in wholes](b.column(c).to_pylist(), whole=name in wholes)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
-from .words import flat_words
+from .words import flat_words, slices
 
 #: Word positions that a seed looks at.
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 5, 7), (0, 1, 3, 4, 5, 7))
@@ -86,8 +86,7 @@ def _regions(docs: DataFrame, key: str, text: str, known, reach: int) -> DataFra
 
         sent = None if known is None else known.value
         for whole in batches:
-            for k in range(0, whole.num_rows, 2000):
-                b = whole.slice(k, 2000)
+            for b in slices(whole):
                 parts, hits = _windows(b.column(1).to_pylist(), sent)
                 rows = []
                 for doc, ws, (h, p) in zip(b.column(0).to_pylist(), parts, hits):

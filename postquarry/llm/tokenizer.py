@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import slices
+
 #: Where the public vocabularies lie.
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pattern that splits text before the merges.
@@ -223,8 +225,7 @@ def encode_corpus(docs: DataFrame, text: str = "text", key: str = "doc_id", voca
         vars(table).update(shared.value)
         encode = Encoder(table)
         for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                part = b.slice(k, 1000)
+            for part in slices(b, 1000):
                 yield pa.RecordBatch.from_arrays([part.column(0), encode(part.column(1).to_pylist())], ["key", "ids"])
 
     kind = docs.select(key).schema[0].dataType.simpleString()

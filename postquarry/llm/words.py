@@ -5,8 +5,12 @@ from __future__ import annotations
 import html
 import unicodedata
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 _MARKUP = regex.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]{0,300}>|https?://\S+", regex.S)
@@ -14,6 +18,20 @@ _INVISIBLE = regex.compile(r"[\p{Cf}\p{Mn}]+")
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
+def slices(batch: pa.RecordBatch, rows: int = 2000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with so many rows and bytes of text at most (a longer text is a part of its own)."""
+    used = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_large_string(c.type):
+            used += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(used), 0
+    while at < batch.num_rows:
+        fits = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+        n = min(max(fits - at, 1), rows)
+        yield batch.slice(at, n)
+        at += n
+
+
 def words(text: str | None) -> list[str]:
     """Lower-case words without markup, entities, accents, invisible marks and punctuation; [] for null."""
     if not text:

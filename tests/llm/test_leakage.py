@@ -1,9 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from postquarry.llm import leakage as L
-from postquarry.llm.words import words
+from postquarry.llm.words import slices, words
 
 RND = random.Random(11)
 VOCABULARY = ["".join(RND.choice("bdfklmnprst") + RND.choice("aeiou") for _ in range(3)) for _ in range(900)]
@@ -64,5 +65,11 @@ def test_by_shuffle_and_empty(spark, items, monkeypatch):
     assert [(r.doc_id, r.item_id) for r in L.leaked_items(docs, items).collect()] == [(1, 5001)]
 
 
+def test_slices():
+    b = pa.RecordBatch.from_pydict({"k": list(range(7)), "t": ["x" * 10, None, "", "y" * 25, "z", "z", "z"]})
+    assert [s.num_rows for s in slices(b, rows=2, size=20)] == [2, 1, 1, 2, 1] and sum(s.num_rows for s in slices(b)) == 7
+    assert list(slices(b.slice(0, 0))) == []
+
+
 def test_words():
     assert words("A<br/>B&amp;C d’É­x http://u.v w1") == ["a", "b", "c", "d", "ex", "w1"] and words(None) == []
