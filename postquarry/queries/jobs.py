@@ -354,9 +354,9 @@ def _label_sql(words: dict[str, str]) -> str:
     return "CASE " + " ".join(one(k, w.replace("'", "''")) for k, w in words.items()) + " END"
 
 
-@query(f"""SELECT label, count(*) AS n FROM (SELECT {_label_sql(sections.LINE_WORDS)} AS label FROM (SELECT unnest(regexp_split_to_array(text, '\r?\n|\. ')) AS line FROM documents)) GROUP BY 1""")
+@query(f"""SELECT label, count(*) AS n FROM (SELECT {_label_sql(sections.LINE_WORDS)} AS label FROM (SELECT unnest(regexp_split_to_array(text, '\r?\n|[.] ')) AS line FROM documents)) GROUP BY 1""")
 def fallback_lines(spark, d):
-    lines = table(spark, d, "documents").select(F.explode(F.split("text", r"\r?\n|\. ")).alias("line"))
+    lines = table(spark, d, "documents").select(F.explode(F.split("text", r"\r?\n|[.] ")).alias("line"))
     return lines.groupBy(sections.line_label(F.col("line")).alias("label")).agg(F.count("*").alias("n"))
 
 
