@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -64,37 +64,51 @@ def hits(text: Column, keywords: list[str]) -> Column:
     return out
 
 
-def scores(rules: Rules, title: Column, normalized: Column | None = None, slugs: Column | None = None, description: Column | None = None) -> dict[str, Column]:
-    """The score of each category. Without a normalised title the title counts in its place."""
-    normalized = title if normalized is None else normalized
+def raw_scores(rules: Rules, title: Column, normalized: Column | None = None, slugs: Column | None = None, description: Column | None = None) -> dict[str, Column]:
+    """The score of each category before bonuses. Without a normalised title the title counts in its place."""
     w = rules.weights
     out = {}
     for name in rules.order or tuple(rules.titles):
         if name == rules.other or name not in rules.titles:
             continue
         words = rules.titles[name]
-        total = F.lit(w["title"]) * hits(title, words) + F.lit(w["normalized_title"]) * hits(normalized, words)
+        if normalized is None:
+            total = F.lit(w["title"] + w["normalized_title"]) * hits(title, words)
+        else:
+            total = F.lit(w["title"]) * hits(title, words) + F.lit(w["normalized_title"]) * hits(normalized, words)
         if slugs is not None and rules.slugs.get(name):
             common = F.size(F.array_intersect(F.transform(F.coalesce(slugs, F.array().cast("array<string>")), F.lower), F.array(*[F.lit(s.lower()) for s in rules.slugs[name]])))
             total = total + F.lit(w["tech_slugs"]) * common
         if description is not None:
             total = total + F.lit(w["description"]) * hits(description, words)
         out[name] = total
-    bonus = {k: v for k, v in out.items()}
-    for better, than, extra in rules.bonuses:
-        if better in out and than in out:
-            bonus[better] = bonus[better] + F.when((out[better] > 0) & (out[than] > 0), extra).otherwise(0.0)
-    return bonus
+    return out
 
 
-def classify(rules: Rules, title: Column, normalized: Column | None = None, slugs: Column | None = None, description: Column | None = None) -> Column:
-    """The category with the highest score, the earlier one of equals; below the least score, and for empty rules, the other category."""
-    got = scores(rules, title, normalized, slugs, description)
-    if not got:
+def choose(rules: Rules, scores: dict[str, Column], title: Column, normalized: Column | None = None) -> Column:
+    """The category with the highest score after bonuses, the earlier one of equals; below the least score, and for empty rules, the other category."""
+    if not scores:
         return F.lit(rules.other)
+    got = dict(scores)
+    for better, than, extra in rules.bonuses:
+        if better in got and than in got:
+            got[better] = got[better] + F.when((scores[better] > 0) & (scores[than] > 0), extra).otherwise(0.0)
     best = F.array_max(F.array(*[F.struct(s.alias("s"), F.lit(-i).alias("o"), F.lit(name).alias("c")) for i, (name, s) in enumerate(got.items())]))
     out = F.when(best["s"] >= rules.least, best["c"]).otherwise(rules.other)
     both = F.lower(F.concat_ws(" ", title, normalized)) if normalized is not None else F.lower(F.coalesce(title, F.lit("")))
     for pattern, name in reversed(rules.overrides):
         out = F.when(both.rlike(pattern), name).otherwise(out)
     return out
+
+
+def classify(rules: Rules, title: Column, normalized: Column | None = None, slugs: Column | None = None, description: Column | None = None) -> Column:
+    """The category of a row as one expression; for whole tables ``classified`` computes each score once."""
+    return choose(rules, raw_scores(rules, title, normalized, slugs, description), title, normalized)
+
+
+def classified(df: DataFrame, rules: Rules, title: Column, normalized: Column | None = None, slugs: Column | None = None, description: Column | None = None, name: str = "category") -> DataFrame:
+    """``df`` with its category in the column ``name``. Columns of ``df`` named __score0, __score1 ... are not kept."""
+    scores = raw_scores(rules, title, normalized, slugs, description)
+    held = {f"__score{k}": s for k, s in enumerate(scores.values())}
+    again = {n: F.col(f"__score{k}") for k, n in enumerate(scores)}
+    return df.withColumns(held).withColumn(name, choose(rules, again, title, normalized)).drop(*held) if held else df.withColumn(name, F.lit(rules.other))

@@ -331,7 +331,8 @@ y AS (SELECT row_id, t, {cols} FROM x) SELECT row_id, CASE {over} WHEN {best} <
 @query(_rules_sql(TEST_RULES))
 def classify_rules(spark, d):
     slugs = F.split(F.coalesce("skills", F.lit("")), ", ")
-    return table(spark, d, "combined_jobs").select("row_id", rules.classify(TEST_RULES, F.col("title"), slugs=slugs, description=F.col("description")).alias("category"))
+    df = table(spark, d, "combined_jobs").select("row_id", "title", "skills", "description")
+    return rules.classified(df, TEST_RULES, F.col("title"), slugs=slugs, description=F.col("description")).select("row_id", "category")
 
 
 @query("SELECT doc_id, " + _hits_sql("lower(coalesce(text, ''))", ["team", " you ", "der ", "los"]) + " AS hits FROM documents")

@@ -133,6 +133,13 @@ def test_rules(spark):
         assert one(spark, c, t=t, s=s, b=b) == want, t
 
 
+def test_rules_on_a_table(spark):
+    r = rules.Rules(titles={"A": ["x"], "B": ["y", " z"]}, order=("A", "B"), bonuses=(("B", "A", 5.0),))
+    df = spark.createDataFrame([("x",), ("x y",), ("y z",), (None,), ("q",)], "title string")
+    assert [x.c for x in rules.classified(df, r, F.col("title"), name="c").collect()] == [x[0] for x in df.select(rules.classify(r, F.col("title"))).collect()] == ["A", "B", "B", "Other", "Other"]
+    assert rules.classified(df, rules.Rules({}), F.col("title")).where("category = 'Other'").count() == 5
+
+
 def test_sections():
     assert sections.parse(None) == sections.parse("") == {"about": "", "responsibilities": [], "basic_qualifications": [], "preferred_qualifications": [], "benefits": []}
     assert sections.parse("Responsibilities:\n- Build X\n- Run Y")["responsibilities"] == ["Build X", "Run Y"]
