@@ -39,7 +39,7 @@ WIDTH, PASSES, RATE = 1 << 16, 6, 0.5
 #: A sentence that is less certain than this takes the language of its neighbours.
 LEAST_SURE = 0.6
 #: A title that is less certain than this takes the language that the row's text begins with.
-TITLE_SURE = 0.9
+TITLE_SURE = 0.97
 LEAST_WORDS = 3
 REMEMBERED = 300_000
 
@@ -190,9 +190,7 @@ class Machines:
 def _train_once(s: Sentences, wf: WordFeatures, lang: np.ndarray, seed: int = 3) -> Machines:
     """Hinge-loss machines by mini-batch gradient steps over sentences, averaged over the later passes."""
     rng = np.random.default_rng(seed)
-    # sentence x feature entries, each word's features scaled by their number
-    n_feat = wf.size[s.codes]
-    first = (np.cumsum(wf.size) - wf.size)[s.codes]
+    first = np.cumsum(wf.size) - wf.size
     machines = 1 + len(PAIRS)
     weights, bias = np.zeros((WIDTH, machines)), np.zeros(machines)
     mean_w, mean_b, n_mean = np.zeros_like(weights), np.zeros_like(bias), 0
@@ -203,20 +201,25 @@ def _train_once(s: Sentences, wf: WordFeatures, lang: np.ndarray, seed: int = 3)
     for step in range(PASSES):
         order = rng.permutation(len(lang))
         for part in np.array_split(order, max(1, len(order) // 256)):
-            at = np.concatenate([np.arange(a, a + n) for a, n in zip(s.start[part], s.size[part])])
-            owner = np.repeat(np.arange(len(part)), s.size[part])
-            n = n_feat[at]
-            feat = wf.flat[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            value = np.repeat(1 / np.sqrt(n) / s.size[part][owner], n)
-            row = np.repeat(owner, n)
-            row_starts = np.searchsorted(row, np.arange(len(part)))
-            m = np.add.reduceat(weights[feat] * value[:, None], row_starts, axis=0) + bias
+            size = s.size[part]
+            owner = np.repeat(np.arange(len(part)), size)
+            at = np.repeat(s.start[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            # sentences share words: features are gathered once per distinct word of the batch
+            used, inverse = np.unique(s.codes[at], return_inverse=True)
+            n = wf.size[used]
+            starts = np.cumsum(n) - n
+            feat = wf.flat[np.repeat(first[used] - starts, n) + np.arange(n.sum())]
+            scale = 1 / np.sqrt(n)
+            word = np.add.reduceat(weights[feat], starts, axis=0) * scale[:, None]
+            m = np.add.reduceat(word[inverse], np.cumsum(size) - size, axis=0) / size[:, None] + bias
             y = target[part]
             g = np.where(y * m < 1, y, 0)
             eta = RATE / (1 + step)
-            touched, inverse = np.unique(feat, return_inverse=True)
+            pull = g[owner] / size[owner][:, None]
+            touched, where = np.unique(feat, return_inverse=True)
             for k in range(machines):
-                weights[touched, k] += eta * np.bincount(inverse, value * g[row, k], minlength=len(touched))
+                per_word = np.bincount(inverse, pull[:, k], minlength=len(used)) * scale
+                weights[touched, k] += eta * np.bincount(where, np.repeat(per_word, n), minlength=len(touched))
             bias += eta * 0.1 * g.mean(axis=0)
         weights *= 1 - 0.01
         if step >= PASSES // 2:
