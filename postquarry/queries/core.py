@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import drift, snapshots, timestamps
 from ..session import table
 
@@ -11,7 +13,7 @@ def p3_found(spark, d):
 
 
 def p3_versions(spark, d):
-    return drift.schema_versions(table(spark, d, "job_files"))
+    return drift.schema_versions(table(spark, d, "job_files")).withColumn("exported_on", F.col("exported_on").cast("string"))
 
 
 def p3_table(spark, d):
@@ -51,4 +53,52 @@ def _p4_sql() -> str:
     WHERE a.id IS NULL OR b.id IS NULL OR {differ}"""
 
 
-SQL = {"p4_found": _p4_sql()}
+
+def _p5_sql() -> str:
+    """The same rules in other words: group names instead of positions, and the engine's own zone arithmetic.
+
+    A local time that occurs twice is read there as the second; the earlier of it and of one hour after the time an hour before is the first.
+    """
+    time = r"(?:(?:[T ]|, ?| at )(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)?(?: ?([AaPp])[.]?[Mm][.]?\b)?(?: ?(Z|z|[A-Z]{2,5}|[+\-]\d{2}(?::?\d{2})?|\[?[A-Za-z]+(?:/[A-Za-z0-9_+\-]+)+\]?))?)?$"
+    word = r"([A-Za-zÀ-ÿ]+)[.]?"
+    tail = "'h', 'mi', 's', 'half', 'zone'"
+    forms = (
+        (r"^(\d{4})-(\d{2})-(\d{2})" + time, f"'y', 'mo', 'd', {tail}"),
+        (r"^(\d{4})(\d{2})(\d{2})(?:T(\d{2})(\d{2})(\d{2})(?:[.,]\d+)?()(?: ?(Z|z|[A-Z]{2,5}|[+\-]\d{2}(?::?\d{2})?))?)?$", f"'y', 'mo', 'd', {tail}"),
+        (r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})" + time, f"'y', 'mo', 'd', {tail}"),
+        (r"^(\d{1,2})/(\d{1,2})/(\d{4})" + time, f"'a', 'b', 'y', {tail}"),
+        (r"^(\d{1,2})[.](\d{1,2})[.](\d{4})" + time, f"'d', 'mo', 'y', {tail}"),
+        ("^" + word + r" (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})" + time, f"'month', 'd', 'y', {tail}"),
+        (r"^(?:" + word + r",? )?(\d{1,2})[.]?[ \-](?:de |of )?" + word + r"[ \-](?:de )?(\d{4})" + time, f"'weekday', 'd', 'month', 'y', {tail}"),
+    )
+    month = "CASE " + " ".join(f"WHEN lower(f.month) IN ({', '.join(repr(n) for n in names.split())}) THEN {k}" for k, names in enumerate(timestamps.MONTHS, 1)) + " END"
+    offset = "CASE upper(zone) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in timestamps.ABBREVIATIONS.items()) + " END"
+    reads = []
+    for k, (pattern, names) in enumerate(forms):
+        have = {n.strip().strip("'") for n in names.split(",")}
+        mo = "try_cast(f.mo AS int)" if "mo" in have else month if "month" in have else "try_cast(CASE WHEN mdy THEN f.a ELSE f.b END AS int)"
+        d = "try_cast(f.d AS int)" if "d" in have else "try_cast(CASE WHEN mdy THEN f.b ELSE f.a END AS int)"
+        pattern = pattern.replace("'", "''")
+        reads.append(f"SELECT row_id, home, {k} AS step, try_cast(f.y AS int) AS y, {mo} AS mo, {d} AS d, coalesce(try_cast(nullif(f.h, '') AS int), 0) AS h, coalesce(try_cast(nullif(f.mi, '') AS int), 0) AS mi, coalesce(try_cast(nullif(f.s, '') AS int), 0) AS s, lower(f.half) AS half, regexp_replace(f.zone, '[\\[\\]]', '', 'g') AS zone FROM (SELECT row_id, home, mdy, regexp_extract(t, '{pattern}', [{names}]) AS f FROM t WHERE regexp_matches(t, '{pattern}'))")
+    return f"""WITH c AS (SELECT row_id, source, trim(regexp_replace(posting_date, '[\\s\\p{{Z}}]+', ' ', 'g')) AS t FROM combined_jobs WHERE posting_date IS NOT NULL AND NOT regexp_full_match(posting_date, '\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}Z')),
+t AS (SELECT row_id, regexp_replace(t, '^posted(?: on)?:? ', '', 'i') AS t, coalesce(home_zone, 'UTC') AS home, coalesce(numeric_order = 'MDY', false) AS mdy FROM c LEFT JOIN feed_sources USING (source) WHERE t <> ''),
+r AS (SELECT * FROM ({' UNION ALL '.join(reads)}) QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY step) = 1),
+q AS (SELECT *, CASE WHEN half = '' THEN h WHEN h BETWEEN 1 AND 12 THEN h % 12 + CASE WHEN half = 'p' THEN 12 ELSE 0 END END AS h24,
+  CASE WHEN regexp_matches(zone, '^[+-]') THEN (CASE WHEN zone[1] = '-' THEN -1 ELSE 1 END) * (zone[2:3]::int * 60 + coalesce(try_cast(nullif(regexp_replace(zone[4:], ':', ''), '') AS int), 0)) ELSE {offset} END AS minutes,
+  CASE WHEN zone = '' THEN home WHEN contains(zone, '/') AND zone IN (SELECT name FROM pg_timezone_names()) THEN zone END AS region FROM r),
+l AS (SELECT *, CASE WHEN h24 < 24 AND mi < 60 AND s < 60 AND mo BETWEEN 1 AND 12 AND d BETWEEN 1 AND 31 AND y > 0 THEN try_cast(printf('%04d-%02d-%02d %02d:%02d:%02d', y, mo, d, h24, mi, s) AS timestamp) END AS local FROM q),
+m AS (SELECT row_id, coalesce(local - to_minutes(minutes), least(timezone('UTC', timezone(region, local)), timezone('UTC', timezone(region, local - INTERVAL 1 HOUR)) + INTERVAL 1 HOUR)) AS at FROM l),
+e AS (SELECT row_id, epoch_ms(CASE WHEN regexp_full_match(t, '\\d{{10}}') THEN t::bigint * 1000 WHEN regexp_full_match(t, '\\d{{13}}') THEN t::bigint END) AS at FROM t)
+SELECT t.row_id, coalesce(strftime(coalesce(m.at, e.at), '%Y-%m-%dT%H:%M:%SZ'), 'invalid') AS posted_utc FROM t LEFT JOIN m USING (row_id) LEFT JOIN e USING (row_id)"""
+
+
+_P3_VERSIONS = """WITH v AS (SELECT * FROM job_files WHERE json_valid(record) AND json_type(record) = 'OBJECT'),
+k AS (SELECT feed, file_name, exported_on, key AS field, CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END AS kind FROM v, json_each(v.record)),
+n AS (SELECT feed, file_name, field, kind, CASE WHEN kind IS NULL THEN -1 ELSE count(*) END AS c, min(exported_on) AS exported_on FROM k GROUP BY feed, file_name, field, kind),
+s AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY feed, file_name, field ORDER BY c DESC, kind) = 1),
+p AS (SELECT feed, file_name, min(exported_on)::date AS exported_on, md5(string_agg(field || ':' || coalesce(kind, 'null'), ',' ORDER BY field || ':' || coalesce(kind, 'null'))) AS fingerprint, count(*) AS n_fields FROM s GROUP BY feed, file_name),
+w AS (SELECT *, (fingerprint IS DISTINCT FROM lag(fingerprint) OVER (PARTITION BY feed ORDER BY exported_on, file_name))::int AS fresh FROM p)
+SELECT feed, file_name, exported_on::varchar AS exported_on, (sum(fresh) OVER (PARTITION BY feed ORDER BY exported_on, file_name))::bigint AS version, fingerprint, n_fields FROM w"""
+
+
+SQL = {"p4_found": _p4_sql(), "p5_found": _p5_sql(), "p3_versions": _P3_VERSIONS}

@@ -77,7 +77,29 @@ def skills_page2_pct(spark, d):
     return paged.join(F.broadcast(n)).select("skill", "total_count", X.percent(F.col("total_count"), F.col("n")).alias("pct"))
 
 
-@query()
+def _unescape_sql(c: str) -> str:
+    for raw, safe in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#39;"), ("''", "&#x27;"), (" ", "&nbsp;"), ("&", "&amp;")):
+        c = f"replace({c}, '{safe}', '{raw}')"
+    return c
+
+
+def _steps_sql(c: str, steps) -> str:
+    for pattern, by, flags in steps:
+        c = f"regexp_replace({c}, '{pattern}', {by}, '{flags}')"
+    return c
+
+
+def _visible_sql(c: str) -> str:
+    breaks = (("<br\\s*/?", "chr(10)", "gi"), ("</(?:li|p)\\s*>", "chr(10)", "gi"), ("<(?:li|p)\\s*>", "''", "gi"), ("<ul[^>]*>|</ul\\s*>", "''", "gis"), ("<[^>]+>", "' '", "g"), ("\\s{2,}", "' '", "g"))
+    t = _steps_sql(_unescape_sql(_unescape_sql(f"coalesce({c}, '')")), breaks)
+    ends = ("^\\s+|\\s+$", "''", "g")
+    one = _steps_sql("s", (ends, ("^[>\\-–—•*·\\s\\x{A0}]+", "''", ""), ("[\\s.;:,]+$", "''", ""), ends))
+    kept = "regexp_matches(s, '[a-zA-Z]') AND NOT regexp_full_match(s, '(?i)n\\s*/?\\s*a|n[.]?a[.]?|nan') AND length(s) <= 180 AND NOT regexp_matches(s, '(?i)https?://')"
+    return f"list_distinct(list_filter(list_transform(regexp_split_to_array({t}, '[\\r\\n]+'), lambda s: {one}), lambda s: {kept}))"
+
+
+@query(f"""WITH s AS (SELECT unnest({_visible_sql('basic_qual')}) AS skill, 1 AS b FROM combined_jobs WHERE coalesce(active, true) UNION ALL SELECT unnest({_visible_sql('pref_qual')}), 0 FROM combined_jobs WHERE coalesce(active, true))
+SELECT skill, sum(b)::bigint AS basic_count, sum(1 - b)::bigint AS preferred_count, count(*) AS total_count FROM s GROUP BY skill""")
 def skills_visible(spark, d):
     df = analytics.search(jobs(spark, d), status="active")
     return analytics.skill_counts(df, markup.visible_items(F.col("basic_qual")), markup.visible_items(F.col("pref_qual")))
@@ -218,7 +240,7 @@ _DATE_A = "try_strptime(regexp_replace(posting_date, '^Posted ', ''), ['%B %d, %
 _DATE_B = "try_strptime(regexp_replace({c}, '^Posted ', ''), ['%B %d, %Y', '%b %d, %Y', '%Y-%m-%d', '%m/%d/%Y'])::date"
 
 
-@query(f"SELECT row_id, CASE WHEN posting_date = trim(posting_date) THEN {_DATE_A}::varchar END AS day FROM combined_jobs")
+@query(f"SELECT row_id, CASE WHEN NOT regexp_matches(posting_date, '^\\s|\\s$') THEN {_DATE_A}::varchar END AS day FROM combined_jobs")
 def date_parse_a(spark, d):
     return table(spark, d, "combined_jobs").select("row_id", X.parse_date(F.col("posting_date"), X.DATES_A).cast("string").alias("day"))
 
@@ -265,7 +287,14 @@ def entity_decode(spark, d):
     return table(spark, d, "combined_jobs").select("row_id", X.unescape(F.col("description")).alias("text"))
 
 
-@query()
+_STRIP = (
+    ("\\r\\n?", "chr(10)", "g"), ("```.*?```", "' '", "gs"), ("`[^`]+`", "' '", "g"), ("https?://\\S+", "' '", "g"), ("[ \\t]+", "' '", "g"), ("\\n[ \\t]+", "chr(10)", "g"), ("[ \\t]+\\n", "chr(10)", "g"),
+    ("\\n{3,}", "chr(10) || chr(10)", "g"), (" • ", "chr(10) || ''• ''".replace("''", "'"), "g"), (" - ", "chr(10) || ''- ''".replace("''", "'"), "g"), ("^\\s+|\\s+$", "''", "g"),
+)
+_BARE = _unescape_sql(_steps_sql("description", (("<(/?(?:br|p|li|ul|ol|h[1-6])\\b)", "chr(10) || ''<\\1''".replace("''", "'"), "gi"), ("<!--.*?-->|</?[a-z][^>]*>", "''", "gis"))))
+
+
+@query(f"SELECT row_id, {_steps_sql(_BARE, _STRIP)} AS text FROM combined_jobs")
 def strip_markup(spark, d):
     return table(spark, d, "combined_jobs").select("row_id", markup.plain_text(F.col("description")).alias("text"))
 
@@ -285,7 +314,10 @@ def role_team_split(spark, d):
     return table(spark, d, "combined_jobs").select("row_id", role.alias("role"), team.alias("team"))
 
 
-@query()
+@query("""WITH t AS (SELECT row_id, coalesce(title, '') AS t FROM combined_jobs),
+p AS (SELECT *, CASE WHEN contains(t, ',') THEN ',' WHEN contains(t, ' - ') THEN ' - ' WHEN contains(t, ' – ') THEN ' – ' WHEN contains(t, ' — ') THEN ' — ' WHEN regexp_matches(t, '[,–—-]\\s+') THEN regexp_extract(t, '\\s*[,–—-]\\s+') END AS sep FROM t)
+SELECT row_id, regexp_replace(CASE WHEN sep IS NULL THEN t ELSE t[:strpos(t, sep) - 1] END, '^\\s+|\\s+$', '', 'g') AS role,
+regexp_replace(CASE WHEN sep IS NULL THEN '' ELSE t[strpos(t, sep) + length(sep):] END, '^\\s+|\\s+$', '', 'g') AS team FROM p""")
 def role_team_by_separator(spark, d):
     role, team = X.role_and_team_by_separator(F.col("title"))
     return table(spark, d, "combined_jobs").select("row_id", role.alias("role"), team.alias("team"))
