@@ -442,7 +442,7 @@ def health_report(spark, d):
     return quality.health(table(spark, d, "combined_jobs"), F.to_date("loaded_at"), now, now - F.expr("interval 5 hours"))
 
 
-@query("SELECT doc_id FROM documents WHERE lang = 'en' OR lang IS NULL OR text IS NULL OR trim(text) = ''")
+@query("SELECT doc_id FROM documents WHERE lang = 'en' OR lang IS NULL OR text IS NULL OR regexp_full_match(text, '[\\s\\p{Z}]*')")
 def english_filter(spark, d):
     return table(spark, d, "documents").where(sections.english(F.col("text"), F.col("lang"))).select("doc_id")
 
