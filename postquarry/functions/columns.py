@@ -90,6 +90,11 @@ def int_param(url: Column, key: str, default: int) -> Column:
     return F.coalesce(F.regexp_extract(url, rf"[?&]\Q{key}\E=([^&#]+)", 1).try_cast("int"), F.lit(default))
 
 
+def has_param(url: Column, key: str, value: str) -> Column:
+    """Whether a url's query has this value for this parameter; false for null."""
+    return F.coalesce(url.rlike(rf"[?&]\Q{key}\E=[^&#]*\Q{value}\E"), F.lit(False))
+
+
 def clean_query(url: Column, winner: str = "", losers: tuple[str, ...] = ()) -> Column:
     """The url without blank parameters; where ``winner`` is present, ``losers`` go. Order is kept."""
     parts = F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&")

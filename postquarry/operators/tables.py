@@ -80,3 +80,31 @@ def combine(sources: list[DataFrame], columns: list[str] = COMBINED) -> DataFram
     out = out.select(*[F.when(F.col(c) != "", F.col(c)).alias(c) for c in out.columns])
     out = fill_missing(out, columns)
     return out.withColumn("active", X.as_active(F.col("active"))).select(*columns)
+
+
+def wanted(
+    df: DataFrame, posted: str, since: Column | None = None, now: Column | None = None, max_age_days: int = 0, countries: tuple[str, ...] = (), titles: tuple[str, ...] = (),
+    present: tuple[str, ...] = (), known: DataFrame | None = None, key: str = "id", country: str = "country_code", title: str = "title",
+) -> DataFrame:
+    """Rows as a source would be asked for them: posted since a day, not older than so many days, of the countries, with one of the titles in
+    theirs (any case), with the named columns filled, and not known yet. What isn't given asks for nothing; a null never fits what is asked."""
+    day = F.col(posted).cast("date")
+    if since is not None:
+        df = df.where(day >= since)
+    if max_age_days and now is not None:
+        df = df.where(F.datediff(now.cast("date"), day) <= max_age_days)
+    if countries:
+        df = df.where(F.col(country).isin(*countries))
+    if titles:
+        held = F.lit(False)
+        for t in titles:
+            held = held | F.lower(F.col(title)).contains(t.lower())
+        df = df.where(held)
+    for c in present:
+        df = df.where(F.col(c).isNotNull())
+    return new_only(df, known, key) if known is not None else df
+
+
+def newest(df: DataFrame, when: str, key: str, cap: int) -> DataFrame:
+    """The ``cap`` newest keys, each once: a key's last row counts, ties go to the lesser key."""
+    return keep_last(df, key, F.col(when)).orderBy(F.desc_nulls_last(when), key).limit(cap)

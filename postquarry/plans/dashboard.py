@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,3 +58,14 @@ def as_json(results: dict[str, DataFrame], most: int = 1000) -> dict[str, str]:
             raise ValueError(f"{name} has more than {most} rows; show a page of it")
         out[name] = "[" + ",".join(r["j"] for r in rows) + "]"
     return out
+
+
+def write_html(results: dict[str, DataFrame], path: str, title: str = "Jobs", most: int = 1000) -> None:
+    """One page with the results embedded as JSON; a page that says what went wrong if they can't be made."""
+    try:
+        data = as_json(results, most)
+        body = f"<script>const results = {{{', '.join(f'{json.dumps(k)}: {v}' for k, v in data.items())}}};</script><main id=dashboard></main>"
+    except Exception as x:
+        body = f"<p class=error>{html.escape(str(x).splitlines()[0][:500])}</p>"
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title>{body}")

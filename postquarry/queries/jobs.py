@@ -477,3 +477,31 @@ def stream_new_rows(spark, d):
     fresh = ingest.new_rows(stream.select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", "60 days")
     ingest.run_available(fresh, lambda batch, n: batch.select("user_id").write.mode("append").parquet(f"{out}/rows"), f"{out}/state")
     return spark.read.parquet(f"{out}/rows").distinct()
+
+
+@query("""SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
+def event_windows(spark, d):
+    e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    return ingest.windowed_counts(e, "ts", "6 hours", "1 day", "event_type").select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
+
+
+@query("""SELECT load_seq, id, country_code, title FROM amazon_api_jobs WHERE country_code IN ('LUX', 'DEU') AND (lower(title) LIKE '%planner%' OR lower(title) LIKE '%analyst%') AND team IS NOT NULL
+AND loaded_at::date >= DATE '2025-06-16' AND id NOT IN (SELECT id FROM combined_jobs WHERE id IS NOT NULL)""")
+def source_predicates(spark, d):
+    df = table(spark, d, "amazon_api_jobs").select("load_seq", "id", "country_code", "title", "team", "loaded_at")
+    got = tables.wanted(df, "loaded_at", since=F.lit("2025-06-16").cast("date"), countries=("LUX", "DEU"), titles=("Planner", "analyst"), present=("team",), known=table(spark, d, "combined_jobs").where("id is not null"))
+    return got.select("load_seq", "id", "country_code", "title")
+
+
+@query("SELECT id FROM (SELECT id, loaded_at, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC NULLS LAST) AS n FROM combined_jobs WHERE id IS NOT NULL) WHERE n = 1 ORDER BY loaded_at DESC NULLS LAST, id LIMIT 50")
+def newest_capped(spark, d):
+    return tables.newest(table(spark, d, "combined_jobs").where("id is not null").select("id", "loaded_at"), "loaded_at", "id", 50).select("id")
+
+
+@query(f"""WITH u AS (SELECT row_id, {_URL} || CASE WHEN contains({_URL}, '?') THEN '&' ELSE '?' END || 'city=&page=' || (row_id % 7) || '&country=LU&code=X' AS u FROM combined_jobs),
+p AS (SELECT *, list_filter(string_split(regexp_extract(u, '[?]([^#]*)', 1), '&'), lambda x: contains(x, '=') AND NOT ends_with(x, '=') AND split_part(x, '=', 1) NOT IN ('', 'country')) AS k FROM u)
+SELECT row_id, regexp_extract(u, '^([^?#]*)', 1) || '?' || array_to_string(k, '&') AS cleaned, coalesce(try_cast(regexp_extract(u, '[?&]page=([^&#]+)', 1) AS int), 1) AS page, contains(u, 'country=LU') AS in_lu FROM p""")
+def url_queries(spark, d):
+    u = F.coalesce(F.col("url"), F.lit(""))
+    u = F.concat(u, F.when(u.contains("?"), "&").otherwise("?"), F.lit("city=&page="), (F.col("row_id") % 7).cast("string"), F.lit("&country=LU&code=X"))
+    return jobs(spark, d).select("row_id", X.clean_query(u, "code", ("country",)).alias("cleaned"), X.int_param(u, "page", 1).alias("page"), X.has_param(u, "country", "LU").alias("in_lu"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import logging
 import tempfile
+import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +42,20 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt_"))
     return df.checkpoint(eager=True)
+
+
+def timed(f: Callable) -> Callable:
+    """``f``, whose duration and outcome are logged."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        began = time.time()
+        try:
+            out = f(*args, **kwargs)
+        except Exception:
+            logging.getLogger(__name__).exception("%s failed after %.2f s", f.__name__, time.time() - began)
+            raise
+        logging.getLogger(__name__).info("%s took %.2f s", f.__name__, time.time() - began)
+        return out
+
+    return run

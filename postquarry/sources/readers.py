@@ -152,3 +152,39 @@ def setting(config: dict, path: str, default=None):
             return default
         config = config[part]
     return config
+
+
+def fetch_details(links: DataFrame, fetch: Callable[[str], dict | None], schema: str, link: str = "link", parallel: int = 8) -> DataFrame:
+    """The detail record of each link, ``parallel`` links at a time; a link whose fetch fails or gives nothing has no row."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            got = []
+            for x in b["l"]:
+                try:
+                    d = fetch(x)
+                except Exception:  # one bad page is one missing row
+                    d = None
+                if d:
+                    got.append([d.get(n) for n in names])
+            yield pd.DataFrame(got, columns=names)
+
+    return links.select(F.col(link).alias("l")).where("l is not null").distinct().repartition(parallel).mapInPandas(run, schema)
+
+
+#: How each kind of source is read into the columns of its table.
+READERS: dict[str, Callable[..., DataFrame]] = {
+    "pages_a": lambda spark, path, base="": flatten_a(read_pages(spark, path, PAGE_A), base),
+    "pages_b": lambda spark, path: map_b(read_pages(spark, path, PAGE_B)),
+    "csv": read_csv,
+}
+
+
+def read_source(kind: str, spark: SparkSession, path: str, **options) -> DataFrame:
+    """A source by its kind; an unknown kind is an error."""
+    if kind not in READERS:
+        raise ValueError(f"no source kind {kind!r}; there are {', '.join(sorted(READERS))}")
+    return READERS[kind](spark, path, **options)

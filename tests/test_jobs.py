@@ -199,6 +199,40 @@ def test_sources_and_sinks(spark, tmp_path):
     assert readers.setting(readers.deep_merge({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}), "a.c") == 2
 
 
+def test_source_side_filters(spark):
+    df = spark.createDataFrame([("1", "2025-01-05", "LU", "Data Planner"), ("2", "2025-01-01", "LU", "planner"), ("3", "2025-01-05", "DE", "planner"), ("4", None, "LU", "planner"), ("5", "2025-01-06", "LU", None)], "id string, day string, country_code string, title string")
+    ids = lambda x: sorted(r.id for r in x.collect())
+    assert ids(tables.wanted(df, "day")) == list("12345")
+    assert ids(tables.wanted(df, "day", since=F.lit("2025-01-02").cast("date"), countries=("LU",), titles=("Planner",))) == ["1"]
+    assert ids(tables.wanted(df, "day", now=F.lit("2025-01-07"), max_age_days=2, present=("title",), known=df.where("id = '3'"))) == ["1"]
+    assert [r.id for r in tables.newest(df.union(df), "day", "id", 2).collect()] == ["5", "1"]
+    assert [one(spark, X.has_param(F.col("a"), "country[]", "LUX"), a=t) for t in ("u?country[]=LUX", "u?x=LUX", None)] == [True, False, False]
+
+
+def test_details_and_kinds(spark, tmp_path):
+    def fetch(link):
+        if link == "bad":
+            raise OSError
+        return {"link": link, "n": len(link)} if link != "none" else None
+
+    links = spark.createDataFrame([("ab",), ("bad",), ("none",), ("abc",), ("ab",), (None,)], "link string")
+    assert sorted(tuple(r) for r in readers.fetch_details(links, fetch, "link string, n int", parallel=2).collect()) == [("ab", 2), ("abc", 3)]
+    with pytest.raises(ValueError):
+        readers.read_source("ftp", spark, "x")
+    dashboard.write_html({"a": spark.range(2)}, str(tmp_path / "a.html"))
+    assert '"a": [{"id":0},{"id":1}]' in (tmp_path / "a.html").read_text()
+    dashboard.write_html({"a": spark.range(2)}, str(tmp_path / "a.html"), most=1)
+    assert "more than 1 rows" in (tmp_path / "a.html").read_text()
+
+
+def test_timed(caplog):
+    from postquarry.session import timed
+
+    assert timed(lambda: 3)() == 3
+    with pytest.raises(KeyError):
+        timed(lambda: {}["x"])()
+
+
 def test_paged_source(spark):
     def fetch(offset, limit):
         return {"hits": 23, "jobs": [{"id": k} for k in range(offset, min(23, offset + limit))]}
