@@ -159,9 +159,9 @@ def combine_sources(spark, d):
     return dashboard.combined([table(spark, d, "combined_jobs"), table(spark, d, "amazon_api_jobs").drop("skills")])
 
 
-@query("SELECT row_id, CASE WHEN source_file LIKE 'amazon_api%' THEN 'A' WHEN source_file LIKE 'theirstack%' THEN 'B' ELSE 'unknown' END AS label FROM combined_jobs")
+@query("SELECT row_id, CASE WHEN source_file LIKE 'amazon_api%' THEN 'A' ELSE 'unknown' END AS label FROM combined_jobs")
 def source_by_file(spark, d):
-    return table(spark, d, "combined_jobs").select("row_id", tables.source_of(F.coalesce("source_file", F.lit("")), {"amazon_api": "A", "theirstack": "B"}).alias("label"))
+    return table(spark, d, "combined_jobs").select("row_id", tables.source_of(F.coalesce("source_file", F.lit("")), {"amazon_api": "A"}).alias("label"))
 
 
 _FULL = f"(SELECT * FROM {_JOBS} WHERE job_category <> '' AND company <> '' AND role <> '')"
