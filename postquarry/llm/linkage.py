@@ -74,7 +74,8 @@ def _cities(jobs: DataFrame) -> DataFrame:
     spark = jobs.sparkSession
     rows = [(k, name, [x.replace("_", " ") for x in other.split()]) for k, (name, other) in enumerate(CITIES.items())]
     known = spark.createDataFrame(rows, "ref_id bigint, label string, alt_labels array<string>").withColumn("field", F.lit("city"))
-    places = jobs.select("location").where("location is not null").distinct().withColumn("text", place(F.col("location")))
+    # written, so that a filter on the city isn't applied to every row instead of every distinct location
+    places = cut(jobs.select("location").where("location is not null").distinct().withColumn("text", place(F.col("location"))))
     found = canonical.closest_entries(places.select(F.lit("city").alias("field"), "text").where("text <> ''").distinct(), known, CITY_EDITS)
     names = found.join(F.broadcast(known.select("ref_id", "label")), "ref_id").select("text", "label")
     return places.join(names, "text", "left").select("location", F.coalesce("label", "text").alias("city"))
@@ -99,12 +100,12 @@ def _titles(jobs: DataFrame, reference: DataFrame) -> DataFrame:
 
 def comparable(jobs: DataFrame, reference: DataFrame) -> DataFrame:
     """``row_id, source, name, second, job, level, city, team`` of the rows that have an employer, a title with words and a source."""
-    rows = jobs.select("row_id", "source", "title", "company", "location").where("source is not null and title is not null and company is not null")
     name, second = employer(F.col("company"))
-    rows = rows.join(_titles(rows, reference), "title").join(_cities(rows), "location", "left")
-    return rows.select("row_id", "source", name.alias("name"), second.alias("second"), "job", "level", F.coalesce("city", F.lit("")).alias("city"), "team").where(
-        r"name <> '' and job rlike '\\p{L}{4,}|^#'"
-    )
+    rows = jobs.select("row_id", "source", "title", "company", "location").where("source is not null and title is not null and company is not null")
+    rows = cut(rows.select("row_id", "source", "title", "location", name.alias("name"), second.alias("second"))).where("name <> ''")
+    rows = rows.join(_titles(rows, reference), "title")
+    rows = rows.join(_cities(rows), "location", "left")
+    return rows.select("row_id", "source", "name", "second", "job", "level", F.coalesce("city", F.lit("")).alias("city"), "team").where(r"job rlike '\\p{L}{4,}|^#'")
 
 
 def _near(a: Column, b: Column, k: int) -> Column:
