@@ -58,3 +58,12 @@ def test_unified_table_and_versions(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert drift.schema_changes(df).count() == 0 and drift.unified_table(df).count() == 0 and drift.schema_versions(df).count() == 0
+
+
+def test_ties_long_values_and_nulls(spark):
+    rec = [{"a": 1, "b": "x" * 50000}, {"a": "1", "b": None}, {"a": None}]
+    rows = [(k, "f", "one", date(2024, 1, 1), json.dumps(r), None) for k, r in enumerate(rec)] + [(9, None, "one", None, "{}", None), (10, "f", "none yet", date(2024, 1, 2), '{"only": null}', None)]
+    got = {(r.file_name, r.field): r.type for r in drift.file_schemas(drift.long_values(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert got == {("one", "a"): "number", ("one", "b"): "string", ("none yet", "only"): None}
+    changes = {(r.field, r.change) for r in drift.schema_changes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert changes == {("a", "removed"), ("b", "removed"), ("only", "added")}

@@ -51,3 +51,19 @@ def test_empty_and_single(spark):
 
     df = spark.createDataFrame([(1, date(2025, 1, 1), None, "1", "x", None, None), (2, None, None, "1", "x", None, None), (3, date(2025, 1, 1), None, None, "x", None, None)], SCHEMA)
     assert snapshot_changes(df).count() == 0 and snapshot_changes(df.limit(0)).count() == 0
+
+
+def test_ties_repeats_and_long_texts(spark):
+    from datetime import date
+
+    long = "word " * 40000
+    a, b = date(2025, 1, 1), date(2025, 1, 2)
+    rows = [
+        (1, a, None, "1", "x", True, None), (1, a, None, "1", "x", True, None), (1, b, None, "1", "x", None, None),  # repeated rows are one
+        (2, a, None, "2", long, True, None), (3, b, None, "2", long + "end", True, None),  # the whole text counts
+        (5, a, None, "3", "p", True, None), (5, a, None, "3", "q", True, None), (6, b, None, "3", "p", True, None), (None, b, None, "3", "zz", True, None),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    first = sorted(tuple(r) for r in snapshot_changes(df, defaults={"active": True}).collect())
+    again = sorted(tuple(r) for r in snapshot_changes(df.orderBy(F.desc("title")), defaults={"active": True}, chunk_rows=1).collect())
+    assert first == again and ("2025-01-02", "2", "changed") in first and not [r for r in first if r[1] == "1"]
