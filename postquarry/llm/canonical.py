@@ -199,7 +199,7 @@ def closest_entries(strings: DataFrame, reference: DataFrame, allowed: tuple[tup
 def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     """``values`` (``field, value``, distinct) with ``ref_id`` and ``edits``; ref_id -1 stands for no entry.
 
-    Of several readings of a value the one with the fewest edits counts, then the longest.  Null and blank
+    Of several readings of a value the one with the fewest edits counts, then the longest, then the least ``ref_id``.  Null and blank
     values are no values and left out.  With an empty reference list every value is reported with -1.
     """
     spread = values.where("value is not null").select("field", "value", F.explode_outer(candidates(F.col("value"))).alias("text"))

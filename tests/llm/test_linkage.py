@@ -10,7 +10,7 @@ ROWS = [
     (1, "A", "Senior Payments Planner", "Bapufo Labs GmbH", "Munich, DE"), (2, "B", "Sr. Planner (Payments)", "BAPUFO  Labs", "MÜNCHEN"), (3, "C", "Senior Payments Planner", "Bapfuo Labs", None),
     (4, "B", "Payments Planner", "Bapufo Labs", "Munich"), (5, "B", "Senior Payments Planner", "Bapufo Digital", "Munich"), (6, "B", "Senior Payments Planner", "Bapufo Labs", "Lisbon, PT"),
     (7, "B", "Senior Payments Planner, Xubaon", "Bapufo", "Greater Munich Area"), (8, "C", "Senior Payments Planner - Zokaion", "Bapufo Labs", "Muncih, DE"), (9, "A", "Senior Payments Planner", "Bapufo Labs", "Munich"),
-    (10, "B", None, "Bapufo Labs", "Munich"), (11, "B", "Senior Payments Planner", None, "Munich"), (12, None, "Senior Payments Planner", "Bapufo Labs", "Munich"), (13, "B", "???", "Bapufo Labs", "Munich"), (2, "B", "Sr. Planner (Payments)", "BAPUFO  Labs", "MÜNCHEN"),
+    (10, "B", None, "Bapufo Labs", "Munich"), (11, "B", "Senior Payments Planner", None, "Munich"), (12, None, "Senior Payments Planner", "Bapufo Labs", "Munich"), (13, "B", "???", "Bapufo Labs", "Munich"), (14, "B", "long " * 20000, "Bapufo Labs", "Munich"), (15, "A", "", "", ""), (2, "B", "Sr. Planner (Payments)", "BAPUFO  Labs", "MÜNCHEN"),
 ]
 
 
