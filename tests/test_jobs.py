@@ -225,6 +225,17 @@ def test_details_and_kinds(spark, tmp_path):
     assert "more than 1 rows" in (tmp_path / "a.html").read_text()
 
 
+def test_spread(spark, tmp_path):
+    from postquarry.session import spread
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one_file = spark.read.parquet(str(tmp_path / "one"))
+    assert spread(one_file).count() == 100 and spread(one_file).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    spark.range(100).repartition(9).write.parquet(str(tmp_path / "many"))
+    many = spark.read.option("maxPartitionBytes", 1).parquet(str(tmp_path / "many"))
+    assert spread(many).count() == 100
+
+
 def test_timed(caplog):
     from postquarry.session import timed
 
