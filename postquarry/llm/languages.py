@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .words import slices
 
 FAMILIES = {"germanic": ("en", "de", "nl"), "romance": ("fr", "es", "it", "pt")}
@@ -292,10 +293,10 @@ class Labeller:
         return out[["text", "segment", "lang", "confidence", "n_sentences", "n_segments"]]
 
 
-def label_segments(df: DataFrame, key: str = "row_id", texts: tuple[str, ...] = ("description",), wholes: tuple[str, ...] = ("title",), lang: str = "lang") -> DataFrame:
+def label_segments(df: DataFrame, key: str = "row_id", texts: tuple[str, ...] = ("description",), wholes: tuple[str, ...] = ("title",), lang: str = "lang", even: bool = False) -> DataFrame:
     """``key, field, segment, lang, confidence, n_sentences, n_segments, said``: the stretches of one language of every text, in reading order.
 
-    ``texts`` are split into sentences, each of ``wholes`` (titles) is one; a title too short to be sure of takes the language
+    ``even``: ``df`` is a scan that may have fewer partitions than there are cores. ``texts`` are split into sentences, each of ``wholes`` (titles) is one; a title too short to be sure of takes the language
     its row's text begins with.  ``said`` is what the declared language means (null: none).
     Null, empty and blank texts, and texts without a word, have no stretch.  Repeated rows are labelled each.  Without
     any declared language to learn from, all texts get the first language with a confidence near 0.5 or less.
@@ -332,9 +333,9 @@ def label_segments(df: DataFrame, key: str = "row_id", texts: tuple[str, ...] =
 
     kind = df.select(key).schema[0].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), declared(F.col(lang)).alias("said"), *[F.col(c).cast("string").alias(f"t{k}") for k, c in enumerate(fields)])
-    return rows.mapInArrow(run, f"key {kind}, field string, segment bigint, lang string, confidence double, n_sentences bigint, n_segments bigint, said string").withColumnRenamed("key", key)
+    return (spread(rows) if even else rows).mapInArrow(run, f"key {kind}, field string, segment bigint, lang string, confidence double, n_sentences bigint, n_segments bigint, said string").withColumnRenamed("key", key)
 
 
-def mislabelled_segments(df: DataFrame, key: str = "row_id", texts: tuple[str, ...] = ("description",), wholes: tuple[str, ...] = ("title",), lang: str = "lang") -> DataFrame:
+def mislabelled_segments(df: DataFrame, key: str = "row_id", texts: tuple[str, ...] = ("description",), wholes: tuple[str, ...] = ("title",), lang: str = "lang", even: bool = False) -> DataFrame:
     """``key, field, segment, lang, confidence`` of the texts whose declared language names none or another one, or that mix languages."""
-    return label_segments(df, key, texts, wholes, lang).where("n_segments > 1 or said is null or said <> lang")
+    return label_segments(df, key, texts, wholes, lang, even).where("n_segments > 1 or said is null or said <> lang")

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from ..session import table
+from ..session import spread, table
 from . import canonical, languages, leakage, linkage, reading, tokenizer
 
 
+def _documents(spark, d):
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang"))
+
+
 def p1_found(spark, d):
     return canonical.canonical_matches(table(spark, d, "combined_jobs"), table(spark, d, "canonical_values"))
 
 
 def p2_found(spark, d):
-    return languages.mislabelled_segments(table(spark, d, "combined_jobs")).select("row_id", "field", "segment", "lang")
+    return languages.mislabelled_segments(table(spark, d, "combined_jobs"), even=True).select("row_id", "field", "segment", "lang")
 
 
 def p2_segments(spark, d):
-    return languages.label_segments(table(spark, d, "combined_jobs"))
+    return languages.label_segments(table(spark, d, "combined_jobs"), even=True)
 
 
 def p6_pairs(spark, d):
@@ -27,23 +31,23 @@ def p6_found(spark, d):
 
 
 def p7_ids(spark, d):
-    return tokenizer.encode_corpus(table(spark, d, "documents"))
+    return tokenizer.encode_corpus(_documents(spark, d))
 
 
 def p8_found(spark, d):
-    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    return leakage.leaked_items(_documents(spark, d), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
 def p8_overlaps(spark, d):
-    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leakage.leaked_items(_documents(spark, d), table(spark, d, "eval_items"))
 
 
 def p9_found(spark, d):
-    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "level_labels")).select("doc_id", "reading_level")
+    return reading.reading_levels(_documents(spark, d), table(spark, d, "level_labels")).select("doc_id", "reading_level")
 
 
 def p9_grades(spark, d):
-    return reading.reading_grades(table(spark, d, "documents"))
+    return reading.reading_grades(_documents(spark, d))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_segments, p6_found, p6_pairs, p7_ids, p8_found, p8_overlaps, p9_found, p9_grades)}
