@@ -23,6 +23,8 @@ AGREE = 0.6
 #: The same for fields with two values or fewer, where agreement comes easily: it must also be far above chance, or the names alike.
 AGREE_FLAGS = 0.85
 ABOVE_CHANCE, ALIKE = 0.6, 0.4
+#: An instant in milliseconds since 1970, and a day, as texts; a field is of days if most of its values are either and at least this share of these are days.
+EPOCH, DAY, DAYS = r"^1\d{12}$", r"^\d{4}-\d{2}-\d{2}$", 0.05
 #: Most distinct field names of all feeds together that the unified table is built for.
 MAX_NAMES = 5000
 
@@ -240,11 +242,42 @@ def canonical_names(changes: DataFrame, schemas: DataFrame, aliases: tuple[tuple
     return {n: min(g, key=lambda x: (-used.get(x, 0), x)) for g in groups.values() for n in g}
 
 
+def text_form(value: Column, kind: Column) -> Column:
+    """A value as it reads where it is plain text: an object's values joined by ``, `` in the order of its keys, a list's by ``; ``.
+
+    Empty members are left out; what is nested deeper stays JSON.
+    """
+    return (
+        F.when(kind == "object", F.array_join(F.map_values(F.from_json(value, "map<string,string>")), ", "))
+        .when(kind == "array", F.array_join(F.from_json(value, "array<string>"), "; "))
+        .otherwise(value)
+    )
+
+
+def field_types(routed: DataFrame) -> dict[str, str]:
+    """Each canonical field -> ``day``, or the type of most of its values; ``routed`` has ``__name, kind, __text``."""
+    counts = routed.where("kind is not null").groupBy("__name").agg(
+        F.mode("kind", True).alias("kind"), F.count("*").alias("n"), F.count_if(F.col("__text").rlike(DAY)).alias("days"), F.count_if(F.col("__text").rlike(EPOCH)).alias("instants")
+    )
+    is_day = lambda r: r["days"] > 0 and 2 * (r["days"] + r["instants"]) > r["n"] and r["days"] >= DAYS * (r["days"] + r["instants"])
+    return {r["__name"]: "day" if is_day(r) else r["kind"] for r in counts.collect()}
+
+
+def cast_step(to: str | None) -> Column:
+    """The value of a field of type ``to``: a double, a flag, else text, in which instants of a field of days are the day in UTC."""
+    if to in ("number", "boolean"):
+        return F.col("plain")
+    if to == "day":
+        day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("__text").try_cast("bigint") / 86_400_000).cast("int"))
+        return F.when(F.col("__text").rlike(EPOCH), day.cast("string")).otherwise(F.col("__text"))
+    return F.col("__text")
+
+
 def unified_table(files: DataFrame) -> DataFrame:
     """One row per readable record: ``record_id, feed, file_name, exported_on`` and one column per canonical field.
 
     Each file's fields are renamed along the chain of migration steps; a column is double or boolean if that is the type of
-    most of its values, else text (lists joined by ``; ``, one-field objects unwrapped); a value that
+    most of its values, else text (``text_form``; days and instants in milliseconds beside them as days); a value that
     can't be cast, or a field the file doesn't have, is null.
     """
     values = cut(long_values(files))
@@ -254,10 +287,10 @@ def unified_table(files: DataFrame) -> DataFrame:
         return read_records(files).select("record_id", "feed", "file_name", "exported_on")
     lookup = F.create_map(*[F.lit(x) for kv in sorted(names.items()) for x in kv])
     routed = values.withColumn("__name", F.try_element_at(lookup, F.col("field")))
-    kinds = {r["__name"]: r["kind"] for r in routed.where("kind is not null").groupBy("__name").agg(F.mode("kind", True).alias("kind")).collect()}
-    text = F.when(F.col("kind").isin("array", "object"), F.regexp_replace(F.regexp_replace("value", r'^\{"[^"]*":"?|^\["?|"?[\]}]$', ""), r'","', "; ")).otherwise(F.col("value"))
-    wide = routed.withColumn("__text", text).groupBy("record_id", "feed", "file_name", "exported_on").agg(
-        *[F.max(F.when(F.col("__name") == n, F.when(F.lit(kinds.get(n) in ("number", "boolean")), F.col("plain")).otherwise(F.col("__text")))).alias(f"__f{k}") for k, n in enumerate(sorted(set(names.values())))]
+    routed = routed.withColumn("__text", text_form(F.col("value"), F.col("kind")))
+    kinds = field_types(routed)
+    wide = routed.groupBy("record_id", "feed", "file_name", "exported_on").agg(
+        *[F.max(F.when(F.col("__name") == n, cast_step(kinds.get(n)))).alias(f"__f{k}") for k, n in enumerate(sorted(set(names.values())))]
     )
     cast = {"number": "double", "boolean": "boolean"}
     taken = {"record_id", "feed", "file_name", "exported_on"}

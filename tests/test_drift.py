@@ -67,3 +67,24 @@ def test_ties_long_values_and_nulls(spark):
     assert got == {("one", "a"): "number", ("one", "b"): "string", ("none yet", "only"): None}
     changes = {(r.field, r.change) for r in drift.schema_changes(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert changes == {("a", "removed"), ("b", "removed"), ("only", "added")}
+
+
+def test_objects_and_epochs_read_like_their_text_form(spark):
+    rows, rid = [], 0
+    for day, old in ((1, True), (8, False)):
+        for k in range(12):
+            rid += 1
+            place = f"City {k}, C{k % 3}" if old else {"country": f"C{k % 3}", "city": f"City {k}"}
+            posted = f"2024-01-{k + 10}" if old else 1704067200000 + (k + 9) * 86_400_000 + 3_600_000 * (k == 2)
+            d = {"id": str(k), "location": place, "posted": posted, "tags": f'a "{k}"; b' if old else [f'a "{k}"', "b"], "team": f"R&D \\ {k}" if old else {"label": f"R&D \\ {k}"}}
+            rows.append((rid, "f", f"f_{day}.json", date(2024, 1, day), json.dumps(d), None))
+    t = {x.record_id: x for x in drift.unified_table(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for c in ("location", "posted", "tags", "team"):
+        assert [t[k][c] for k in range(1, 13)] == [t[k + 12][c] for k in range(1, 13)], c
+    assert t[13]["location"] == "City 0, C0" and t[13]["posted"] == "2024-01-10" and t[13]["tags"] == 'a "0"; b'
+
+
+def test_epochs_in_the_majority_leave_the_days(spark):
+    rows = [(k, "f", "one", date(2024, 1, 1), json.dumps({"posted": "2024-01-01" if k < 3 else 1704067200000, "stamp": 1704067200000 + k}), None) for k in range(9)]
+    got = drift.unified_table(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.posted for r in got} == {"2024-01-01"}
