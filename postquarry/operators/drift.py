@@ -25,6 +25,8 @@ AGREE_FLAGS = 0.85
 ABOVE_CHANCE, ALIKE = 0.6, 0.4
 #: An instant in milliseconds since 1970, and a day, as texts; a field is of days if most of its values are either and at least this share of these are days.
 EPOCH, DAY, DAYS = r"^1\d{12}$", r"^\d{4}-\d{2}-\d{2}$", 0.05
+#: A number as people write it.
+AMOUNT = r"^-?\d[\d, ]*(\.\d+)?( [A-Z]{3})?$"
 #: Most distinct field names of all feeds together that the unified table is built for.
 MAX_NAMES = 5000
 
@@ -264,9 +266,16 @@ def field_types(routed: DataFrame) -> dict[str, str]:
 
 
 def cast_step(to: str | None) -> Column:
-    """The value of a field of type ``to``: a double, a flag, else text, in which instants of a field of days are the day in UTC."""
-    if to in ("number", "boolean"):
-        return F.col("plain")
+    """The value of a field of type ``to``: a double, a flag, else text, in which instants of a field of days are the day in UTC.
+
+    Numbers may have thousands set apart and a currency behind them; only flags take 0 and 1 for false and true.
+    """
+    if to == "number":
+        bare = F.regexp_replace(F.regexp_replace("__text", r" [A-Z]{3}$", ""), "[, ]", "")
+        return F.when(F.col("__text").rlike(AMOUNT), bare).otherwise(F.col("__text")).try_cast("double")
+    if to == "boolean":
+        flag = F.lower(F.trim("__text"))
+        return F.when(flag.isin("true", "yes", "y", "1"), True).when(flag.isin("false", "no", "n", "0"), False)
     if to == "day":
         day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("__text").try_cast("bigint") / 86_400_000).cast("int"))
         return F.when(F.col("__text").rlike(EPOCH), day.cast("string")).otherwise(F.col("__text"))
@@ -292,9 +301,8 @@ def unified_table(files: DataFrame) -> DataFrame:
     wide = routed.groupBy("record_id", "feed", "file_name", "exported_on").agg(
         *[F.max(F.when(F.col("__name") == n, cast_step(kinds.get(n)))).alias(f"__f{k}") for k, n in enumerate(sorted(set(names.values())))]
     )
-    cast = {"number": "double", "boolean": "boolean"}
     taken = {"record_id", "feed", "file_name", "exported_on"}
     return wide.select(
         "record_id", "feed", "file_name", "exported_on",
-        *[F.col(f"__f{k}").try_cast(cast.get(kinds.get(n), "string")).alias(n if n not in taken else f"field_{n}") for k, n in enumerate(sorted(set(names.values())))],
+        *[F.col(f"__f{k}").alias(n if n not in taken else f"field_{n}") for k, n in enumerate(sorted(set(names.values())))],
     )

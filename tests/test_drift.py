@@ -88,3 +88,11 @@ def test_epochs_in_the_majority_leave_the_days(spark):
     rows = [(k, "f", "one", date(2024, 1, 1), json.dumps({"posted": "2024-01-01" if k < 3 else 1704067200000, "stamp": 1704067200000 + k}), None) for k in range(9)]
     got = drift.unified_table(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {r.posted for r in got} == {"2024-01-01"}
+
+
+def test_numbers_keep_zero_one_and_epochs(spark):
+    values = [(0, 0, 1704067200000, True), (1, 1, 1704067200001, 0), (7, "-2,500.5 EUR", 1704067200002, "yes"), (8, "1 000 EUR", 1704067200003, "No"), (9, 5, 1704067200004, False), (9, 5, 1704067200005, False)]
+    rows = [(k, "f", "one", date(2024, 1, 1), json.dumps(dict(zip(("openings", "salary", "stamp", "active"), v))), None) for k, v in enumerate(values)]
+    got = drift.unified_table(spark.createDataFrame(rows, SCHEMA)).orderBy("record_id").collect()
+    assert [r.openings for r in got] == [0, 1, 7, 8, 9, 9] and [r.salary for r in got] == [0, 1, -2500.5, 1000, 5, 5]
+    assert [r.stamp for r in got] == [v[2] for v in values] and [r.active for r in got] == [True, False, True, False, False, False]
