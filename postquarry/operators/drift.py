@@ -244,6 +244,44 @@ def canonical_names(changes: DataFrame, schemas: DataFrame, aliases: tuple[tuple
     return {n: min(g, key=lambda x: (-used.get(x, 0), x)) for g in groups.values() for n in g}
 
 
+def routes(values: DataFrame, changes: DataFrame, schemas: DataFrame) -> DataFrame:
+    """``feed, file_name, field, __name``: the column of the unified table that each field of each file goes to.
+
+    A field follows the renames of its own feed from its file on, until it is removed; a name that comes to stand for another
+    thing later is another field. Last names that are one across feeds (``canonical_names``) share a column, but where a
+    record of the feed has values under two of them each keeps a column: the field that lasts keeps the common name, the
+    other takes its own last name, numbered if that is taken.
+    """
+    at = file_order(schemas).withColumn("__at", F.row_number().over(Window.partitionBy("feed").orderBy("exported_on", "file_name"))).select("feed", "file_name", "__at")
+    steps = changes.where("change in ('renamed', 'removed')").join(at, ["feed", "file_name"])
+    steps = steps.groupBy("feed").agg(F.array_sort(F.collect_list(F.struct(F.col("__at").alias("at"), F.col("field").alias("old"), F.col("new_field").alias("new")))).alias("__steps"))
+    state = lambda name, ended: F.struct(name.alias("name"), ended.cast("int").alias("ended"))
+
+    def follow(s: Column, x: Column) -> Column:
+        meant = (x["at"] > F.col("__at")) & (s["ended"] == 0) & (x["old"] == s["name"])
+        return F.when(meant & (x["new"] != ""), state(x["new"], F.lit(0))).when(meant, state(s["name"], x["at"])).otherwise(s)
+
+    fields = schemas.select("feed", "file_name", "field").join(at, ["feed", "file_name"]).join(steps, "feed", "left")
+    last = F.when(F.col("__steps").isNull(), state(F.col("field"), F.lit(0))).otherwise(F.aggregate("__steps", state(F.col("field"), F.lit(0)), follow))
+    fields = fields.withColumn("__last", last).select("feed", "file_name", "field", F.col("__last.name").alias("__final"), F.col("__last.ended").alias("__ended"))
+    names = canonical_names(changes, schemas)
+    lookup = F.create_map(*[F.lit(x) for kv in sorted(names.items()) for x in kv])
+    fields = cut(fields.withColumn("__common", F.try_element_at(lookup, F.col("__final"))))
+    # fields of one file that share a column, and those of them that a record has values under
+    meet = fields.join(fields.groupBy("feed", "file_name", "__common").count().where("count > 1").drop("count"), ["feed", "file_name", "__common"])
+    held = values.where("value is not null").select("feed", "file_name", "record_id", "field").join(meet, ["feed", "file_name", "field"])
+    held = held.groupBy("feed", "file_name", "record_id", "__common").agg(F.collect_set(F.struct("__final", "__ended")).alias("__s")).where("size(__s) > 1")
+    strand = ["feed", "__common", "__final", "__ended"]
+    held = held.select("feed", "__common", F.explode("__s").alias("__s")).select("feed", "__common", "__s.*").distinct().withColumn("__held", F.lit(True))
+    first = Window.partitionBy("feed", "__common").orderBy(F.col("__ended") > 0, F.col("__final") != F.col("__common"), F.desc("n"), "__final", "__ended")
+    strands = fields.groupBy(*strand).agg(F.count("*").alias("n")).join(held, strand, "left").withColumn("__rank", F.row_number().over(first))
+    strands = strands.withColumn("__apart", (F.col("__rank") > 1) & F.col("__held").isNotNull())
+    number = F.row_number().over(Window.partitionBy("feed", "__common", "__final", "__apart").orderBy("__rank")) + (F.col("__final") == F.col("__common")).cast("int")
+    own = F.when(number == 1, F.col("__final")).otherwise(F.concat_ws("_", "__final", number.cast("string")))
+    strands = strands.select(*strand, F.when(F.col("__apart"), own).otherwise(F.col("__common")).alias("__name"))
+    return fields.join(strands, strand).select("feed", "file_name", "field", "__name")
+
+
 def text_form(value: Column, kind: Column) -> Column:
     """A value as it reads where it is plain text: an object's values joined by ``, `` in the order of its keys, a list's by ``; ``.
 
@@ -285,24 +323,26 @@ def cast_step(to: str | None) -> Column:
 def unified_table(files: DataFrame) -> DataFrame:
     """One row per readable record: ``record_id, feed, file_name, exported_on`` and one column per canonical field.
 
-    Each file's fields are renamed along the chain of migration steps; a column is double or boolean if that is the type of
+    Each file's fields are renamed along the chain of its feed's migration steps (``routes``); a column is double or boolean if that is the type of
     most of its values, else text (``text_form``; days and instants in milliseconds beside them as days); a value that
     can't be cast, or a field the file doesn't have, is null.
     """
     values = cut(long_values(files))
     schemas = cut(file_schemas(values))
-    names = canonical_names(_changes(values, schemas, file_order(schemas)), schemas)
-    if not names:
+    if schemas.isEmpty():
         return read_records(files).select("record_id", "feed", "file_name", "exported_on")
-    lookup = F.create_map(*[F.lit(x) for kv in sorted(names.items()) for x in kv])
-    routed = values.withColumn("__name", F.try_element_at(lookup, F.col("field")))
+    ways = cut(routes(values, cut(_changes(values, schemas, file_order(schemas))), schemas))
+    names = [r["__name"] for r in ways.select("__name").distinct().limit(MAX_NAMES + 1).collect()]
+    if len(names) > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} columns; raise MAX_NAMES or split the feeds")
+    routed = values.drop("plain").join(ways, ["feed", "file_name", "field"])
     routed = routed.withColumn("__text", text_form(F.col("value"), F.col("kind")))
     kinds = field_types(routed)
     wide = routed.groupBy("record_id", "feed", "file_name", "exported_on").agg(
-        *[F.max(F.when(F.col("__name") == n, cast_step(kinds.get(n)))).alias(f"__f{k}") for k, n in enumerate(sorted(set(names.values())))]
+        *[F.max(F.when(F.col("__name") == n, cast_step(kinds.get(n)))).alias(f"__f{k}") for k, n in enumerate(sorted(names))]
     )
     taken = {"record_id", "feed", "file_name", "exported_on"}
     return wide.select(
         "record_id", "feed", "file_name", "exported_on",
-        *[F.col(f"__f{k}").alias(n if n not in taken else f"field_{n}") for k, n in enumerate(sorted(set(names.values())))],
+        *[F.col(f"__f{k}").alias(n if n not in taken else f"field_{n}") for k, n in enumerate(sorted(names))],
     )

@@ -96,3 +96,29 @@ def test_numbers_keep_zero_one_and_epochs(spark):
     got = drift.unified_table(spark.createDataFrame(rows, SCHEMA)).orderBy("record_id").collect()
     assert [r.openings for r in got] == [0, 1, 7, 8, 9, 9] and [r.salary for r in got] == [0, 1, -2500.5, 1000, 5, 5]
     assert [r.stamp for r in got] == [v[2] for v in values] and [r.active for r in got] == [True, False, True, False, False, False]
+
+
+def test_names_follow_the_steps_of_their_own_feed(spark):
+    rows, rid = [], 0
+
+    def add(feed, day, make):
+        nonlocal rid
+        for k in range(12):
+            rid += 1
+            rows.append((rid, feed, f"{feed}_{day}", date(2024, 1, day), json.dumps({"id": f"{feed}{k}", **make(k)}), None))
+
+    # a: place becomes location; b: both at once, two things; c: team becomes unit, later another thing is called team
+    add("a", 1, lambda k: {"place": f"A {k}"})
+    add("a", 2, lambda k: {"location": f"A {k}"})
+    add("b", 1, lambda k: {"place": f"Desk {k}", "location": f"B {k}"})
+    add("b", 2, lambda k: {"place": f"Desk {k}"})
+    add("c", 1, lambda k: {"team": f"Unit {k}"})
+    add("c", 2, lambda k: {"unit": f"Unit {k}"})
+    add("c", 3, lambda k: {"unit": f"Unit {k}", "team": f"Z{k * 7}"})
+    t = [r.asDict() for r in drift.unified_table(spark.createDataFrame(rows, SCHEMA)).collect()]
+    said = lambda feed, day: [{v for c, v in r.items() if c not in ("record_id", "feed", "file_name", "exported_on", "id") and v is not None} for r in sorted(t, key=lambda r: r["record_id"]) if r["file_name"] == f"{feed}_{day}"]
+    where = lambda feed, day, prefix: {c for r in t if r["file_name"] == f"{feed}_{day}" for c, v in r.items() if c not in ("feed", "file_name", "id") and str(v).startswith(prefix)}
+    assert said("b", 1) == [{f"Desk {k}", f"B {k}"} for k in range(12)] and said("c", 3) == [{f"Unit {k}", f"Z{k * 7}"} for k in range(12)]
+    assert where("a", 1, "A") == where("a", 2, "A") and len(where("a", 1, "A")) == 1
+    assert where("b", 1, "Desk") == where("b", 2, "Desk") and len(where("b", 1, "Desk")) == 1
+    assert where("c", 1, "Unit") == where("c", 2, "Unit") == where("c", 3, "Unit") != where("c", 3, "Z")
