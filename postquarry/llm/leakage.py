@@ -27,6 +27,8 @@ from .words import flat_words, slices
 
 #: Word positions that a seed looks at.
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 5, 7), (0, 1, 3, 4, 5, 7))
+#: Further positions for passages of so many words, which the masks are too long for or miss with their one changed word.
+SHORT = {**{n: tuple(range(n)) for n in range(1, MASKS[0][-1] + 1)}, 8: (0, 2, 3, 4, 5, 6, 7)}
 #: Consecutive words that make a leak, and one word in how many may differ.
 LEAST, ONE_IN = 15, 8
 #: Passages' seeds that are sent to every worker at most (16 MB).
@@ -35,9 +37,9 @@ MAX_SENT = 2_000_000
 _ODD = (np.random.default_rng(7).integers(1, 2**62, 16).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-def seeds(hashes: np.ndarray, mask_no: int) -> np.ndarray:
+def seeds(hashes: np.ndarray, mask_no: int, mask: tuple[int, ...] | None = None) -> np.ndarray:
     """The seed of each window of ``hashes`` under a mask, as signed 64-bit numbers."""
-    mask = MASKS[mask_no]
+    mask = mask or MASKS[mask_no]
     n = len(hashes) - mask[-1]
     if n <= 0:
         return np.empty(0, np.int64)
@@ -48,17 +50,23 @@ def seeds(hashes: np.ndarray, mask_no: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _windows(texts: list[str | None], known: np.ndarray | None):
-    """Per text: its words and (seed, position) of the windows that count."""
+def _windows(texts: list[str | None], known: np.ndarray | None, short: list[int] | None = None):
+    """Per text: its words and (seed, position) of the windows that count.
+
+    Masks of ``SHORT`` count for the lengths in ``short``; without it, the texts are passages, each with the one of its own length.
+    """
     parts, flat, ends = flat_words(texts)
     if not len(flat):
         return parts, [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(parts)
     found_h, found_p = [], []
     text_of = np.repeat(np.arange(len(parts)), np.diff(ends, prepend=0))
-    for m, mask in enumerate(MASKS):
-        h = seeds(flat, m)
+    n_words = np.diff(ends, prepend=0)
+    for m, mask, length in [*((m, mask, 0) for m, mask in enumerate(MASKS)), *((len(MASKS) + n, SHORT[n], n) for n in (SHORT if short is None else short))]:
+        h = seeds(flat, m, mask)
         p = np.arange(len(h))
         ok = text_of[p] == text_of[np.minimum(p + mask[-1], len(flat) - 1)] if len(h) else np.empty(0, bool)
+        if length and short is None:
+            ok &= n_words[text_of[p]] == length
         if known is not None and len(h):
             at = np.searchsorted(known, h)
             ok &= known[np.minimum(at, len(known) - 1)] == h if len(known) else False
@@ -78,7 +86,7 @@ _REGION = T.StructType([
 ])
 
 
-def _regions(docs: DataFrame, key: str, text: str, known, reach: int) -> DataFrame:
+def _regions(docs: DataFrame, key: str, text: str, known, reach: int, short: list[int]) -> DataFrame:
     """Stretches of documents around seeds: the words from ``reach`` before the first seed to ``reach`` after the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +95,7 @@ def _regions(docs: DataFrame, key: str, text: str, known, reach: int) -> DataFra
         sent = None if known is None else known.value
         for whole in batches:
             for b in slices(whole):
-                parts, hits = _windows(b.column(1).to_pylist(), sent)
+                parts, hits = _windows(b.column(1).to_pylist(), sent, short)
                 rows = []
                 for doc, ws, (h, p) in zip(b.column(0).to_pylist(), parts, hits):
                     if not len(p):
@@ -127,8 +135,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_ke
     """``key, item_key, n_words``: every document that carries a passage, with the longest stretch it carries.
 
     Case, punctuation, spacing, markup, accents and up to one word in eight may differ.  Null, empty and
-    blank texts carry nothing and are carried nowhere; a passage of fewer words than a seed spans is searched by its own
-    words only if it is at least that long, else not at all.  Repeated documents are reported each under their key;
+    blank texts carry nothing and are carried nowhere; passages shorter than the masks are
+    found by their whole word sequence, at every place.  Repeated documents are reported each under their key;
     a null key can't be reported and is left out.
     """
     spark = docs.sparkSession
@@ -144,14 +152,14 @@ def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_ke
 
     named = items.where(F.col(item_key).isNotNull()).select(F.col(item_key).cast("bigint").alias("item"), F.col(text).cast("string").alias("text"))
     passages = cut(named.mapInArrow(item_rows, "item bigint, item_words array<string>, seeds array<struct<h:bigint,p:int>>"))
-    size = passages.agg(F.sum(F.size("seeds")).alias("n"), F.max(F.size("item_words")).alias("longest")).first()
+    size = passages.agg(F.sum(F.size("seeds")).alias("n"), F.max(F.size("item_words")).alias("longest"), F.collect_set(F.size("item_words")).alias("sizes")).first()
     n, reach = size["n"] or 0, size["longest"] or 0
     few = n <= MAX_SENT
     known = None
     if few:
         sent = [r["h"] for r in passages.select(F.explode("seeds.h").alias("h")).distinct().collect()]
         known = spark.sparkContext.broadcast(np.sort(np.array(sent, np.int64)))
-    regions = cut(_regions(docs.where(F.col(key).isNotNull()), key, text, known, reach))
+    regions = cut(_regions(docs.where(F.col(key).isNotNull()), key, text, known, reach, sorted(set(size["sizes"] or []) & set(SHORT))))
     small = F.broadcast if few else (lambda x: x)
     item_seeds = passages.select("item", F.explode("seeds").alias("s")).select("item", F.col("s.h").alias("h"), F.col("s.p").alias("at"))
     hits = regions.select("doc", "region", F.explode("seeds").alias("s")).select("doc", "region", F.col("s.h").alias("h"), F.col("s.p").alias("p")).join(small(item_seeds), "h")

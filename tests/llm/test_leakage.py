@@ -73,3 +73,22 @@ def test_slices():
 
 def test_words():
     assert words("A<br/>B&amp;C d’É­x http://u.v w1") == ["a", "b", "c", "d", "ex", "w1"] and words(None) == []
+
+
+def test_passages_shorter_than_the_masks(spark, monkeypatch):
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in range(1, 10)]
+    docs, want = [], set()
+    for n, text in items:
+        ws = text.split()
+        for at in (0, 1, 9):
+            docs.append((len(docs), " ".join([*(["before"] * at), *ws, *(["after"] * (at // 9))])))
+            want.add((docs[-1][0], n))
+        for k in range(n):
+            docs.append((len(docs), " ".join([*ws[:k], "other", *ws[k + 1 :]])))
+            if n >= 8:
+                want.add((docs[-1][0], n))
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    for most in (L.MAX_SENT, 0):
+        monkeypatch.setattr(L, "MAX_SENT", most)
+        got = {(r.doc_id, r.item_id) for r in L.leaked_items(d, i).collect()}
+        assert got == want
