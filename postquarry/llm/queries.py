@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from ..session import spread, table
+from ..session import table
 from . import canonical, languages, leakage, linkage, reading, tokenizer
 
 
 def _documents(spark, d):
-    return spread(table(spark, d, "documents").select("doc_id", "text", "lang"))
+    return table(spark, d, "documents").select("doc_id", "text", "lang")
 
 
 def p1_found(spark, d):
@@ -15,11 +15,11 @@ def p1_found(spark, d):
 
 
 def p2_found(spark, d):
-    return languages.mislabelled_segments(table(spark, d, "combined_jobs"), even=True).select("row_id", "field", "segment", "lang")
+    return languages.mislabelled_segments(table(spark, d, "combined_jobs")).select("row_id", "field", "segment", "lang")
 
 
 def p2_segments(spark, d):
-    return languages.label_segments(table(spark, d, "combined_jobs"), even=True)
+    return languages.label_segments(table(spark, d, "combined_jobs"))
 
 
 def p6_pairs(spark, d):
