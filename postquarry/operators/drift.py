@@ -1,36 +1,44 @@
-"""Schemas that drift between the files of a feed.
+"""Schemas that drift between the files of a feed: versioned fingerprints and migration steps.
 
-Every file gets a schema fingerprint: its fields, each with the type that most of its non-null
-values have.  Consecutive files of a feed (by export date, however late they were delivered) are
-compared; a field that went and one that came are one renamed field if records present in both
-files carry the same content under the two names.  Each difference is a recorded migration step;
-the steps chain names through time, so that every record of every file is routed into one table
-with one name and one type per field.
+Every file has a schema: its fields, each with the type that most of its non-null values have, and a
+fingerprint over it.  Within a feed, files in order of export (however late they were delivered) make
+versions: the number goes up where the fingerprint differs from the file before (``schema_versions``).
+Only there, migration steps are derived: drop, add with a default, rename, cast (``migration_steps``).
+A field that went and one that came are one renamed field if records present in both files carry
+the same content under the two names; only files of such versions are read again for that, and of their
+values only those of fields that went or came are compared.
+
+``routes`` folds the steps of a feed into one route per file: which field fills which column.  Every
+record is then moved through its file's route (rename, default, cast) in one projection, without a shuffle of
+records: the routes are small and are joined on (feed, file).
 
 Records are aligned without knowing the key (the key itself gets renamed): two records of
-consecutive files belong together if they share the most values that are unique in both files.
+consecutive files belong together if they share the most values that stand in one record of each file only.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, is_small
 
 #: Share of aligned, non-null value pairs that must agree for a rename.
 AGREE = 0.6
 #: The same for fields with two values or fewer, where agreement comes easily: it must also be far above chance, or the names alike.
 AGREE_FLAGS = 0.85
 ABOVE_CHANCE, ALIKE = 0.6, 0.4
-#: An instant in milliseconds since 1970, and a day, as texts; a field is of days if most of its values are either and at least this share of these are days.
-EPOCH, DAY, DAYS = r"^1\d{12}$", r"^\d{4}-\d{2}-\d{2}$", 0.05
+#: A field is of days if most of its values are days or instants in milliseconds since 1970, and at least this share of these are days.
+DAY, DAYS = r"^\d{4}-\d{2}-\d{2}$", 0.05
+EPOCH = r"^1\d{12}$"
 #: A number as people write it.
 AMOUNT = r"^-?\d[\d, ]*(\.\d+)?( [A-Z]{3})?$"
-#: Most distinct field names of all feeds together that the unified table is built for.
+#: Columns of the wide table at most; ``unified_rows`` has no such bound.
 MAX_NAMES = 5000
+KINDS = ("array", "boolean", "number", "object", "string")
 
-#: Names known to mean the same, whether or not a feed was seen to rename one into the other.
+#: Pairs of names known to mean the same in the feeds at hand: a parameter of ``routes`` and what builds on it.
 ALIASES = (("job_url", "url"), ("category", "job_category"), ("job_location", "location"), ("is_active", "active"), ("minSalary", "salary_min"))
 
 
@@ -47,188 +55,175 @@ def _kind(schema: Column) -> Column:
 
 
 def plain_value(text: Column, kind: Column) -> Column:
-    """A value in one dress whatever its type: lists joined, objects without their keys, numbers bare, flags as true/false, days as dates."""
-    t = F.when(kind == "object", F.regexp_replace(F.regexp_replace(text, r'"[^"]*":', ""), r'[{}\[\]"]', "")).otherwise(text)
-    t = F.when(kind == "array", F.regexp_replace(F.regexp_replace(t, r'^\["?|"?\]$', ""), r'"?,"?', "; ")).otherwise(t)
+    """A value in one dress whatever its type: lists joined, objects without their keys, amounts bare, flags as true/false, instants as days."""
+    day = F.date_format(F.timestamp_millis(text.try_cast("bigint")), "yyyy-MM-dd")
+    amount = F.regexp_replace(F.regexp_replace(text, r" [A-Z]{3}$", ""), r"[, ]", "")
+    t = F.when(kind == "object", F.regexp_replace(F.regexp_replace(text, r'"[^"]*":', ""), r'[{}\[\]"]', ""))
+    t = F.coalesce(t, F.when(kind == "array", F.regexp_replace(F.regexp_replace(text, r'^\["?|"?\]$', ""), r'"?,"?', "; ")), text)
     t = F.lower(F.trim(F.regexp_replace(F.regexp_replace(t, r"[;,] ?", "; "), r"\s+", " ")))
-    # parts of short values in one order
-    t = F.when(t.contains("; ") & (F.length(t) < 200), F.array_join(F.array_sort(F.split(t, "; ")), "; ")).otherwise(t)
+    t = F.when(t.contains("; "), F.array_join(F.array_sort(F.split(t, "; ")), "; ")).otherwise(t)
+    t = F.when((kind == "number") & text.rlike(EPOCH), day).when(text.rlike(r"^\d[\d, ]*( [A-Z]{3})?$"), amount).otherwise(t)
     return F.when(t.isin("true", "yes", "y", "1"), "true").when(t.isin("false", "no", "n", "0"), "false").otherwise(t)
 
 
 def read_records(files: DataFrame) -> DataFrame:
-    """``record_id, feed, file_name, exported_on, v`` (variant) of the readable records: JSON objects.
+    """``record_id, feed, file_name, exported_on, m`` (key -> variant) of the readable records: JSON objects.
 
-    Damaged lines, null records and JSON that is no object are left out here; ``unreadable`` counts them.
+    Damaged lines, null records, JSON that is no object, and rows without feed or file are left out; ``unreadable`` counts them.
     """
-    v = F.try_parse_json(F.col("record"))
-    return (
-        files.select("record_id", "feed", "file_name", "exported_on", v.alias("v"))
-        .where(F.col("feed").isNotNull() & F.col("file_name").isNotNull())
-        .where(F.schema_of_variant("v").startswith("OBJECT"))
-    )
+    m = F.expr("try_cast(try_parse_json(record) as map<string,variant>)")
+    return files.where("feed is not null and file_name is not null").select("record_id", "feed", "file_name", "exported_on", m.alias("m")).where("m is not null")
 
 
 def unreadable(files: DataFrame) -> DataFrame:
     """``feed, file_name, n_unreadable`` for files that have records which are no JSON object."""
-    bad = F.coalesce(~F.schema_of_variant(F.try_parse_json("record")).startswith("OBJECT"), F.lit(True))
+    bad = F.expr("try_cast(try_parse_json(record) as map<string,variant>) is null")
     return files.groupBy("feed", "file_name").agg(F.count_if(bad).alias("n_unreadable")).where("n_unreadable > 0")
 
 
-def long_values(files: DataFrame) -> DataFrame:
-    """One row per record and key: ``feed, file_name, exported_on, record_id, field, kind, value, plain``."""
-    rows = read_records(files).lateralJoin(
-        files.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("key").alias("field"), F.col("value").alias("__value"))
-    )
-    kind = _kind(F.schema_of_variant("__value"))
-    out = rows.select(
-        "feed", "file_name", "exported_on", "record_id", "field", kind.alias("kind"),
-        F.when(kind.isNotNull(), F.expr("cast(__value as string)")).alias("value"),
+def file_schemas(files: DataFrame) -> DataFrame:
+    """``feed, file_name, exported_on, field, type, n_values, n_days, n_instants``, one row per file and field.
+
+    ``type`` is null if all values are null; ties between types go to the first by name. One pass: records are counted before anything moves.
+    """
+    values = read_records(files).select("feed", "file_name", "exported_on", F.explode("m").alias("field", "v"))
+    values = values.select("feed", "file_name", "exported_on", "field", "v", _kind(F.schema_of_variant("v")).alias("kind"))
+    text = F.expr("cast(v as string)")
+    counts = values.groupBy("feed", "file_name", "field").agg(
+        F.min("exported_on").alias("exported_on"), *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS],
+        F.count_if((F.col("kind") == "string") & (F.length(text) == 10) & text.rlike(DAY)).alias("n_days"), F.count_if((F.col("kind") == "number") & text.rlike(EPOCH)).alias("n_instants"),
     )
-    days = F.date_format(F.timestamp_millis(F.expr("try_cast(value as bigint)")), "yyyy-MM-dd")
-    money = F.regexp_replace(F.regexp_replace(F.col("value"), r" [A-Z]{3}$", ""), r"[, ]", "")
-    plain = (
-        F.when((F.col("kind") == "number") & F.col("value").rlike(r"^1\d{12}$"), days)
-        .when(F.col("value").rlike(r"^\d[\d, ]*( [A-Z]{3})?$"), money)
-        .otherwise(plain_value(F.col("value"), F.col("kind")))
-    )
-    plain = F.when(plain == "1", "true").when(plain == "0", "false").otherwise(plain)
-    return out.withColumn("plain", plain)
+    most = F.array_max(F.array(*[F.struct(F.col(f"n_{k}").alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(KINDS)]))
+    total = sum((F.col(f"n_{k}") for k in KINDS), F.lit(0))
+    return counts.select("feed", "file_name", "exported_on", "field", F.when(most["n"] > 0, most["k"]).alias("type"), total.alias("n_values"), "n_days", "n_instants")
 
 
-def file_schemas(values: DataFrame) -> DataFrame:
-    """``feed, file_name, exported_on, field, type`` (null if all its values are null); ties between types go to the first by name."""
-    w = Window.partitionBy("feed", "file_name", "field").orderBy(F.desc("__n"), "kind")
-    counts = values.groupBy("feed", "file_name", "field", "kind").agg(F.count("*").alias("__n"), F.min("exported_on").alias("exported_on"))
-    counts = counts.withColumn("__n", F.when(F.col("kind").isNull(), F.lit(-1)).otherwise(F.col("__n")))
-    return (
-        counts.withColumn("__rank", F.row_number().over(w))
-        .where("__rank = 1")
-        .select("feed", "file_name", "exported_on", "field", F.col("kind").alias("type"))
+def versions_of(schemas: DataFrame) -> DataFrame:
+    """One row per file: ``feed, file_name, exported_on, version, fingerprint, types, previous, was``; ``types`` and ``was`` are field -> type of it and of the file before.
+
+    The rows of a feed meet in one task: one per file, whatever the number of its records.
+    """
+    prints = schemas.groupBy("feed", "file_name").agg(
+        F.min("exported_on").alias("exported_on"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", F.coalesce("type", F.lit("null")).alias("type"))))).alias("types"),
     )
+    print_of = F.md5(F.array_join(F.transform(F.map_entries("types"), lambda e: F.concat_ws(":", e["key"], e["value"])), ","))
+    w = Window.partitionBy("feed").orderBy("exported_on", "file_name")
+    rows = prints.withColumn("fingerprint", print_of)
+    rows = rows.withColumn("previous", F.lag("file_name").over(w)).withColumn("was", F.lag("types").over(w)).withColumn("__new", (~F.col("fingerprint").eqNullSafe(F.lag("fingerprint").over(w))).cast("int"))
+    return rows.withColumn("version", F.sum("__new").over(w)).select("feed", "file_name", "exported_on", "version", "fingerprint", "types", "previous", "was")
 
 
-def file_order(schemas: DataFrame) -> DataFrame:
-    """``feed, file_name, exported_on, previous``: each file with the one of its feed exported before it (ties by name)."""
-    w = Window.partitionBy("feed").orderBy("exported_on", "file_name")
-    files = schemas.groupBy("feed", "file_name").agg(F.min("exported_on").alias("exported_on"))
-    return files.withColumn("previous", F.lag("file_name").over(w))
+def schema_versions(files: DataFrame) -> DataFrame:
+    """``feed, file_name, exported_on, version, fingerprint, n_fields``: a feed's version goes up when its fingerprint differs from the file before."""
+    v = versions_of(file_schemas(files))
+    return v.select("feed", "file_name", "exported_on", "version", "fingerprint", F.size("types").cast("bigint").alias("n_fields"))
 
 
-def _differences(schemas: DataFrame, order: DataFrame) -> DataFrame:
-    """``feed, file_name, previous, field, was, now, old, new``: fields of a file and of the one before it, side by side."""
-    steps = order.where("previous is not null")
-    now = schemas.join(steps.select("feed", "file_name", "previous"), ["feed", "file_name"]).select(
-        "feed", "file_name", "previous", "field", F.lit(True).alias("now"), F.col("type").alias("new")
-    )
-    was = schemas.withColumnRenamed("file_name", "previous").join(steps.select("feed", "file_name", "previous"), ["feed", "previous"]).select(
-        "feed", "file_name", "previous", "field", F.lit(True).alias("was"), F.col("type").alias("old")
-    )
-    both = now.join(was, ["feed", "file_name", "previous", "field"], "full")
-    return both.withColumn("now", F.coalesce("now", F.lit(False))).withColumn("was", F.coalesce("was", F.lit(False)))
+def _gone(was: str = "was", now: str = "types") -> Column:
+    return F.array_except(F.map_keys(was), F.map_keys(now))
 
 
-def _renames(values: DataFrame, diff: DataFrame) -> DataFrame:
+def _renames(files: DataFrame, versions: DataFrame) -> DataFrame:
     """``feed, file_name, field, new_field``: fields that carry on under another name."""
-    gone = diff.where("was and not now").select("feed", "file_name", "previous", F.col("field").alias("gone"))
-    came = diff.where("now and not was").select("feed", "file_name", "previous", F.col("field").alias("came"))
-    steps = gone.join(came, ["feed", "file_name", "previous"], "left_semi").select("feed", "file_name", "previous").distinct()
-    filled = values.where("plain is not null").select("feed", "file_name", "record_id", "field", "plain")
-    new = filled.join(steps, ["feed", "file_name"])
-    old = filled.withColumnRenamed("file_name", "previous").join(steps, ["feed", "previous"])
-    step = ["feed", "file_name", "previous"]
-    # a value that stands in one record of a file only identifies it
-    marks = lambda x: x.groupBy(*step, F.xxhash64("plain").alias("__h")).agg(F.min("record_id").alias("r"), F.max("record_id").alias("__r2")).where("r = __r2").drop("__r2")
-    shared = marks(new).withColumnRenamed("r", "new_r").join(marks(old).withColumnRenamed("r", "old_r"), [*step, "__h"])
-    votes = shared.groupBy(*step, "new_r", "old_r").agg(F.count("*").alias("__votes"))
-    best_new = Window.partitionBy(*step, "new_r").orderBy(F.desc("__votes"), "old_r")
-    best_old = Window.partitionBy(*step, "old_r").orderBy(F.desc("__votes"), "new_r")
-    # records that share little beside the best of their file are strangers with a word in common
-    most = votes.groupBy(*step).agg(F.max("__votes").alias("__most"))
-    votes = votes.join(most, step).where("__votes * 3 >= __most").drop("__most")
-    pairs = votes.withColumn("__a", F.row_number().over(best_new)).where("__a = 1").withColumn("__b", F.row_number().over(best_old)).where("__b = 1")
-    pairs = pairs.select(*step, "new_r", "old_r")
-    a = old.join(gone.withColumnRenamed("gone", "field"), [*step, "field"]).select(*step, F.col("record_id").alias("old_r"), F.col("field").alias("gone"), F.col("plain").alias("was"))
-    b = new.join(came.withColumnRenamed("came", "field"), [*step, "field"]).select(*step, F.col("record_id").alias("new_r"), F.col("field").alias("came"), F.col("plain").alias("is"))
-    held = (
-        pairs.join(a, [*step, "old_r"])
-        .join(b, [*step, "new_r"])
-        .groupBy(*step, "gone", "came")
-        .agg(F.count("*").alias("n"), F.avg((F.col("was") == F.col("is")).cast("double")).alias("share"), F.count_distinct("was").alias("kinds"), F.avg((F.col("was") == "true").cast("double")).alias("p"), F.avg((F.col("is") == "true").cast("double")).alias("q"))
+    steps = versions.where("previous is not null").select("feed", "file_name", "previous", _gone().alias("gone"), _gone("types", "was").alias("came"), "types", "was")
+    steps = steps.where("size(gone) > 0 and size(came) > 0").withColumn("step", F.xxhash64("feed", "file_name"))
+    retyped = F.filter(F.map_keys("types"), lambda k: F.try_element_at(F.col("was"), k) != F.try_element_at(F.col("types"), k))
+    steps = steps.withColumn("dressed", F.array_union(F.array_union("gone", "came"), retyped))
+    parts = steps.select("feed", "file_name", "step", F.lit(True).alias("new"), F.col("came").alias("wanted"), "dressed").unionByName(
+        steps.select("feed", F.col("previous").alias("file_name"), "step", F.lit(False).alias("new"), F.col("gone").alias("wanted"), "dressed")
     )
+    parts = cut(parts)
+    records = read_records(files).join(F.broadcast(parts) if is_small(parts) else parts, ["feed", "file_name"])
+    # what may be written in another type is compared in one dress, all else as it stands
+    value = records.select("step", "new", F.col("record_id").alias("r"), "wanted", "dressed", F.explode("m").alias("field", "v"))
+    kind, text = _kind(F.schema_of_variant("v")), F.expr("cast(v as string)")
+    value = value.select("step", "new", "r", "wanted", "dressed", "field", kind.alias("kind"), text.alias("text")).where("kind is not null")
+    value = value.withColumn("h", F.xxhash64(F.when(F.array_contains("dressed", F.col("field")), plain_value(F.col("text"), F.col("kind"))).otherwise(F.col("text"))))
+    side = lambda f, new: f(F.when(F.col("new") == new, F.col("r")))
+    marks = value.where("kind <> 'boolean'").groupBy(F.xxhash64("step", "h").alias("k")).agg(
+        F.first("step").alias("step"), side(F.min, True).alias("new_r"), side(F.max, True).alias("new_r2"), side(F.min, False).alias("old_r"), side(F.max, False).alias("old_r2")
+    ).where("new_r = new_r2 and old_r = old_r2")
+    votes = marks.groupBy("step", "new_r", "old_r").agg(F.count("*").alias("n"))
+    best = votes.groupBy("step", "new_r").agg(F.max(F.struct("n", (-F.col("old_r")).alias("o"))).alias("b")).select("step", "new_r", (-F.col("b.o")).alias("old_r"), "b.n")
+    best = best.groupBy("step", "old_r").agg(F.max(F.struct("n", (-F.col("new_r")).alias("o"))).alias("b")).select("step", "old_r", (-F.col("b.o")).alias("new_r"), "b.n")
+    best = cut(best)
+    # records that share little beside the best of their file are strangers with a word in common
+    pairs = best.join(best.groupBy("step").agg(F.max("n").alias("most")), "step").where("n * 3 >= most").select("step", "old_r", "new_r")
+    held = lambda new, name: value.where((F.col("new") == new) & F.array_contains("wanted", F.col("field"))).select("step", F.col("r").alias(f"{name}_r"), F.col("field").alias(name), F.col("h").alias(f"h_{name}"))
+    yes = F.xxhash64(F.lit("true"))
+    seen = pairs.join(held(False, "old"), ["step", "old_r"]).join(held(True, "new"), ["step", "new_r"])
+    found = seen.groupBy("step", "old", "new").agg(
+        F.count("*").alias("n"), F.avg((F.col("h_old") == F.col("h_new")).cast("double")).alias("share"), F.count_distinct("h_old").alias("kinds"),
+        F.avg((F.col("h_old") == yes).cast("double")).alias("p"), F.avg((F.col("h_new") == yes).cast("double")).alias("q"),
+    )
     by_chance = F.col("p") * F.col("q") + (1 - F.col("p")) * (1 - F.col("q"))
     above = F.when(by_chance < 1, (F.col("share") - by_chance) / (1 - by_chance)).otherwise(0.0)
-    alike = 1 - F.levenshtein(F.lower("gone"), F.lower("came")) / F.greatest(F.length("gone"), F.length("came"))
-    held = held.withColumn("alike", alike).where(
+    alike = 1 - F.levenshtein(F.lower("old"), F.lower("new")) / F.greatest(F.length("old"), F.length("new"))
+    found = found.withColumn("alike", alike).where(
         ((F.col("kinds") > 2) & (F.col("share") >= AGREE))
         | ((F.col("kinds") == 2) & (F.col("share") >= AGREE_FLAGS) & ((above >= ABOVE_CHANCE) | (F.col("alike") >= ALIKE)))
         | ((F.col("kinds") == 1) & (F.col("share") >= AGREE_FLAGS) & (F.col("alike") >= ALIKE))
     )
     rank = [F.desc("share"), F.desc("n"), F.desc("alike")]
-    for_gone = Window.partitionBy(*step, "gone").orderBy(*rank, "came")
-    for_came = Window.partitionBy(*step, "came").orderBy(*rank, "gone")
-    return (
-        held.withColumn("__a", F.row_number().over(for_gone))
-        .withColumn("__b", F.row_number().over(for_came))
-        .where("__a = 1 and __b = 1")
-        .select("feed", "file_name", F.col("gone").alias("field"), F.col("came").alias("new_field"))
-    )
+    found = found.repartition("step")  # both windows below live on this one exchange
+    found = found.withColumn("__a", F.row_number().over(Window.partitionBy("step", "old").orderBy(*rank, "new"))).withColumn("__b", F.row_number().over(Window.partitionBy("step", "new").orderBy(*rank, "old")))
+    return found.where("__a = 1 and __b = 1").join(steps.select("step", "feed", "file_name"), "step").select("feed", "file_name", F.col("old").alias("field"), F.col("new").alias("new_field"))
 
 
-def _changes(values: DataFrame, schemas: DataFrame, order: DataFrame) -> DataFrame:
-    diff = cut(_differences(schemas, order).where("now <> was or not old <=> new"))
-    renamed = cut(_renames(values, diff))
-    key = ["feed", "file_name", "field"]
-    went = diff.where("was and not now").join(renamed, key, "left")
-    came = diff.where("now and not was").join(renamed.select("feed", "file_name", F.col("new_field").alias("field"), F.col("field").alias("old_name")), key, "left")
-    as_was = diff.where("was and not now").select("feed", "file_name", F.col("field").alias("old_name"), F.col("old").alias("__old"))
-    retyped = came.where("old_name is not null").drop("old").join(as_was, ["feed", "file_name", "old_name"]).where("__old <> new").select("feed", "file_name", "field", F.lit("type_changed").alias("change"), F.lit("").alias("new_field"), F.col("__old").alias("old_type"), F.col("new").alias("new_type"))
-    step = lambda x, name, new_field="": x.select(
-        "feed", "file_name", "field", F.lit(name).alias("change"), F.col(new_field) if new_field else F.lit("").alias("new_field"), F.col("old").alias("old_type"), F.col("new").alias("new_type")
-    )
-    return (
-        step(went.where("new_field is null").drop("new_field"), "removed")
-        .unionByName(step(went.where("new_field is not null"), "renamed", "new_field"))
-        .unionByName(step(came.where("old_name is null"), "added"))
-        .unionByName(step(diff.where("now and was and old <> new"), "type_changed"))
-        .unionByName(retyped)
-    )
+def migration_steps(files: DataFrame, versions: DataFrame | None = None) -> DataFrame:
+    """``feed, file_name, version, field, change, new_field, old_type, new_type``: what takes the version before to this one, one step a row.
 
-
-def schema_changes(files: DataFrame) -> DataFrame:
-    """``feed, file_name, field, change, new_field, old_type, new_type``: every difference between a file and the one before it.
-
-    A feed's first file has no changes; a file without any readable record is no file of its feed; a field
-    whose values are all null has no type and so doesn't change it.  Repeated lines count once more each,
-    which changes no field.  An empty table gives no rows.
+    ``change`` is ``removed``, ``added``, ``renamed`` or ``type_changed``; a renamed field whose type changes has two steps. A feed's
+    first file has no steps; a file without any readable record is no file of its feed; a field whose values are all null has no type and
+    so doesn't change it. Repeated lines change no field. An empty table gives no rows.
     """
-    values = cut(long_values(files))
-    schemas = cut(file_schemas(values))
-    return _changes(values, schemas, file_order(schemas))
+    versions = cut(versions_of(file_schemas(files))) if versions is None else versions
+    before = versions.select("feed", F.col("file_name").alias("previous"), F.col("version").alias("__before"))
+    changed = versions.join(before, ["feed", "previous"]).where("version > __before")
+    renamed = _renames(files, versions).groupBy("feed", "file_name").agg(F.map_from_entries(F.collect_list(F.struct("field", "new_field"))).alias("to"))
+    rows = changed.join(renamed, ["feed", "file_name"], "left")
+    to = F.coalesce("to", F.create_map().cast("map<string,string>"))
+    rows = rows.withColumn("to", to).withColumn("gone", _gone()).withColumn("came", _gone("types", "was"))
+    kind = lambda m, k: F.nullif(F.try_element_at(F.col(m), k), F.lit("null"))
+    nothing = F.lit(None).cast("string")
+
+    def step(change: str, field: Column, new_field: Column, old: Column, new: Column) -> Column:
+        return F.struct(field.alias("field"), F.lit(change).alias("change"), new_field.alias("new_field"), old.alias("old_type"), new.alias("new_type"))
+
+    stays = F.filter(F.map_keys("types"), lambda k: F.array_contains(F.map_keys("was"), k))
+    every = F.concat(
+        F.transform(F.filter("gone", lambda k: ~F.array_contains(F.map_keys("to"), k)), lambda k: step("removed", k, F.lit(""), kind("was", k), nothing)),
+        F.transform(F.filter("came", lambda k: ~F.array_contains(F.map_values("to"), k)), lambda k: step("added", k, F.lit(""), nothing, kind("types", k))),
+        F.transform(F.map_entries("to"), lambda e: step("renamed", e["key"], e["value"], kind("was", e["key"]), kind("types", e["value"]))),
+        F.transform(
+            F.filter(F.map_entries("to"), lambda e: F.coalesce(kind("was", e["key"]) != kind("types", e["value"]), F.lit(False))),
+            lambda e: step("type_changed", e["value"], F.lit(""), kind("was", e["key"]), kind("types", e["value"])),
+        ),
+        F.transform(F.filter(stays, lambda k: F.coalesce(kind("was", k) != kind("types", k), F.lit(False))), lambda k: step("type_changed", k, F.lit(""), kind("was", k), kind("types", k))),
+    )
+    return rows.select("feed", "file_name", "version", F.explode(every).alias("s")).select("feed", "file_name", "version", "s.*")
 
 
-def schema_versions(files: DataFrame) -> DataFrame:
-    """``feed, file_name, exported_on, version, fingerprint, n_fields``: a feed's version goes up when its fingerprint differs from the file before."""
-    schemas = file_schemas(long_values(files))
-    prints = schemas.groupBy("feed", "file_name").agg(
-        F.min("exported_on").alias("exported_on"),
-        F.md5(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "field", F.coalesce("type", F.lit("null"))))), ",")).alias("fingerprint"),
-        F.count("*").alias("n_fields"),
-    )
-    w = Window.partitionBy("feed").orderBy("exported_on", "file_name")
-    new = (~F.col("fingerprint").eqNullSafe(F.lag("fingerprint").over(w))).cast("int")
-    return prints.withColumn("__new", new).withColumn("version", F.sum("__new").over(w)).select("feed", "file_name", "exported_on", "version", "fingerprint", "n_fields")
+def schema_changes(files: DataFrame) -> DataFrame:
+    """The recorded ``migration_steps`` as a report: every difference between a file and the one of its feed exported before it."""
+    return migration_steps(files)
 
 
-def canonical_names(changes: DataFrame, schemas: DataFrame, aliases: tuple[tuple[str, str], ...] = ALIASES) -> dict[str, str]:
-    """Each field name -> the one name its chain of renames leads to (the one in most files, ties by name).
+def common_names(versions: DataFrame, steps: DataFrame, aliases: tuple[tuple[str, str], ...] = ALIASES, most: int = MAX_NAMES) -> dict[str, str]:
+    """Each name -> the one it shares a column with across feeds (the one in most files, ties by name).
 
-    Works on distinct names, not on records; there may be ``MAX_NAMES`` of them, else an error is raised.
+    Two names are one if ``aliases`` says so, or if a feed renamed one into the other and no file of any feed has both. Works on
+    distinct names; beyond ``most`` of them an error is raised (``routes(merge_feeds=False)`` doesn't need them).
     """
-    used = {r["field"]: r["n"] for r in schemas.groupBy("field").agg(F.count("*").alias("n")).limit(MAX_NAMES + 1).collect()}
-    edges = changes.where("change = 'renamed'").select("field", "new_field").distinct().limit(MAX_NAMES + 1).collect()
-    if len(used) > MAX_NAMES or len(edges) > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} field names or renames; raise MAX_NAMES or split the feeds")
+    names = versions.select(F.explode(F.map_keys("types")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    used = {r["name"]: r["n"] for r in names.limit(most + 1).collect()}
+    edges = steps.where("change = 'renamed'").select(F.col("field").alias("a"), F.col("new_field").alias("b")).distinct()
+    # a feed that renames place into location keeps both names apart for all if some file has the two side by side
+    both = edges.join(versions.select("types"), F.expr("array_contains(map_keys(types), a) and array_contains(map_keys(types), b)"), "left_anti") if is_small(edges) else edges
+    edges = [(r["a"], r["b"]) for r in both.limit(most + 1).collect()]
+    if len(used) > most or len(edges) > most:
+        raise ValueError(f"more than {most} field names or renames; use merge_feeds=False and unified_rows")
     root = {n: n for n in used}
 
     def find(n: str) -> str:
@@ -236,7 +231,7 @@ def canonical_names(changes: DataFrame, schemas: DataFrame, aliases: tuple[tuple
             n = root[n]
         return n
 
-    for a, b in [*((e["field"], e["new_field"]) for e in edges), *((a, b) for a, b in aliases if a in used and b in used)]:
+    for a, b in [*edges, *((a, b) for a, b in aliases if a in used and b in used)]:
         root[find(a)] = find(b)
     groups: dict[str, list[str]] = {}
     for n in root:
@@ -244,42 +239,62 @@ def canonical_names(changes: DataFrame, schemas: DataFrame, aliases: tuple[tuple
     return {n: min(g, key=lambda x: (-used.get(x, 0), x)) for g in groups.values() for n in g}
 
 
-def routes(values: DataFrame, changes: DataFrame, schemas: DataFrame) -> DataFrame:
-    """``feed, file_name, field, __name``: the column of the unified table that each field of each file goes to.
+_ROUTE = "feed string, file_name string, version bigint, route map<string,string>"
+
+
+def fold_feed(rows: pd.DataFrame, common: dict[str, str]) -> pd.DataFrame:
+    """The route (column -> field) of each file of one feed: its versions and steps folded in order.
 
-    A field follows the renames of its own feed from its file on, until it is removed; a name that comes to stand for another
-    thing later is another field. Last names that are one across feeds (``canonical_names``) share a column, but where a
-    record of the feed has values under two of them each keeps a column: the field that lasts keeps the common name, the
-    other takes its own last name, numbered if that is taken.
+    A field lives until it is removed, through all its renames; a name that comes to stand for another thing later is another
+    field. Fields whose last names share a common one share a column, but not if a file of the feed has both: then the
+    one that lasts longest keeps the common name and the other its own last name, numbered if that is taken.
     """
-    at = file_order(schemas).withColumn("__at", F.row_number().over(Window.partitionBy("feed").orderBy("exported_on", "file_name"))).select("feed", "file_name", "__at")
-    steps = changes.where("change in ('renamed', 'removed')").join(at, ["feed", "file_name"])
-    steps = steps.groupBy("feed").agg(F.array_sort(F.collect_list(F.struct(F.col("__at").alias("at"), F.col("field").alias("old"), F.col("new_field").alias("new")))).alias("__steps"))
-    state = lambda name, ended: F.struct(name.alias("name"), ended.cast("int").alias("ended"))
-
-    def follow(s: Column, x: Column) -> Column:
-        meant = (x["at"] > F.col("__at")) & (s["ended"] == 0) & (x["old"] == s["name"])
-        return F.when(meant & (x["new"] != ""), state(x["new"], F.lit(0))).when(meant, state(s["name"], x["at"])).otherwise(s)
-
-    fields = schemas.select("feed", "file_name", "field").join(at, ["feed", "file_name"]).join(steps, "feed", "left")
-    last = F.when(F.col("__steps").isNull(), state(F.col("field"), F.lit(0))).otherwise(F.aggregate("__steps", state(F.col("field"), F.lit(0)), follow))
-    fields = fields.withColumn("__last", last).select("feed", "file_name", "field", F.col("__last.name").alias("__final"), F.col("__last.ended").alias("__ended"))
-    names = canonical_names(changes, schemas)
-    lookup = F.create_map(*[F.lit(x) for kv in sorted(names.items()) for x in kv])
-    fields = cut(fields.withColumn("__common", F.try_element_at(lookup, F.col("__final"))))
-    # fields of one file that share a column, and those of them that a record has values under
-    meet = fields.join(fields.groupBy("feed", "file_name", "__common").count().where("count > 1").drop("count"), ["feed", "file_name", "__common"])
-    held = values.where("value is not null").select("feed", "file_name", "record_id", "field").join(meet, ["feed", "file_name", "field"])
-    held = held.groupBy("feed", "file_name", "record_id", "__common").agg(F.collect_set(F.struct("__final", "__ended")).alias("__s")).where("size(__s) > 1")
-    strand = ["feed", "__common", "__final", "__ended"]
-    held = held.select("feed", "__common", F.explode("__s").alias("__s")).select("feed", "__common", "__s.*").distinct().withColumn("__held", F.lit(True))
-    first = Window.partitionBy("feed", "__common").orderBy(F.col("__ended") > 0, F.col("__final") != F.col("__common"), F.desc("n"), "__final", "__ended")
-    strands = fields.groupBy(*strand).agg(F.count("*").alias("n")).join(held, strand, "left").withColumn("__rank", F.row_number().over(first))
-    strands = strands.withColumn("__apart", (F.col("__rank") > 1) & F.col("__held").isNotNull())
-    number = F.row_number().over(Window.partitionBy("feed", "__common", "__final", "__apart").orderBy("__rank")) + (F.col("__final") == F.col("__common")).cast("int")
-    own = F.when(number == 1, F.col("__final")).otherwise(F.concat_ws("_", "__final", number.cast("string")))
-    strands = strands.select(*strand, F.when(F.col("__apart"), own).otherwise(F.col("__common")).alias("__name"))
-    return fields.join(strands, strand).select("feed", "file_name", "field", "__name")
+    rows = rows.sort_values(["exported_on", "file_name"], kind="stable")
+    lives: list[dict] = []  # last name, place of the last file, files in which the field is
+    open_: dict[str, int] = {}
+    held: list[dict[str, int]] = []
+    for at, (types, to) in enumerate(zip(rows["types"], rows["to"])):
+        fields = set(dict(types))
+        moved = {new: open_[old] for old, new in dict(to or {}).items() if old in open_}
+        now = {}
+        for f in sorted(fields):
+            life = moved.get(f, open_.get(f) if f in open_ and f not in moved else None)
+            if life is None:
+                life = len(lives)
+                lives.append({"files": set()})
+            now[f] = life
+            lives[life].update(name=f, last=at)
+            lives[life]["files"].add(at)
+        open_ = now
+        held.append(now)
+    taken: dict[str, list[int]] = {}
+    column: dict[int, str] = {}
+    wanted = lambda k: common.get(lives[k]["name"], lives[k]["name"])
+    order = sorted(range(len(lives)), key=lambda k: (-lives[k]["last"], lives[k]["name"] != wanted(k), -len(lives[k]["files"]), lives[k]["name"]))
+    for k in order:
+        own, n = lives[k]["name"], 1
+        name = wanted(k)
+        while any(lives[k]["files"] & lives[o]["files"] for o in taken.get(name, [])):
+            name = own if n == 1 and own != name else f"{own}_{n + 1}"
+            n += 1
+        taken.setdefault(name, []).append(k)
+        column[k] = name
+    return pd.DataFrame({"feed": rows["feed"], "file_name": rows["file_name"], "version": rows["version"], "route": [{column[k]: f for f, k in now.items()} for now in held]})
+
+
+def routes(versions: DataFrame, steps: DataFrame, aliases: tuple[tuple[str, str], ...] = ALIASES, merge_feeds: bool = True) -> DataFrame:
+    """``feed, file_name, version, route`` (column -> field of the file): the migration steps of each feed folded along its versions.
+
+    ``merge_feeds``: last names that are one across feeds (``common_names``) share a column; else only ``aliases`` are joined.
+    """
+    renamed = steps.where("change = 'renamed'").groupBy("feed", "file_name").agg(F.map_from_entries(F.collect_list(F.struct("field", "new_field"))).alias("to"))
+    common = common_names(versions, steps, aliases) if merge_feeds else {a: b for a, b in aliases}
+    rows = versions.join(renamed, ["feed", "file_name"], "left").select("feed", "file_name", "exported_on", "version", "types", "to")
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        return fold_feed(group, common)
+
+    return rows.groupBy("feed").applyInPandas(fold, _ROUTE)
 
 
 def text_form(value: Column, kind: Column) -> Column:
@@ -294,55 +309,69 @@ def text_form(value: Column, kind: Column) -> Column:
     )
 
 
-def field_types(routed: DataFrame) -> dict[str, str]:
-    """Each canonical field -> ``day``, or the type of most of its values; ``routed`` has ``__name, kind, __text``."""
-    counts = routed.where("kind is not null").groupBy("__name").agg(
-        F.mode("kind", True).alias("kind"), F.count("*").alias("n"), F.count_if(F.col("__text").rlike(DAY)).alias("days"), F.count_if(F.col("__text").rlike(EPOCH)).alias("instants")
-    )
-    is_day = lambda r: r["days"] > 0 and 2 * (r["days"] + r["instants"]) > r["n"] and r["days"] >= DAYS * (r["days"] + r["instants"])
-    return {r["__name"]: "day" if is_day(r) else r["kind"] for r in counts.collect()}
+def column_types(schemas: DataFrame, ways: DataFrame) -> DataFrame:
+    """``name, type`` of every column: ``day``, or the type of most of its values over all files (null without any value)."""
+    routed = ways.select("feed", "file_name", F.explode("route").alias("name", "field")).join(schemas, ["feed", "file_name", "field"])
+    by = routed.groupBy("name", "type").agg(F.sum("n_values").alias("n"), F.sum("n_days").alias("d"), F.sum("n_instants").alias("i"))
+    whole = by.groupBy("name").agg(F.max(F.when(F.col("type").isNotNull(), F.struct("n", "type"))).alias("m"), F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("i").alias("i"))
+    day = (F.col("d") > 0) & (2 * (F.col("d") + F.col("i")) > F.col("n")) & (F.col("d") >= DAYS * (F.col("d") + F.col("i")))
+    return whole.select("name", F.when(day, "day").otherwise(F.col("m.type")).alias("type"))
 
 
-def cast_step(to: str | None) -> Column:
-    """The value of a field of type ``to``: a double, a flag, else text, in which instants of a field of days are the day in UTC.
+def cast_step(text: Column, to: str | None) -> Column:
+    """The text of a field of type ``to`` cast: a double, a flag, else text, in which instants of a field of days are the day in UTC.
 
     Numbers may have thousands set apart and a currency behind them; only flags take 0 and 1 for false and true.
     """
     if to == "number":
-        bare = F.regexp_replace(F.regexp_replace("__text", r" [A-Z]{3}$", ""), "[, ]", "")
-        return F.when(F.col("__text").rlike(AMOUNT), bare).otherwise(F.col("__text")).try_cast("double")
+        bare = F.regexp_replace(F.regexp_replace(text, r" [A-Z]{3}$", ""), "[, ]", "")
+        return F.coalesce(text.try_cast("double"), F.when(text.rlike(AMOUNT), bare).try_cast("double"))
     if to == "boolean":
-        flag = F.lower(F.trim("__text"))
+        flag = F.lower(F.trim(text))
         return F.when(flag.isin("true", "yes", "y", "1"), True).when(flag.isin("false", "no", "n", "0"), False)
     if to == "day":
-        day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("__text").try_cast("bigint") / 86_400_000).cast("int"))
-        return F.when(F.col("__text").rlike(EPOCH), day.cast("string")).otherwise(F.col("__text"))
-    return F.col("__text")
+        day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(text.try_cast("bigint") / 86_400_000).cast("int"))
+        return F.when(text.rlike(EPOCH), day.cast("string")).otherwise(text)
+    return text
+
+
+def _routed(files: DataFrame, ways: DataFrame) -> DataFrame:
+    ways = ways.select("feed", "file_name", "version", "route")
+    return read_records(files).join(F.broadcast(ways) if is_small(ways) else ways, ["feed", "file_name"])
 
 
-def unified_table(files: DataFrame) -> DataFrame:
-    """One row per readable record: ``record_id, feed, file_name, exported_on`` and one column per canonical field.
+def _text(m: Column, field: Column) -> Column:
+    return F.transform(F.array(F.try_element_at(m, field)), lambda v: text_form(v.cast("string"), _kind(F.schema_of_variant(v))))[0]
 
-    Each file's fields are renamed along the chain of its feed's migration steps (``routes``); a column is double or boolean if that is the type of
-    most of its values, else text (``text_form``; days and instants in milliseconds beside them as days); a value that
-    can't be cast, or a field the file doesn't have, is null.
+
+def unified_rows(files: DataFrame, aliases: tuple[tuple[str, str], ...] = ALIASES) -> DataFrame:
+    """``record_id, feed, file_name, exported_on, version, fields`` (column -> text): the unified table in long form, for any number of names."""
+    versions = cut(versions_of(file_schemas(files)))
+    ways = cut(routes(versions, cut(migration_steps(files, versions)), aliases, merge_feeds=False))
+    fields = F.map_filter(F.transform_values("route", lambda c, f: _text(F.col("m"), f)), lambda c, t: t.isNotNull())
+    return _routed(files, ways).select("record_id", "feed", "file_name", "exported_on", "version", fields.alias("fields"))
+
+
+def unified_table(files: DataFrame, aliases: tuple[tuple[str, str], ...] = ALIASES, defaults: dict[str, object] | None = None) -> DataFrame:
+    """One row per readable record: ``record_id, feed, file_name, exported_on`` and one column per field of all feeds.
+
+    Each record takes its file's route: rename, then default (``defaults``, by column, where the file's version lacks the field), then cast. A column is
+    double or boolean if that is the type of most of its values, else text (``text_form``; days and instants in milliseconds
+    beside them as days). A value that can't be cast, and a field the version lacks and that has no default, is null.
     """
-    values = cut(long_values(files))
-    schemas = cut(file_schemas(values))
-    if schemas.isEmpty():
-        return read_records(files).select("record_id", "feed", "file_name", "exported_on")
-    ways = cut(routes(values, cut(_changes(values, schemas, file_order(schemas))), schemas))
-    names = [r["__name"] for r in ways.select("__name").distinct().limit(MAX_NAMES + 1).collect()]
-    if len(names) > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} columns; raise MAX_NAMES or split the feeds")
-    routed = values.drop("plain").join(ways, ["feed", "file_name", "field"])
-    routed = routed.withColumn("__text", text_form(F.col("value"), F.col("kind")))
-    kinds = field_types(routed)
-    wide = routed.groupBy("record_id", "feed", "file_name", "exported_on").agg(
-        *[F.max(F.when(F.col("__name") == n, cast_step(kinds.get(n)))).alias(f"__f{k}") for k, n in enumerate(sorted(names))]
-    )
-    taken = {"record_id", "feed", "file_name", "exported_on"}
-    return wide.select(
-        "record_id", "feed", "file_name", "exported_on",
-        *[F.col(f"__f{k}").alias(n if n not in taken else f"field_{n}") for k, n in enumerate(sorted(names))],
-    )
+    schemas = cut(file_schemas(files))
+    versions = cut(versions_of(schemas))
+    ways = cut(routes(versions, cut(migration_steps(files, versions)), aliases))
+    types = {r["name"]: r["type"] for r in column_types(schemas, ways).limit(MAX_NAMES + 1).collect()}
+    if len(types) > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} columns; use unified_rows")
+    taken, defaults = {"record_id", "feed", "file_name", "exported_on"}, defaults or {}
+
+    def column(name: str) -> Column:
+        field = F.try_element_at(F.col("route"), F.lit(name))
+        out = cast_step(_text(F.col("m"), field), types[name])
+        if name in defaults:
+            out = F.when(field.isNull(), F.lit(defaults[name])).otherwise(out)
+        return out.alias(name if name not in taken else f"field_{name}")
+
+    return _routed(files, ways).select("record_id", "feed", "file_name", "exported_on", *[column(n) for n in sorted(types)])

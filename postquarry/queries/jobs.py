@@ -10,7 +10,7 @@ from ..functions import columns as X
 from ..functions import markup, sections
 from ..operators import analytics, quality, rules, tables
 from ..plans import dashboard
-from ..session import spread, table
+from ..session import table
 from ..sources import readers
 from ..streaming import ingest
 
@@ -374,7 +374,7 @@ def keyword_hits(spark, d):
 
 @query()
 def parse_sections(spark, d):
-    return spread(table(spark, d, "combined_jobs").select("row_id", "description")).select("row_id", sections.sections(F.col("description")).alias("s")).select("row_id", "s.*")
+    return table(spark, d, "combined_jobs").select("row_id", "description").select("row_id", sections.sections(F.col("description")).alias("s")).select("row_id", "s.*")
 
 
 def _label_sql(words: dict[str, str]) -> str:

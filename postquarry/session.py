@@ -1,4 +1,4 @@
-"""Session helpers: configuration, table access and lineage cutting."""
+"""Session helpers: configuration, table access, lineage cutting and joins with hot keys."""
 
 from __future__ import annotations
 
@@ -8,7 +8,13 @@ import tempfile
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of a table, as Catalyst estimates or its rows are counted, up to which it may be broadcast.
+BROADCAST_BYTES = 32 << 20
+#: Parts that a hot key of a join is split into.
+SALTS = 16
 
 
 def build_session(app: str = "postquarry", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,28 +37,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df``, a scan, over at least as many partitions as there are cores: for costly work per row on few small files.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that all executors see: ``spark.checkpoint.dir``.
 
-    A scan that has enough partitions, as any large table has, is left as it is.
+    Only a session that is one local process may go without; it gets a temporary folder. On a cluster an unset folder is an error.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    return tempfile.mkdtemp(prefix="shared_")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and return it with its lineage cut.
+    """Materialise ``df`` in the shared checkpoint folder and return it with its lineage cut; the copy survives lost executors.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (tests, a laptop) a temporary folder is used.  The copy survives lost executors.
+    Copies go when their table is no longer referenced, where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt_"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def is_small(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether a (cut or cheap) table is proven to fit ``most`` bytes: its rows are counted, texts by their length."""
+    width = F.lit(16)
+    for c, kind in df.dtypes:
+        c = F.col(f"`{c}`")
+        width = width + (F.lit(8) if kind in ("bigint", "int", "double", "boolean", "date", "timestamp", "smallint", "tinyint", "float") else F.coalesce(F.length(c if kind == "string" else F.to_json(F.struct(c))), F.lit(0)) * 2 + 16)
+    return (df.agg(F.sum(width.cast("bigint")).alias("n")).first()["n"] or 0) <= most
+
+
+def look_up(rows: DataFrame, entries: DataFrame, keys: list[str], how: str = "inner", salt: Column | None = None) -> DataFrame:
+    """``rows`` joined with ``entries`` (each key once) where one key may hold a third of all rows.
+
+    Entries that are proven small are broadcast; otherwise every key is split into ``SALTS`` parts by ``salt`` (any
+    column that differs between the rows of a key) and the entries are repeated once a part. ``entries`` should be cut.
+    """
+    if is_small(entries):
+        return rows.join(F.broadcast(entries), keys, how)
+    part = F.pmod(F.xxhash64(salt if salt is not None else F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+    repeated = entries.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__part", part).join(repeated, [*keys, "__part"], how).drop("__part")
+
+
 def timed(f: Callable) -> Callable:
     """``f``, whose duration and outcome are logged."""
 

@@ -63,7 +63,7 @@ def test_empty(spark):
 def test_ties_long_values_and_nulls(spark):
     rec = [{"a": 1, "b": "x" * 50000}, {"a": "1", "b": None}, {"a": None}]
     rows = [(k, "f", "one", date(2024, 1, 1), json.dumps(r), None) for k, r in enumerate(rec)] + [(9, None, "one", None, "{}", None), (10, "f", "none yet", date(2024, 1, 2), '{"only": null}', None)]
-    got = {(r.file_name, r.field): r.type for r in drift.file_schemas(drift.long_values(spark.createDataFrame(rows, SCHEMA))).collect()}
+    got = {(r.file_name, r.field): r.type for r in drift.file_schemas(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {("one", "a"): "number", ("one", "b"): "string", ("none yet", "only"): None}
     changes = {(r.field, r.change) for r in drift.schema_changes(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert changes == {("a", "removed"), ("b", "removed"), ("only", "added")}
@@ -122,3 +122,16 @@ def test_names_follow_the_steps_of_their_own_feed(spark):
     assert where("a", 1, "A") == where("a", 2, "A") and len(where("a", 1, "A")) == 1
     assert where("b", 1, "Desk") == where("b", 2, "Desk") and len(where("b", 1, "Desk")) == 1
     assert where("c", 1, "Unit") == where("c", 2, "Unit") == where("c", 3, "Unit") != where("c", 3, "Z")
+
+
+def test_defaults_long_form_and_filled_aliases(spark):
+    rows = [(k, "f", f"f_{k // 6}", date(2024, 1, 1 + k // 6), json.dumps({"id": f"x{k}", "job_url": f"https://a/{k}", "url": f"https://z/{k}", **({"remote": True} if k >= 6 else {})}), None) for k in range(12)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    t = drift.unified_table(df, defaults={"remote": False}).orderBy("record_id").collect()
+    assert [r.remote for r in t] == [False] * 6 + [True] * 6
+    said = [{v for c, v in r.asDict().items() if str(v).startswith("https")} for r in t]
+    assert said == [{f"https://a/{k}", f"https://z/{k}"} for k in range(12)]  # both names filled: none is lost
+    long = {r.record_id: r for r in drift.unified_rows(df).collect()}
+    assert long[7].version == 2 and long[7].fields["remote"] == "true" and {"https://a/7", "https://z/7"} <= set(long[7].fields.values())
+    steps = drift.migration_steps(df).collect()
+    assert [(s.version, s.field, s.change, s.new_type) for s in steps] == [(2, "remote", "added", "boolean")]
