@@ -61,8 +61,10 @@ def test_dress_does_not_matter(spark, items):
 def test_by_shuffle_and_empty(spark, items, monkeypatch):
     docs = spark.createDataFrame([(1, " ".join(ITEMS[5001][:20])), (2, "nothing here")], "doc_id bigint, text string")
     assert L.leaked_items(docs.limit(0), items).count() == 0 and L.leaked_items(docs, items.limit(0)).count() == 0
-    monkeypatch.setattr(L, "MAX_SENT", 10)
-    assert [(r.doc_id, r.item_id) for r in L.leaked_items(docs, items).collect()] == [(1, 5001)]
+    monkeypatch.setattr(L, "is_small", lambda df: False)
+    monkeypatch.setattr("postquarry.session.is_small", lambda df: False)
+    for bits in (64, L.FILTER_BITS):  # a filter that is full lets everything through, which changes nothing
+        assert [(r.doc_id, r.item_id) for r in L.leaked_items(docs, items, filter_bits=bits).collect()] == [(1, 5001)]
 
 
 def test_slices():
@@ -75,20 +77,22 @@ def test_words():
     assert words("A<br/>B&amp;C d’É­x http://u.v w1") == ["a", "b", "c", "d", "ex", "w1"] and words(None) == []
 
 
-def test_passages_shorter_than_the_masks(spark, monkeypatch):
-    items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in range(1, 10)]
+def test_passages_of_any_length_against_brute_force(spark):
+    items = [(n, [f"w{n}x{k}" for k in range(n)]) for n in range(1, 21)]
     docs, want = [], set()
-    for n, text in items:
-        ws = text.split()
+    for n, ws in items:
         for at in (0, 1, 9):
-            docs.append((len(docs), " ".join([*(["before"] * at), *ws, *(["after"] * (at // 9))])))
+            docs.append((len(docs), [*(["before"] * at), *ws, *(["after"] * (at // 9))]))
             want.add((docs[-1][0], n))
         for k in range(n):
-            docs.append((len(docs), " ".join([*ws[:k], "other", *ws[k + 1 :]])))
+            docs.append((len(docs), [*ws[:k], "other", *ws[k + 1 :]]))
             if n >= 8:
                 want.add((docs[-1][0], n))
-    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
-    for most in (L.MAX_SENT, 0):
-        monkeypatch.setattr(L, "MAX_SENT", most)
-        got = {(r.doc_id, r.item_id) for r in L.leaked_items(d, i).collect()}
-        assert got == want
+            docs.append((len(docs), [*ws[:k], *ws[k + 1 :]]))  # a word left out breaks the stretch
+            if max(k, n - 1 - k) >= min(15, n):
+                want.add((docs[-1][0], n))
+    d, i = (spark.createDataFrame([(k, " ".join(ws)) for k, ws in x], f"{name} bigint, text string") for x, name in ((docs, "doc_id"), (items, "item_id")))
+    got = {(r.doc_id, r.item_id) for r in L.leaked_items(d, i).collect()}
+    assert want <= got and all(n >= 15 for _, n in got - want)
+    for doc, n in got - want:  # the far side of a gap may lie on the same diagonal but for one word in eight
+        assert L.overlap(L.flat_words([" ".join(docs[doc][1])])[1], L.flat_words([" ".join(items[n - 1][1])])[1], list(range(-n, n))) >= 15
