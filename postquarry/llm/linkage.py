@@ -1,14 +1,13 @@
 """Probabilistic linkage of rows that describe the same opening in sources without common keys.
 
 Rows are reduced to comparable attributes (employer name and its second part, job, level, city, team
-named in the title).  Several blocking passes bring together rows that agree on enough of them, each
-pass tolerating a slip in another one.  Candidate pairs get an agreement level per attribute; the
-few distinct patterns of levels are counted, and expectation-maximisation over these counts estimates how
-likely each level is among matches and among non-matches.  A pair's confidence is its posterior.
-
-Passes on attributes that must be equal emit only pairs that may be reported; passes with a slip in the
-employer's name run over distinct names per (job, level, city), not over rows, so an employer that
-holds a third of all rows is one entry there.
+named in the title); rows that are alike in all of them and come from one source are one profile, so an employer that
+holds a third of all rows costs as much as its profiles.  Several blocking passes bring profiles together, each
+leaving out another attribute: the level, the city (missing, or spelt otherwise), the employer's name, the job.
+A candidate pair gets an agreement level for every attribute its pass leaves free, and the few distinct patterns of a
+pass are counted.  Expectation-maximisation over these counts estimates the shares of matches and of non-matches and how
+likely each level is among them.  That matches differ in an attribute is an error by definition (``ERROR``); nothing else
+is ruled out by hand: a pair's confidence is its posterior, and pairs from ``CONFIDENT`` on are links.
 """
 
 from __future__ import annotations
@@ -17,32 +16,37 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, is_small, look_up
 from . import canonical
+from .words import PLACEHOLDERS
 
 #: Posterior from which a pair is a match.
 CONFIDENT = 0.5
-#: Edits between two spellings of a second name or a team.
-NAME_EDITS = 2
-#: How often matches have different names or teams: by definition never.
-NEVER = 0.001
+#: Edits between two spellings of a second name or a team, of a city and of a job.
+NAME_EDITS, PLACE_EDITS, JOB_EDITS = 2, 2, 2
+#: How often a match differs in an attribute: only by an error in it.
+ERROR = 0.001
+#: Members of a profile that meet in one task when links are spelt out row by row.
+TOGETHER = 50_000
+#: Share of matches among candidates that the estimation begins with; it stays where no attribute is left to compare.
+SHARE = 0.9
+#: Rows from which a place that is in no list is one that rarer spellings may be slips of (those in a tenth as many rows or fewer).
+LEAST_PLACES = 20
 #: Edits between a city's name and a slip of it, by length.
 CITY_EDITS = ((4, 2), (10, 3))
 
 # Legal forms of firms, in plain spelling.
 LEGAL = "gmbh co kg|s a r l|sarl|s r l|srl|b v|bv|n v|nv|s a|sa|gmbh|inc|ltd|limited|llc|plc|ag|kg|corp|corporation|co|lda|oy|ab|spa|s p a"
-# Cities under the names used in several languages.
+# Cities under the names used in several languages; a default of the parameter ``cities``.
 CITIES = {
-    "munich": "munchen muenchen monaco_di_baviera", "cologne": "koln koeln colonia keulen", "luxembourg": "luxemburg letzebuerg lussemburgo luxemburgo",
-    "lisbon": "lisboa lissabon lisbonne lisbona", "milan": "milano mailand milao", "seville": "sevilla siviglia sevilha", "geneva": "geneve genf ginevra ginebra",
-    "brussels": "bruxelles brussel brussel_stad bruselas", "the hague": "den_haag s_gravenhage la_haye la_haya", "vienna": "wien vienne viena",
-    "turin": "torino turim", "porto": "oporto", "toronto": "", "lyon": "lyons lione", "nantes": "", "madrid": "", "utrecht": "", "leipzig": "lipsia",
-    "boston": "", "denver": "", "austin": "", "leeds": "", "pune": "poona", "dublin": "baile_atha_cliath dublino", "paris": "parigi", "berlin": "berlino",
-    "london": "londres londra londen", "rome": "roma rom", "florence": "firenze florenz", "venice": "venezia venedig", "naples": "napoli neapel",
-    "zurich": "zuerich zurigo", "basel": "basle bale basilea", "antwerp": "antwerpen anvers amberes", "ghent": "gent gand", "prague": "praha prag praga",
-    "warsaw": "warszawa warschau varsovie", "copenhagen": "kobenhavn kopenhagen", "athens": "athina athen", "hamburg": "amburgo", "frankfurt": "francoforte",
-    "nuremberg": "nurnberg nuernberg", "dusseldorf": "duesseldorf", "marseille": "marseilles marsiglia", "barcelona": "barcelone", "mumbai": "bombay",
-    "bangalore": "bengaluru", "amsterdam": "", "rotterdam": "", "seattle": "", "new york": "nueva_york new_york_city",
+    "amsterdam": "", "antwerp": "antwerpen anvers amberes", "athens": "athina athen", "austin": "", "bangalore": "bengaluru", "barcelona": "barcelone", "basel": "basle bale basilea",
+    "berlin": "berlino", "boston": "", "brussels": "bruxelles brussel brussel_stad bruselas", "cologne": "koln koeln colonia keulen", "copenhagen": "kobenhavn kopenhagen", "denver": "",
+    "dublin": "baile_atha_cliath dublino", "dusseldorf": "duesseldorf", "florence": "firenze florenz", "frankfurt": "francoforte", "geneva": "geneve genf ginevra ginebra", "ghent": "gent gand",
+    "hamburg": "amburgo", "leeds": "", "leipzig": "lipsia", "lisbon": "lisboa lissabon lisbonne lisbona", "london": "londres londra londen", "luxembourg": "luxemburg letzebuerg lussemburgo luxemburgo",
+    "lyon": "lyons lione", "madrid": "", "marseille": "marseilles marsiglia", "milan": "milano mailand milao", "mumbai": "bombay", "munich": "munchen muenchen monaco_di_baviera", "nantes": "",
+    "naples": "napoli neapel", "new york": "nueva_york new_york_city", "nuremberg": "nurnberg nuernberg", "paris": "parigi", "porto": "oporto", "prague": "praha prag praga", "pune": "poona",
+    "rome": "roma rom", "rotterdam": "", "seattle": "", "seville": "sevilla siviglia sevilha", "the hague": "den_haag s_gravenhage la_haye la_haya", "toronto": "", "turin": "torino turim",
+    "utrecht": "", "venice": "venezia venedig", "vienna": "wien vienne viena", "warsaw": "warszawa warschau varsovie", "zurich": "zuerich zurigo",
 }
 
 _PLACE_NOISE = (
@@ -69,20 +73,30 @@ def place(location: Column) -> Column:
     return F.coalesce(canonical.plain(t), F.lit(""))
 
 
-def _cities(jobs: DataFrame) -> DataFrame:
-    """``location, city``: distinct locations and their city, slips and other languages' names resolved by the pigeonhole join."""
+def resolved_places(jobs: DataFrame, cities: dict[str, str] = CITIES) -> DataFrame:
+    """``location, city``: distinct locations and their city; slips and other languages' names are resolved by the pigeonhole join.
+
+    First against ``cities``, then rare spellings against the frequent places of the table itself, so that places in no list bear slips too.
+    """
     spark = jobs.sparkSession
-    rows = [(k, name, [x.replace("_", " ") for x in other.split()]) for k, (name, other) in enumerate(CITIES.items())]
+    rows = [(k, name, [x.replace("_", " ") for x in other.split()]) for k, (name, other) in enumerate(sorted(cities.items()))]
     known = spark.createDataFrame(rows, "ref_id bigint, label string, alt_labels array<string>").withColumn("field", F.lit("city"))
     # written, so that a filter on the city isn't applied to every row instead of every distinct location
-    places = cut(jobs.select("location").where("location is not null").distinct().withColumn("text", place(F.col("location"))))
-    found = canonical.closest_entries(places.select(F.lit("city").alias("field"), "text").where("text <> ''").distinct(), known, CITY_EDITS)
-    names = found.join(F.broadcast(known.select("ref_id", "label")), "ref_id").select("text", "label")
-    return places.join(names, "text", "left").select("location", F.coalesce("label", "text").alias("city"))
+    places = cut(jobs.where("location is not null").groupBy("location").agg(F.count("*").alias("n")).withColumn("text", place(F.col("location"))))
+    texts = places.where("text <> ''").groupBy(F.lit("city").alias("field"), "text").agg(F.sum("n").alias("n"))
+    found = canonical.closest_entries(texts.select("field", "text"), known, CITY_EDITS).join(F.broadcast(known.select("ref_id", "label")), "ref_id").select("text", "label")
+    texts = cut(texts.join(found, "text", "left"))
+    frequent = texts.where(F.col("label").isNull() & (F.col("n") >= LEAST_PLACES))
+    if not frequent.isEmpty():
+        named = frequent.select("field", F.xxhash64("text").alias("ref_id"), F.col("text").alias("label"), F.lit(None).cast("array<string>").alias("alt_labels"))
+        rare = texts.where(F.col("label").isNull() & (F.col("n") * 10 <= LEAST_PLACES)).select("field", "text")
+        near = canonical.closest_entries(rare, named, CITY_EDITS).join(named.select("ref_id", F.col("label").alias("as")), "ref_id").select("text", "as")
+        texts = texts.join(near, "text", "left").withColumn("label", F.coalesce("label", "as"))
+    return places.join(texts.select("text", F.coalesce("label", "text").alias("city")), "text", "left").select("location", F.coalesce("city", F.lit("")).alias("city"))
 
 
 def _titles(jobs: DataFrame, reference: DataFrame) -> DataFrame:
-    """``title, job, level, team`` of distinct titles; job is the entry of the reference list, else the plain title."""
+    """``title, job, level, team`` of distinct titles; job is the plain label of the title's entry in the reference list, else the plain title."""
     titles = jobs.select("title").where("title is not null").distinct()
     mapped = canonical.map_values(titles.select(F.lit("title").alias("field"), F.col("title").alias("value")), reference)
     # what stands behind a separator at the end is a team, unless it is a word of the reference list
@@ -94,18 +108,33 @@ def _titles(jobs: DataFrame, reference: DataFrame) -> DataFrame:
     split = cut(mapped.select("*", canonical.level(F.col("value")).alias("level"), canonical.let(canonical.without_remarks(F.col("value")), parts).alias("p")))
     split = split.select("value", "ref_id", "level", "p.team", "p.core")
     known = canonical.closest_entries(split.select(F.lit("word").alias("field"), F.col("team").alias("text")).where("text <> ''").distinct(), words, ((4, 2),)).select(F.col("text").alias("team"), F.lit(True).alias("known"))
-    job = F.when(F.col("ref_id") >= 0, F.concat(F.lit("#"), F.col("ref_id"))).otherwise(F.col("core"))
-    return split.join(known, "team", "left").select(F.col("value").alias("title"), job.alias("job"), "level", F.when(F.col("known"), "").otherwise(F.col("team")).alias("team"))
+    labels = reference.where("field = 'title' and ref_id is not null").groupBy("ref_id").agg(canonical.plain(F.min("label")).alias("entry"))
+    split = split.join(F.broadcast(labels) if is_small(labels) else labels, "ref_id", "left")
+    return split.join(known, "team", "left").select(F.col("value").alias("title"), F.coalesce("entry", "core").alias("job"), "level", F.when(F.col("known"), "").otherwise(F.col("team")).alias("team"))
+
+
+ATTRIBUTES = ("name", "second", "job", "level", "city", "team")
 
 
-def comparable(jobs: DataFrame, reference: DataFrame) -> DataFrame:
-    """``row_id, source, name, second, job, level, city, team`` of the rows that have an employer, a title with words and a source."""
+def comparable(jobs: DataFrame, reference: DataFrame, cities: dict[str, str] = CITIES) -> DataFrame:
+    """``row_id, source, name, second, job, level, city, team`` of the rows that have an employer, a source, and a title with a word that is no placeholder."""
     name, second = employer(F.col("company"))
     rows = jobs.select("row_id", "source", "title", "company", "location").where("source is not null and title is not null and company is not null")
     rows = cut(rows.select("row_id", "source", "title", "location", name.alias("name"), second.alias("second"))).where("name <> ''")
-    rows = rows.join(_titles(rows, reference), "title")
-    rows = rows.join(_cities(rows), "location", "left")
-    return rows.select("row_id", "source", "name", "second", "job", "level", F.coalesce("city", F.lit("")).alias("city"), "team").where(r"job rlike '\\p{L}{4,}|^#'")
+    rows = look_up(rows, cut(_titles(rows, reference)), ["title"], salt=F.col("row_id"))
+    rows = look_up(rows, cut(resolved_places(rows, cities)), ["location"], "left", salt=F.col("row_id"))
+    rows = rows.select("row_id", "source", "name", "second", "job", "level", F.coalesce("city", F.lit("")).alias("city"), "team")
+    return rows.where(F.col("job").rlike(r"\p{L}{2}") & ~F.col("job").isin(*PLACEHOLDERS))
+
+
+def with_profile(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``pid``: 128 bits of a digest of source and attributes."""
+    return rows.withColumn("pid", F.unhex(F.md5(F.concat_ws("\u0001", "source", *ATTRIBUTES))))
+
+
+def profiles(rows: DataFrame) -> DataFrame:
+    """``pid, source, n, row_id`` (the least) and the attributes, one row per set of rows of a source that are alike in all attributes."""
+    return rows.groupBy("pid", "source", *ATTRIBUTES).agg(F.count("*").alias("n"), F.min("row_id").alias("row_id"))
 
 
 def _near(a: Column, b: Column, k: int) -> Column:
@@ -121,119 +150,184 @@ def _slip(a: Column, b: Column) -> Column:
     return _near(a, b, 1) | (_near(a, b, 2) & (F.length(a) == F.length(b)) & (letters(a) == letters(b)))
 
 
-def _pattern(a: str, b: str) -> list[Column]:
-    """Agreement levels of a pair: 0 differ, 1 one is missing, 2 nearly, 3 equal."""
-    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
-
-    def either(c: str) -> Column:
-        return F.when(x(c) == y(c), F.when(x(c) == "", 1).otherwise(3)).when((x(c) == "") | (y(c) == ""), 1).when(_near(x(c), y(c), NAME_EDITS), 2).otherwise(0)
-
-    name = F.when(x("name") == y("name"), 3).when(_slip(x("name"), y("name")), 2).otherwise(0)
-    return [name.alias("c_name"), either("second").alias("c_second"), F.when((x("city") == "") | (y("city") == ""), 1).otherwise(3).alias("c_city"), either("team").alias("c_team")]
-
-
-_LEVELS = ("c_name", "c_second", "c_city", "c_team")
-
-
-def candidate_pairs(rows: DataFrame) -> DataFrame:
-    """``row_id_1, row_id_2`` and the agreement levels of the pairs of all blocking passes; each pair once."""
-    # same name, job and level; the cities agree, or one is missing
+def _level(attribute: str, x: Column, y: Column) -> Column:
+    """Agreement of two values: 0 differ, 1 one is missing, 2 nearly, 3 equal."""
+    near = {
+        "name": lambda: _slip(x, y), "job": lambda: (F.least(F.length(x), F.length(y)) >= 8) & _near(x, y, JOB_EDITS), "level": lambda: F.lit(False),
+        "city": lambda: (F.least(F.length(x), F.length(y)) >= 5) & _near(x, y, PLACE_EDITS),
+    }.get(attribute, lambda: _near(x, y, NAME_EDITS))()
+    return F.when((x == "") | (y == ""), 1).when(x == y, 3).when(near, 2).otherwise(0)
+
+
+#: Blocking passes, none of which finds a pair of another: the attributes that must be equal and those that are compared.
+PASSES = {
+    "opening": (("name", "job", "city"), ("level", "second", "team")),
+    "place missing": (("name", "job", "level"), ("second", "team")),
+    "place spelt": (("name", "job", "level"), ("city", "second", "team")),
+    "employer": (("job", "level", "city"), ("name", "second", "team")),
+    "employer, place missing": (("job", "level"), ("name", "second", "team")),
+    "job": (("name", "city", "level"), ("job", "second", "team")),
+}
+_FREE = ("name", "job", "level", "city", "second", "team")
+
+
+def _ends(c: str, n: int) -> Column:
+    return F.explode(F.array(F.concat(F.lit("<"), F.substring(c, 1, n)), F.concat(F.lit(">"), F.expr(f"right({c}, {n})"))))
+
+
+def candidate_pairs(profiles: DataFrame) -> DataFrame:
+    """``pass, a, b`` (structs of profiles of different sources) and ``c_`` agreement levels (null where a pass doesn't compare) of all passes; each pair once."""
+    whole = F.struct("pid", "source", "n", "row_id", *ATTRIBUTES)
+    p = profiles.select(*ATTRIBUTES, whole.alias("p"))
+    placed, unplaced = p.where("city <> ''"), p.where("city = ''")
+    out = None
+
+    def add(name: str, left: DataFrame, right: DataFrame, keys: list[str], ordered: bool) -> None:
+        nonlocal out
+        got = left.select(*keys, F.col("p").alias("a")).join(right.select(*keys, F.col("p").alias("b")), keys).where("a.source <> b.source")
+        if ordered:
+            got = got.where("a.pid < b.pid")
+        levels = [(_level(c, F.col(f"a.{c}"), F.col(f"b.{c}")) if c in PASSES[name][1] else F.lit(None).cast("int")).alias(f"c_{c}") for c in _FREE]
+        got = got.select(F.lit(name).alias("pass"), *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("pid", "n", "row_id")], *levels)
+        out = got if out is None else out.unionByName(got)
+
+    def spelt(base: DataFrame, other: DataFrame, keys: list[str], field: str, n: int, k: int, ordered: bool) -> DataFrame:
+        """``keys, field_a, field_b``: distinct values within ``keys`` that begin or end alike and lie ``k`` edits apart or nearer."""
+        a, b = ((x.select(*keys, field).distinct().withColumn("end", _ends(field, n)).withColumnRenamed(field, f"{field}_{s}")) for x, s in ((base, "a"), (other, "b")))
+        x, y = F.col(f"{field}_a"), F.col(f"{field}_b")
+        return a.join(b, [*keys, "end"]).where(((x < y) if ordered else (x != y)) & _near(x, y, k)).select(*keys, f"{field}_a", f"{field}_b").distinct()
+
+    def through(name: str, pairs: DataFrame, keys: list[str], field: str, left: DataFrame, right: DataFrame) -> None:
+        l2 = left.withColumnRenamed(field, f"{field}_a").join(pairs, [*keys, f"{field}_a"]).select(*keys, F.col(f"{field}_b").alias(field), "p")
+        add(name, l2, right, [*keys, field], ordered=False)
+
+    add("opening", placed, placed, ["name", "job", "city"], True)
     same = ["name", "job", "level"]
-    with_city, without = rows.where("city <> ''"), rows.where("city = ''")
-    differ = F.col("a.source") != F.col("b.source")
-
-    def join(left: DataFrame, right: DataFrame, keys: list[str], extra: Column) -> DataFrame:
-        on = extra & differ
-        for k in keys:
-            on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-        return left.alias("a").join(right.alias("b"), on).select(F.col("a.row_id").alias("x"), F.col("b.row_id").alias("y"), *_pattern("a", "b"))
-
-    ordered = F.col("a.row_id") < F.col("b.row_id")
-    pairs = join(with_city, with_city, [*same, "city"], ordered)
-    pairs = pairs.unionByName(join(without, with_city, same, F.lit(True))).unionByName(join(without, without, same, ordered))
-    # slips in the name: distinct names within job, level and city that begin or end alike
-    names = rows.select("job", "level", "city", "name").distinct()
-    ends = F.array(F.concat(F.lit("<"), F.substring("name", 1, 3)), F.concat(F.lit(">"), F.expr("right(name, 3)")))
-    blocked = names.withColumn("end", F.explode(ends))
-    for same_city in (True, False):
-        left, right = blocked.alias("a"), blocked.alias("b")
-        on = (F.col("a.job") == F.col("b.job")) & (F.col("a.level") == F.col("b.level")) & (F.col("a.end") == F.col("b.end"))
-        if same_city:
-            on = on & (F.col("a.city") == F.col("b.city")) & (F.col("a.name") < F.col("b.name"))
-        else:
-            left, right = left.where("city = ''"), right.where("city <> ''")
-            on = on & (F.col("a.name") != F.col("b.name"))
-        alike = left.join(right, on).where(_near(F.col("a.name"), F.col("b.name"), 4)).select(
-            F.col("a.job").alias("job"), F.col("a.level").alias("level"), F.col("a.city").alias("city_a"), F.col("b.city").alias("city_b"), F.col("a.name").alias("name_a"), F.col("b.name").alias("name_b")
-        ).distinct()
-        a = rows.select(*[F.col(c).alias(f"{c}_a") if c in ("city", "name") else F.col(c) for c in rows.columns])
-        b = rows.select(*[F.col(c).alias(f"{c}_b") if c in ("city", "name") else F.col(c) for c in rows.columns])
-        two = alike.join(a, ["job", "level", "city_a", "name_a"]).select(
-            "job", "level", "city_b", "name_b", F.struct("row_id", "source", F.col("name_a").alias("name"), "second", F.col("city_a").alias("city"), "team").alias("a")
-        )
-        two = two.join(b, ["job", "level", "city_b", "name_b"]).select(
-            "a", F.struct("row_id", "source", F.col("name_b").alias("name"), "second", F.col("city_b").alias("city"), "team").alias("b")
-        )
-        pairs = pairs.unionByName(two.where("a.source <> b.source").select(F.col("a.row_id").alias("x"), F.col("b.row_id").alias("y"), *_pattern("a", "b")))
-    return pairs.select(F.least("x", "y").alias("row_id_1"), F.greatest("x", "y").alias("row_id_2"), *_LEVELS)
-
-
-def chance(rows: DataFrame, column: str) -> float:
-    """How likely two rows that have a value in ``column`` have the same one by chance."""
-    got = rows.where(F.col(column) != "").groupBy(column).count().agg(F.sum("count").alias("n"), F.sum(F.col("count").cast("double") ** 2).alias("s")).first()
-    return min(max(got["s"] / got["n"] ** 2, 1e-6), 0.9) if got["n"] else 0.5
-
-
-def estimate(patterns: list[tuple[tuple[int, ...], int]], by_chance: dict[int, float], rounds: int = 200) -> dict[tuple[int, ...], float]:
-    """Posterior match probability of each agreement pattern, by expectation-maximisation over the pattern counts.
-
-    For the attributes in ``by_chance`` the levels of non-matches are known, from how often values agree by chance; those of
-    matches, and both of the other attributes, are estimated. A missing value says nothing for or against.
+    add("place missing", unplaced, placed, same, False)
+    add("place missing", unplaced, unplaced, same, True)
+    through("place spelt", spelt(placed, placed, same, "city", 3, 3, True), same, "city", placed, placed)
+    here, where = ["job", "level", "city"], ["job", "level"]
+    through("employer", spelt(p, p, here, "name", 3, 4, True), here, "name", p, p)
+    through("employer, place missing", spelt(unplaced, placed, where, "name", 3, 4, False), where, "name", unplaced, placed)
+    jobs = ["name", "city", "level"]
+    through("job", spelt(p, p, jobs, "job", 6, 4, True), jobs, "job", p, p)
+    return out
+
+
+def chance(counts: dict[str, tuple[float, float]], attribute: str) -> float:
+    """How likely two rows that have a value of the attribute have the same one by chance, from the sums of counts and of their squares."""
+    n, squares = counts.get(attribute, (0.0, 0.0))
+    return min(max(squares / n**2, 1e-6), 0.9) if n else 0.5
+
+
+def estimate(patterns: list[tuple[str, tuple[int | None, ...], float]], by_chance: dict[int, float], rounds: int = 300, error: float = ERROR) -> dict[tuple[str, tuple[int | None, ...]], float]:
+    """Posterior match probability of each (pass, pattern), by expectation-maximisation over (pass, pattern, count).
+
+    A pattern has one agreement level per attribute, None where the pass doesn't compare it; a missing value (1) says nothing for or
+    against. Candidates that a pass brings together are matches, or differ in one of its free attributes: each of these is a kind of
+    non-match of its own, since one that differs in the level tells nothing about the employers of those that differ in the employer.
+    Estimated are the shares of the kinds, apart for each pass and set of attributes with a value (big employers name teams), which begin with
+    ``SHARE`` of matches; the levels of matches; the levels of the attribute in which a kind differs; and, per pass and kind, the levels of the other
+    attributes, which begin at what agrees ``by_chance``. That a match differs, or a non-match of a kind is equal in its attribute, is an ``error``.
     """
     if not patterns:
         return {}
-    levels = np.array([p for p, _ in patterns])
-    n = np.array([c for _, c in patterns], float)
-    cols, said = np.arange(levels.shape[1]), levels != 1
-    m = np.tile([0.05, 1.0, 0.15, 0.8], (len(cols), 1))
-    u = np.tile([0.6, 1.0, 0.1, 0.3], (len(cols), 1))
-    for c, p in by_chance.items():
-        u[c] = [(1 - p) * 0.99, 1.0, (1 - p) * 0.01, p]
-    share = 0.5
+    levels = np.array([[1 if x is None else x for x in q] for _, q, _ in patterns])
+    n = np.array([c for _, _, c in patterns], float)
+    n_cols, said = levels.shape[1], levels != 1
+    cols = np.arange(n_cols)
+    passes = sorted({p for p, _, _ in patterns})
+    of_pass = np.array([passes.index(p) for p, _, _ in patterns])
+    strata = [(p, *x) for (p, _, _), x in zip(patterns, said)]
+    names = sorted(set(strata))
+    of_stratum = np.array([names.index(x) for x in strata])
+    share = np.zeros((len(names), 1 + n_cols))
+    for k, (_, *has) in enumerate(names):
+        share[k, 0] = SHARE if any(has) else 1.0
+        share[k, 1:] = np.array(has) * (1 - SHARE) / max(sum(has), 1)
+    matched = np.tile([error, 1.0, 0.1, 0.9 - error], (n_cols, 1))
+    differs = np.tile([0.95 - error, 1.0, 0.05, error], (n_cols, 1))
+    others = np.zeros((len(passes), n_cols, n_cols, 4))
+    for c in cols:
+        p = by_chance.get(int(c), 0.3)
+        others[:, :, c] = [(1 - p) * 0.95, 1.0, (1 - p) * 0.05, p]
+    prior, post = others.copy(), None
     for _ in range(rounds):
-        a = share * np.prod(m[cols, levels], axis=1)
-        b = (1 - share) * np.prod(u[cols, levels], axis=1)
-        post = a / np.maximum(a + b, 1e-300)
-        share = float(np.clip((n * post).sum() / n.sum(), 1e-4, 1 - 1e-4))
+        like = np.empty((len(n), 1 + n_cols))
+        like[:, 0] = np.prod(matched[cols, levels], axis=1)
+        for c in cols:
+            rest = others[of_pass[:, None], c, cols, levels]
+            rest[:, c] = differs[c, levels[:, c]]
+            like[:, 1 + c] = np.prod(rest, axis=1)
+        like *= share[of_stratum]
+        post = like / np.maximum(like.sum(axis=1, keepdims=True), 1e-300)
+        w = post * n[:, None]
+        for k in range(len(names)):
+            got = w[of_stratum == k].sum(axis=0)
+            share[k] = got / max(got.sum(), 1e-300)
+        count = lambda weight, c, x: weight[levels[:, c] == x].sum()
         for c in cols:
-            for t, w in ((m, post), (u, 1 - post)):
-                if t is u and c in by_chance:
-                    continue
-                total = (n * w)[said[:, c]].sum()
-                for k in (0, 2, 3):
-                    t[c, k] = ((n * w)[levels[:, c] == k].sum() + 0.5) / (total + 1.5)
-            if c in by_chance:
-                m[c, 0] = NEVER
-    return {tuple(int(x) for x in p): float(q) for p, q in zip(levels, post)}
-
-
-def linked_pairs(jobs: DataFrame, reference: DataFrame, confident: float = CONFIDENT) -> DataFrame:
+            near, same = count(w[:, 0], c, 2) + 0.1, count(w[:, 0], c, 3) + 0.9
+            matched[c, 2:] = (1 - error) * near / (near + same), (1 - error) * same / (near + same)
+            far, near = count(w[:, 1 + c], c, 0) + 0.95, count(w[:, 1 + c], c, 2) + 0.05
+            differs[c, 0], differs[c, 2] = (1 - error) * far / (far + near), (1 - error) * near / (far + near)
+            for k in range(len(passes)):
+                for j in cols[cols != c]:
+                    got = np.array([count(w[:, 1 + c] * (of_pass == k), j, x) + prior[k, c, j, x] * (x != 1) for x in range(4)])
+                    got[1] = 0
+                    others[k, c, j] = got / got.sum()
+                    others[k, c, j, 1] = 1.0
+    return {(p, q): float(x) for (p, q, _), x in zip(patterns, post[:, 0])}
+
+
+def linked_profiles(jobs: DataFrame, reference: DataFrame, confident: float = CONFIDENT, cities: dict[str, str] = CITIES) -> tuple[DataFrame, DataFrame]:
+    """Links between profiles (``a_pid, b_pid, a_row_id, b_row_id, a_n, b_n, confidence``) and their members (``pid, row_id, n``; n is 1 but for profiles that are split)."""
+    rows = cut(with_profile(comparable(jobs, reference, cities)))
+    found = cut(profiles(rows))
+    # squares of value counts, all attributes from one small table
+    values = found.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in ATTRIBUTES])).alias("x"), "n").where("x.v <> ''")
+    sums = values.groupBy("x.c", "x.v").agg(F.sum("n").cast("double").alias("n")).groupBy("c").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s")).collect()
+    counts = {r["c"]: (r["n"], r["s"]) for r in sums}
+    pairs = cut(candidate_pairs(found))
+    levels = [f"c_{c}" for c in _FREE]
+    seen = pairs.groupBy("pass", *levels).agg(F.sum(F.col("a_n") * F.col("b_n")).alias("n")).collect()  # a few hundred patterns at most
+    posterior = estimate([(r["pass"], tuple(r[c] for c in levels), float(r["n"])) for r in seen], {k: chance(counts, c) for k, c in enumerate(_FREE)})
+    scored = [(p, *q, x) for (p, q), x in posterior.items() if x >= confident]
+    table = jobs.sparkSession.createDataFrame(scored, "pass string, " + ", ".join(f"{c} int" for c in levels) + ", confidence double")
+    same = F.col("x.pass") == F.col("y.pass")
+    for c in levels:
+        same = same & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
+    links = pairs.alias("x").join(F.broadcast(table).alias("y"), same).select("x.a_pid", "x.b_pid", "x.a_row_id", "x.b_row_id", "x.a_n", "x.b_n", "y.confidence")
+    sizes = found.where(F.col("n") > TOGETHER).select("pid", "n")  # the few profiles that are split
+    members = rows.join(F.broadcast(sizes) if is_small(sizes) else sizes, "pid", "left") if not sizes.isEmpty() else rows.withColumn("n", F.lit(1).cast("bigint"))
+    return links, members.select("pid", "row_id", F.coalesce("n", F.lit(1)).alias("n"))
+
+
+def linked_pairs(jobs: DataFrame, reference: DataFrame, confident: float = CONFIDENT, cities: dict[str, str] = CITIES) -> DataFrame:
     """``row_id_1, row_id_2, confidence``: pairs of rows of different sources that advertise the same opening.
 
-    Employer, job, level and city must agree (a missing city agrees with any), a different second name or a different team
-    named in both titles rules a pair out.  Rows without employer, source or a title with words take part in no
-    pair; repeated rows make their own pairs.  An empty table gives no pairs.
+    Rows without employer, source or a title with words take part in no pair; a missing city or team says nothing for or
+    against; repeated rows make their own pairs.  An empty table gives no pairs.
     """
-    rows = cut(comparable(jobs, reference))
-    pairs = cut(candidate_pairs(rows))
-    counts = pairs.groupBy(*_LEVELS).count().collect()  # as many rows as there are patterns: 256 at most
-    posterior = estimate([(tuple(r[c] for c in _LEVELS), r["count"]) for r in counts], {0: chance(rows, "name"), 1: chance(rows, "second"), 3: chance(rows, "team")})
-    confidence = F.lit(0.0)
-    for p, q in posterior.items():
-        ruled_out = p[0] == 0 or p[1] == 0 or p[3] == 0
-        if not ruled_out and q > 0:
-            same = F.lit(True)
-            for c, k in zip(_LEVELS, p):
-                same = same & (F.col(c) == k)
-            confidence = F.when(same, F.lit(q)).otherwise(confidence)
-    return pairs.withColumn("confidence", confidence).where(F.col("confidence") >= confident).select("row_id_1", "row_id_2", "confidence")
+    links, members = linked_profiles(jobs, reference, confident, cities)
+    # the members of a profile of very many rows are split into parts, as many as its size asks for
+    for s in "ab":
+        parts = lambda n: F.ceil(n / TOGETHER).cast("int")
+        one = members.select(F.col("pid").alias(f"{s}_pid"), F.col("row_id").alias(f"{s}_id"), F.pmod(F.xxhash64("row_id"), parts(F.col("n"))).alias("part"))
+        links = links.withColumn("part", F.explode(F.sequence(F.lit(0), parts(F.col(f"{s}_n")) - 1)))
+        links = links.withColumn("part", F.col("part").cast("bigint")).join(one, [f"{s}_pid", "part"]).drop("part")
+    return links.select(F.least("a_id", "b_id").alias("row_id_1"), F.greatest("a_id", "b_id").alias("row_id_2"), "confidence")
+
+
+def linked_representatives(jobs: DataFrame, reference: DataFrame, confident: float = CONFIDENT, cities: dict[str, str] = CITIES) -> DataFrame:
+    """``row_id_1, row_id_2, n_1, n_2, confidence``: the links between profiles only, each by its least row id; ``represented`` says which rows they stand for."""
+    links, _ = linked_profiles(jobs, reference, confident, cities)
+    first = F.col("a_row_id") < F.col("b_row_id")
+    pick = lambda c, one, two: F.when(first, F.col(f"{one}_{c}")).otherwise(F.col(f"{two}_{c}"))
+    return links.select(pick("row_id", "a", "b").alias("row_id_1"), pick("row_id", "b", "a").alias("row_id_2"), pick("n", "a", "b").alias("n_1"), pick("n", "b", "a").alias("n_2"), "confidence")
+
+
+def represented(jobs: DataFrame, reference: DataFrame, cities: dict[str, str] = CITIES) -> DataFrame:
+    """``row_id, representative``: the least row id of the rows that are alike in source and all attributes; rows that take part in no pair are left out."""
+    rows = cut(with_profile(comparable(jobs, reference, cities)))
+    return look_up(rows.select("pid", "row_id"), cut(profiles(rows).select("pid", F.col("row_id").alias("representative"))), ["pid"], salt=F.col("row_id")).select("row_id", "representative")

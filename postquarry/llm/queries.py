@@ -14,6 +14,11 @@ def p1_found(spark, d):
     return canonical.canonical_matches(table(spark, d, "combined_jobs"), table(spark, d, "canonical_values"))
 
 
+def p1_nearest(spark, d):
+    values = canonical.entered_values(table(spark, d, "combined_jobs")).select("field", "value")
+    return canonical.nearest_labels(values, table(spark, d, "canonical_values"))
+
+
 def p2_found(spark, d):
     return languages.mislabelled_segments(table(spark, d, "combined_jobs")).select("row_id", "field", "segment", "lang")
 
@@ -22,12 +27,16 @@ def p2_segments(spark, d):
     return languages.label_segments(table(spark, d, "combined_jobs"))
 
 
+def p6_found(spark, d):
+    return linkage.linked_pairs(table(spark, d, "combined_jobs"), table(spark, d, "canonical_values")).select("row_id_1", "row_id_2")
+
+
 def p6_pairs(spark, d):
-    return linkage.linked_pairs(table(spark, d, "combined_jobs"), table(spark, d, "canonical_values"))
+    return linkage.linked_representatives(table(spark, d, "combined_jobs"), table(spark, d, "canonical_values"))
 
 
-def p6_found(spark, d):
-    return p6_pairs(spark, d).select("row_id_1", "row_id_2")
+def p6_members(spark, d):
+    return linkage.represented(table(spark, d, "combined_jobs"), table(spark, d, "canonical_values"))
 
 
 def p7_ids(spark, d):
@@ -50,5 +59,14 @@ def p9_grades(spark, d):
     return reading.reading_grades(_documents(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_segments, p6_found, p6_pairs, p7_ids, p8_found, p8_overlaps, p9_found, p9_grades)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_segments, p6_found, p6_pairs, p6_members, p7_ids, p8_found, p8_overlaps, p9_found, p9_grades)}
+
+# every value against every label, without the join's segments
+_P1_NEAREST = f"""WITH e AS (SELECT 'title' AS field, title AS value FROM combined_jobs UNION ALL SELECT 'job_category', job_category FROM combined_jobs),
+v AS (SELECT DISTINCT field, lower(trim(value)) AS value FROM e WHERE trim(value) <> ''),
+r AS (SELECT field, lower(trim(label)) AS ref, min(ref_id) AS ref_id FROM canonical_values WHERE trim(label) <> '' GROUP BY 1, 2),
+n AS (SELECT v.field, value, ref, ref_id, levenshtein(value, ref) AS edits, CASE {' '.join(f'WHEN length(ref) >= {least} THEN {k}' for least, k in reversed(canonical.EDITS))} END AS k FROM v JOIN r USING (field))
+SELECT field, value, ref_id, edits::integer AS edits FROM n WHERE edits <= k QUALIFY row_number() OVER (PARTITION BY field, value
+ORDER BY edits, CASE WHEN edits > 1 THEN (list_sort(string_split(value, '')) <> list_sort(string_split(ref, '')))::int ELSE 0 END, ref_id) = 1"""
+
+SQL: dict[str, str] = {"p1_nearest": _P1_NEAREST}

@@ -14,6 +14,10 @@ import pyarrow.compute as pc
 import regex
 
 _MARKUP = regex.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]{0,300}>|https?://\S+", regex.S)
+# Words people put where a value is asked for and they have none.
+PLACEHOLDERS = tuple(
+    "asdf blank dummy empty foo missing n.a. n/a na nan nil none null placeholder qwerty tba tbc tbd temp test todo undefined unknown untitled xx xxx xxxx".split()
+) + ("n a", "not available")
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Mn}]+")
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
