@@ -61,11 +61,11 @@ def p9_grades(spark, d):
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p2_found, p2_segments, p6_found, p6_pairs, p6_members, p7_ids, p8_found, p8_overlaps, p9_found, p9_grades)}
 
-# every value against every label, without the join's segments
+# every value against every label, without the join's segments; edits are counted in bytes there, so any letter that no label has is one byte
 _P1_NEAREST = f"""WITH e AS (SELECT 'title' AS field, title AS value FROM combined_jobs UNION ALL SELECT 'job_category', job_category FROM combined_jobs),
 v AS (SELECT DISTINCT field, lower(trim(value)) AS value FROM e WHERE trim(value) <> ''),
 r AS (SELECT field, lower(trim(label)) AS ref, min(ref_id) AS ref_id FROM canonical_values WHERE trim(label) <> '' GROUP BY 1, 2),
-n AS (SELECT v.field, value, ref, ref_id, levenshtein(value, ref) AS edits, CASE {' '.join(f'WHEN length(ref) >= {least} THEN {k}' for least, k in reversed(canonical.EDITS))} END AS k FROM v JOIN r USING (field))
+n AS (SELECT v.field, value, ref, ref_id, levenshtein(regexp_replace(value, '[^ -~]', '\x01', 'g'), ref) AS edits, CASE {' '.join(f'WHEN length(ref) >= {least} THEN {k}' for least, k in reversed(canonical.EDITS))} END AS k FROM v JOIN r USING (field))
 SELECT field, value, ref_id, edits::integer AS edits FROM n WHERE edits <= k QUALIFY row_number() OVER (PARTITION BY field, value
 ORDER BY edits, CASE WHEN edits > 1 THEN (list_sort(string_split(value, '')) <> list_sort(string_split(ref, '')))::int ELSE 0 END, ref_id) = 1"""
 
