@@ -96,7 +96,7 @@ def resolved_places(jobs: DataFrame, cities: dict[str, str] = CITIES) -> DataFra
 
 
 def _titles(jobs: DataFrame, reference: DataFrame) -> DataFrame:
-    """``title, job, level, team`` of distinct titles; job is the plain label of the title's entry in the reference list, else the plain title."""
+    """``title, job, entry, level, team`` of distinct titles; job is the plain label of the title's entry in the reference list (``entry``), else the plain title."""
     titles = jobs.select("title").where("title is not null").distinct()
     mapped = canonical.map_values(titles.select(F.lit("title").alias("field"), F.col("title").alias("value")), reference)
     # what stands behind a separator at the end is a team, unless it is a word of the reference list
@@ -110,31 +110,26 @@ def _titles(jobs: DataFrame, reference: DataFrame) -> DataFrame:
     known = canonical.closest_entries(split.select(F.lit("word").alias("field"), F.col("team").alias("text")).where("text <> ''").distinct(), words, ((4, 2),)).select(F.col("text").alias("team"), F.lit(True).alias("known"))
     labels = reference.where("field = 'title' and ref_id is not null").groupBy("ref_id").agg(canonical.plain(F.min("label")).alias("entry"))
     split = split.join(F.broadcast(labels) if is_small(labels) else labels, "ref_id", "left")
-    return split.join(known, "team", "left").select(F.col("value").alias("title"), F.coalesce("entry", "core").alias("job"), "level", F.when(F.col("known"), "").otherwise(F.col("team")).alias("team"))
+    return split.join(known, "team", "left").select(F.col("value").alias("title"), F.coalesce("entry", "core").alias("job"), F.col("entry").isNotNull().alias("entry"), "level", F.when(F.col("known"), "").otherwise(F.col("team")).alias("team"))
 
 
 ATTRIBUTES = ("name", "second", "job", "level", "city", "team")
 
 
 def comparable(jobs: DataFrame, reference: DataFrame, cities: dict[str, str] = CITIES) -> DataFrame:
-    """``row_id, source, name, second, job, level, city, team`` of the rows that have an employer, a source, and a title with a word that is no placeholder."""
+    """``row_id, source, name, second, job, entry, level, city, team, pid`` (a digest of source and attributes) of the rows that have an employer, a source, and a title with a word that is no placeholder."""
     name, second = employer(F.col("company"))
     rows = jobs.select("row_id", "source", "title", "company", "location").where("source is not null and title is not null and company is not null")
     rows = cut(rows.select("row_id", "source", "title", "location", name.alias("name"), second.alias("second"))).where("name <> ''")
     rows = look_up(rows, cut(_titles(rows, reference)), ["title"], salt=F.col("row_id"))
     rows = look_up(rows, cut(resolved_places(rows, cities)), ["location"], "left", salt=F.col("row_id"))
-    rows = rows.select("row_id", "source", "name", "second", "job", "level", F.coalesce("city", F.lit("")).alias("city"), "team")
-    return rows.where(F.col("job").rlike(r"\p{L}{2}") & ~F.col("job").isin(*PLACEHOLDERS))
-
-
-def with_profile(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``pid``: 128 bits of a digest of source and attributes."""
-    return rows.withColumn("pid", F.unhex(F.md5(F.concat_ws("\u0001", "source", *ATTRIBUTES))))
+    rows = rows.select("row_id", "source", "name", "second", "job", "entry", "level", F.coalesce("city", F.lit("")).alias("city"), "team")
+    return rows.where(F.col("job").rlike(r"\p{L}{2}") & ~F.col("job").isin(*PLACEHOLDERS)).withColumn("pid", F.xxhash64("source", *ATTRIBUTES))
 
 
 def profiles(rows: DataFrame) -> DataFrame:
-    """``pid, source, n, row_id`` (the least) and the attributes, one row per set of rows of a source that are alike in all attributes."""
-    return rows.groupBy("pid", "source", *ATTRIBUTES).agg(F.count("*").alias("n"), F.min("row_id").alias("row_id"))
+    """``pid, src, n, row_id`` (the least), the attributes and ``entry``, one row per set of rows of a source that are alike in all attributes."""
+    return rows.groupBy("pid").agg(F.count("*").cast("int").alias("n"), F.min("row_id").alias("row_id"), F.first(F.crc32("source")).alias("src"), *[F.first(c).alias(c) for c in (*ATTRIBUTES, "entry")])
 
 
 def _near(a: Column, b: Column, k: int) -> Column:
@@ -159,14 +154,14 @@ def _level(attribute: str, x: Column, y: Column) -> Column:
     return F.when((x == "") | (y == ""), 1).when(x == y, 3).when(near, 2).otherwise(0)
 
 
-#: Blocking passes, none of which finds a pair of another: the attributes that must be equal and those that are compared.
+#: Blocking passes, none of which finds a pair of another, and the attributes that each leaves free and compares; the others must be equal.
 PASSES = {
-    "opening": (("name", "job", "city"), ("level", "second", "team")),
-    "place missing": (("name", "job", "level"), ("second", "team")),
-    "place spelt": (("name", "job", "level"), ("city", "second", "team")),
-    "employer": (("job", "level", "city"), ("name", "second", "team")),
-    "employer, place missing": (("job", "level"), ("name", "second", "team")),
-    "job": (("name", "city", "level"), ("job", "second", "team")),
+    "opening": ("level", "second", "team"),
+    "place missing": ("second", "team"),
+    "place spelt": ("city", "second", "team"),
+    "employer": ("name", "second", "team"),
+    "employer, place missing": ("name", "second", "team"),
+    "job": ("job", "second", "team"),
 }
 _FREE = ("name", "job", "level", "city", "second", "team")
 
@@ -175,48 +170,67 @@ def _ends(c: str, n: int) -> Column:
     return F.explode(F.array(F.concat(F.lit("<"), F.substring(c, 1, n)), F.concat(F.lit(">"), F.expr(f"right({c}, {n})"))))
 
 
-def candidate_pairs(profiles: DataFrame) -> DataFrame:
-    """``pass, a, b`` (structs of profiles of different sources) and ``c_`` agreement levels (null where a pass doesn't compare) of all passes; each pair once."""
-    whole = F.struct("pid", "source", "n", "row_id", *ATTRIBUTES)
-    p = profiles.select(*ATTRIBUTES, whole.alias("p"))
-    placed, unplaced = p.where("city <> ''"), p.where("city = ''")
+def _light(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if its size is proven."""
+    return F.broadcast(df) if is_small(df) else df
+
+
+def candidate_pairs(found: DataFrame) -> DataFrame:
+    """``pass, pattern, a_pid, b_pid, a_n, b_n``: pairs of profiles of different sources of all passes, each pair once.
+
+    ``pattern`` holds the agreement levels of the pass's free attributes, two bits each in the order of ``_FREE``. Only hashes of the
+    block, ids, and attributes that are compared travel. Sides that are small (no place, a name with a near one in its block, titles in no list) are broadcast
+    behind a check of their bytes, so that the other side stays where it is.
+    """
     out = None
 
-    def add(name: str, left: DataFrame, right: DataFrame, keys: list[str], ordered: bool) -> None:
+    def side(df: DataFrame, key: list, name: str) -> DataFrame:
+        return df.select(F.xxhash64(*key).alias("k"), "pid", "src", "n", *PASSES[name], *(["entry"] if name == "job" else []))
+
+    def add(name: str, left: DataFrame, right: DataFrame, extra: str = "true") -> None:
         nonlocal out
-        got = left.select(*keys, F.col("p").alias("a")).join(right.select(*keys, F.col("p").alias("b")), keys).where("a.source <> b.source")
-        if ordered:
-            got = got.where("a.pid < b.pid")
-        levels = [(_level(c, F.col(f"a.{c}"), F.col(f"b.{c}")) if c in PASSES[name][1] else F.lit(None).cast("int")).alias(f"c_{c}") for c in _FREE]
-        got = got.select(F.lit(name).alias("pass"), *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("pid", "n", "row_id")], *levels)
+        got = left.alias("a").join(right.alias("b"), F.col("a.k") == F.col("b.k")).where("a.src <> b.src").where(extra)
+        pattern = F.lit(0)
+        for i, c in enumerate(_FREE):
+            if c in PASSES[name]:
+                pattern = pattern + _level(c, F.col(f"a.{c}"), F.col(f"b.{c}")) * 4**i
+        number = list(PASSES).index(name)
+        got = got.select(F.lit(number).alias("pass"), pattern.cast("int").alias("pattern"), F.col("a.pid").alias("a_pid"), F.col("b.pid").alias("b_pid"), F.col("a.n").alias("a_n"), F.col("b.n").alias("b_n"))
         out = got if out is None else out.unionByName(got)
 
-    def spelt(base: DataFrame, other: DataFrame, keys: list[str], field: str, n: int, k: int, ordered: bool) -> DataFrame:
-        """``keys, field_a, field_b``: distinct values within ``keys`` that begin or end alike and lie ``k`` edits apart or nearer."""
-        a, b = ((x.select(*keys, field).distinct().withColumn("end", _ends(field, n)).withColumnRenamed(field, f"{field}_{s}")) for x, s in ((base, "a"), (other, "b")))
-        x, y = F.col(f"{field}_a"), F.col(f"{field}_b")
-        return a.join(b, [*keys, "end"]).where(((x < y) if ordered else (x != y)) & _near(x, y, k)).select(*keys, f"{field}_a", f"{field}_b").distinct()
-
-    def through(name: str, pairs: DataFrame, keys: list[str], field: str, left: DataFrame, right: DataFrame) -> None:
-        l2 = left.withColumnRenamed(field, f"{field}_a").join(pairs, [*keys, f"{field}_a"]).select(*keys, F.col(f"{field}_b").alias(field), "p")
-        add(name, l2, right, [*keys, field], ordered=False)
-
-    add("opening", placed, placed, ["name", "job", "city"], True)
+    once = "a.pid < b.pid"
+    placed, unplaced = found.where("city <> ''"), found.where("city = ''")
+    opening = side(placed, ["name", "job", "city"], "opening")
+    add("opening", opening, opening, once)
     same = ["name", "job", "level"]
-    add("place missing", unplaced, placed, same, False)
-    add("place missing", unplaced, unplaced, same, True)
-    through("place spelt", spelt(placed, placed, same, "city", 3, 3, True), same, "city", placed, placed)
-    here, where = ["job", "level", "city"], ["job", "level"]
-    through("employer", spelt(p, p, here, "name", 3, 4, True), here, "name", p, p)
-    through("employer, place missing", spelt(unplaced, placed, where, "name", 3, 4, False), where, "name", unplaced, placed)
-    jobs = ["name", "city", "level"]
-    through("job", spelt(p, p, jobs, "job", 6, 4, True), jobs, "job", p, p)
+    nowhere = side(unplaced, same, "place missing")
+    add("place missing", _light(nowhere), side(placed, same, "place missing"))
+    add("place missing", nowhere, nowhere, once)
+    # cities spelt alike: few distinct ones
+    city = placed.select("city").distinct().withColumn("end", _ends("city", 3))
+    near = cut(city.alias("x").join(city.alias("y"), "end").where("x.city < y.city").where(_near(F.col("x.city"), F.col("y.city"), 3)).select(F.col("x.city").alias("city"), F.col("y.city").alias("other")).distinct())
+    if not near.isEmpty():
+        left = placed.join(_light(near), "city").select(F.xxhash64("name", "job", "level", "other").alias("k"), "pid", "src", "n", *PASSES["place spelt"])
+        add("place spelt", _light(left), side(placed, [*same, "city"], "place spelt"))
+    # employers spelt alike: distinct names within a block that begin or end alike
+    for name, base, other, block in (("employer", found, found, ["job", "level", "city"]), ("employer, place missing", unplaced, placed, ["job", "level"])):
+        names = lambda df: df.select(F.xxhash64(*block).alias("block"), "name").distinct().withColumn("end", _ends("name", 3)).select("block", "name", F.xxhash64("block", "end").alias("k"))  # noqa: E731, B023
+        x, y = names(base).alias("x"), names(other).alias("y")
+        order = "x.name < y.name" if name == "employer" else "x.name <> y.name"
+        x = x if name == "employer" else _light(x)
+        alike = x.join(y, F.col("x.k") == F.col("y.k")).where(order).where(_near(F.col("x.name"), F.col("y.name"), 4))
+        alike = cut(alike.select(F.xxhash64("x.block", "x.name").alias("k"), F.xxhash64("x.block", "y.name").alias("to")).distinct())
+        spelt = lambda df: side(df, [F.xxhash64(*block), F.col("name")], name)  # noqa: E731, B023
+        left = spelt(base).join(_light(alike), "k").drop("k").withColumnRenamed("to", "k")
+        add(name, _light(left), spelt(other))
+    # two entries of the list are two jobs: only titles in no list can be near another
+    here = ["name", "city", "level"]
+    add("job", _light(side(found.where("not entry"), here, "job")), side(found, here, "job"), "a.job <> b.job and (b.entry or a.pid < b.pid) and levenshtein(a.job, b.job, 4) >= 0")
     return out
 
 
-def chance(counts: dict[str, tuple[float, float]], attribute: str) -> float:
-    """How likely two rows that have a value of the attribute have the same one by chance, from the sums of counts and of their squares."""
-    n, squares = counts.get(attribute, (0.0, 0.0))
+def chance(n: float, squares: float) -> float:
+    """How likely two rows that have a value have the same one by chance, from the sums of the values' counts and of their squares."""
     return min(max(squares / n**2, 1e-6), 0.9) if n else 0.5
 
 
@@ -280,27 +294,24 @@ def estimate(patterns: list[tuple[str, tuple[int | None, ...], float]], by_chanc
     return {(p, q): float(x) for (p, q, _), x in zip(patterns, post[:, 0])}
 
 
-def linked_profiles(jobs: DataFrame, reference: DataFrame, confident: float = CONFIDENT, cities: dict[str, str] = CITIES) -> tuple[DataFrame, DataFrame]:
-    """Links between profiles (``a_pid, b_pid, a_row_id, b_row_id, a_n, b_n, confidence``) and their members (``pid, row_id, n``; n is 1 but for profiles that are split)."""
-    rows = cut(with_profile(comparable(jobs, reference, cities)))
+def linked_profiles(rows: DataFrame, confident: float = CONFIDENT) -> tuple[DataFrame, DataFrame]:
+    """Links between profiles (``a_pid, b_pid, a_n, b_n, confidence``) of ``comparable`` rows, and the profiles."""
     found = cut(profiles(rows))
     # squares of value counts, all attributes from one small table
-    values = found.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in ATTRIBUTES])).alias("x"), "n").where("x.v <> ''")
+    values = found.select(F.explode(F.array(*[F.struct(F.lit(k).alias("c"), F.xxhash64(c).alias("v"), (F.col(c) != "").alias("said")) for k, c in enumerate(_FREE)])).alias("x"), "n").where("x.said")
     sums = values.groupBy("x.c", "x.v").agg(F.sum("n").cast("double").alias("n")).groupBy("c").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s")).collect()
-    counts = {r["c"]: (r["n"], r["s"]) for r in sums}
+    by_chance = {r["c"]: chance(r["n"], r["s"]) for r in sums}
     pairs = cut(candidate_pairs(found))
-    levels = [f"c_{c}" for c in _FREE]
-    seen = pairs.groupBy("pass", *levels).agg(F.sum(F.col("a_n") * F.col("b_n")).alias("n")).collect()  # a few hundred patterns at most
-    posterior = estimate([(r["pass"], tuple(r[c] for c in levels), float(r["n"])) for r in seen], {k: chance(counts, c) for k, c in enumerate(_FREE)})
-    scored = [(p, *q, x) for (p, q), x in posterior.items() if x >= confident]
-    table = jobs.sparkSession.createDataFrame(scored, "pass string, " + ", ".join(f"{c} int" for c in levels) + ", confidence double")
-    same = F.col("x.pass") == F.col("y.pass")
-    for c in levels:
-        same = same & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
-    links = pairs.alias("x").join(F.broadcast(table).alias("y"), same).select("x.a_pid", "x.b_pid", "x.a_row_id", "x.b_row_id", "x.a_n", "x.b_n", "y.confidence")
-    sizes = found.where(F.col("n") > TOGETHER).select("pid", "n")  # the few profiles that are split
-    members = rows.join(F.broadcast(sizes) if is_small(sizes) else sizes, "pid", "left") if not sizes.isEmpty() else rows.withColumn("n", F.lit(1).cast("bigint"))
-    return links, members.select("pid", "row_id", F.coalesce("n", F.lit(1)).alias("n"))
+    seen = pairs.groupBy("pass", "pattern").agg(F.sum(F.col("a_n").cast("double") * F.col("b_n")).alias("n")).collect()  # a few hundred patterns at most
+    names = list(PASSES)
+
+    def levels(number: int, pattern: int) -> tuple[int | None, ...]:
+        return tuple(pattern >> 2 * i & 3 if c in PASSES[names[number]] else None for i, c in enumerate(_FREE))
+
+    posterior = estimate([(names[r["pass"]], levels(r["pass"], r["pattern"]), r["n"]) for r in seen], by_chance)
+    scored = [(r["pass"], r["pattern"], posterior[names[r["pass"]], levels(r["pass"], r["pattern"])]) for r in seen]
+    table = rows.sparkSession.createDataFrame([x for x in scored if x[2] >= confident], "pass int, pattern int, confidence double")
+    return pairs.join(F.broadcast(table), ["pass", "pattern"]).select("a_pid", "b_pid", "a_n", "b_n", "confidence"), found
 
 
 def linked_pairs(jobs: DataFrame, reference: DataFrame, confident: float = CONFIDENT, cities: dict[str, str] = CITIES) -> DataFrame:
@@ -309,10 +320,13 @@ def linked_pairs(jobs: DataFrame, reference: DataFrame, confident: float = CONFI
     Rows without employer, source or a title with words take part in no pair; a missing city or team says nothing for or
     against; repeated rows make their own pairs.  An empty table gives no pairs.
     """
-    links, members = linked_profiles(jobs, reference, confident, cities)
+    rows = comparable(jobs, reference, cities)
+    links, found = linked_profiles(rows, confident)
     # the members of a profile of very many rows are split into parts, as many as its size asks for
+    members, parts = rows.select("pid", "row_id"), lambda n: F.ceil(n / TOGETHER).cast("int")
+    many = found.where(F.col("n") > TOGETHER).select("pid", "n")
+    members = members.withColumn("n", F.lit(1)) if many.isEmpty() else members.join(_light(many), "pid", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     for s in "ab":
-        parts = lambda n: F.ceil(n / TOGETHER).cast("int")
         one = members.select(F.col("pid").alias(f"{s}_pid"), F.col("row_id").alias(f"{s}_id"), F.pmod(F.xxhash64("row_id"), parts(F.col("n"))).alias("part"))
         links = links.withColumn("part", F.explode(F.sequence(F.lit(0), parts(F.col(f"{s}_n")) - 1)))
         links = links.withColumn("part", F.col("part").cast("bigint")).join(one, [f"{s}_pid", "part"]).drop("part")
@@ -321,7 +335,9 @@ def linked_pairs(jobs: DataFrame, reference: DataFrame, confident: float = CONFI
 
 def linked_representatives(jobs: DataFrame, reference: DataFrame, confident: float = CONFIDENT, cities: dict[str, str] = CITIES) -> DataFrame:
     """``row_id_1, row_id_2, n_1, n_2, confidence``: the links between profiles only, each by its least row id; ``represented`` says which rows they stand for."""
-    links, _ = linked_profiles(jobs, reference, confident, cities)
+    links, found = linked_profiles(comparable(jobs, reference, cities), confident)
+    for s in "ab":
+        links = links.join(found.select(F.col("pid").alias(f"{s}_pid"), F.col("row_id").alias(f"{s}_row_id")), f"{s}_pid")
     first = F.col("a_row_id") < F.col("b_row_id")
     pick = lambda c, one, two: F.when(first, F.col(f"{one}_{c}")).otherwise(F.col(f"{two}_{c}"))
     return links.select(pick("row_id", "a", "b").alias("row_id_1"), pick("row_id", "b", "a").alias("row_id_2"), pick("n", "a", "b").alias("n_1"), pick("n", "b", "a").alias("n_2"), "confidence")
@@ -329,5 +345,5 @@ def linked_representatives(jobs: DataFrame, reference: DataFrame, confident: flo
 
 def represented(jobs: DataFrame, reference: DataFrame, cities: dict[str, str] = CITIES) -> DataFrame:
     """``row_id, representative``: the least row id of the rows that are alike in source and all attributes; rows that take part in no pair are left out."""
-    rows = cut(with_profile(comparable(jobs, reference, cities)))
+    rows = comparable(jobs, reference, cities)
     return look_up(rows.select("pid", "row_id"), cut(profiles(rows).select("pid", F.col("row_id").alias("representative"))), ["pid"], salt=F.col("row_id")).select("row_id", "representative")
