@@ -42,6 +42,9 @@ KINDS = ("array", "boolean", "number", "object", "string")
 ALIASES = (("job_url", "url"), ("category", "job_category"), ("job_location", "location"), ("is_active", "active"), ("minSalary", "salary_min"))
 
 
+_AS_MAP = "try_cast(try_parse_json(record) as map<string,variant>)"
+
+
 def _kind(schema: Column) -> Column:
     """The JSON type for a variant's schema; null for JSON null."""
     return (
@@ -71,13 +74,13 @@ def read_records(files: DataFrame) -> DataFrame:
 
     Damaged lines, null records, JSON that is no object, and rows without feed or file are left out; ``unreadable`` counts them.
     """
-    m = F.expr("try_cast(try_parse_json(record) as map<string,variant>)")
-    return files.where("feed is not null and file_name is not null").select("record_id", "feed", "file_name", "exported_on", m.alias("m")).where("m is not null")
+    rows = files.where("feed is not null and file_name is not null").select("record_id", "feed", "file_name", "exported_on", F.expr(_AS_MAP).alias("m"))
+    return rows.where("m is not null")
 
 
 def unreadable(files: DataFrame) -> DataFrame:
     """``feed, file_name, n_unreadable`` for files that have records which are no JSON object."""
-    bad = F.expr("try_cast(try_parse_json(record) as map<string,variant>) is null")
+    bad = F.expr(f"{_AS_MAP} is null")
     return files.groupBy("feed", "file_name").agg(F.count_if(bad).alias("n_unreadable")).where("n_unreadable > 0")
 
 
@@ -134,7 +137,9 @@ def _renames(files: DataFrame, versions: DataFrame) -> DataFrame:
         steps.select("feed", F.col("previous").alias("file_name"), "step", F.lit(False).alias("new"), F.col("gone").alias("wanted"), "dressed")
     )
     parts = cut(parts)
-    records = read_records(files).join(F.broadcast(parts) if is_small(parts) else parts, ["feed", "file_name"])
+    # only records of these files are parsed again
+    records = files.select("record_id", "feed", "file_name", "record").join(F.broadcast(parts) if is_small(parts) else parts, ["feed", "file_name"])
+    records = records.withColumn("m", F.expr(_AS_MAP)).where("m is not null")
     # what may be written in another type is compared in one dress, all else as it stands
     value = records.select("step", "new", F.col("record_id").alias("r"), "wanted", "dressed", F.explode("m").alias("field", "v"))
     kind, text = _kind(F.schema_of_variant("v")), F.expr("cast(v as string)")
@@ -150,7 +155,8 @@ def _renames(files: DataFrame, versions: DataFrame) -> DataFrame:
     best = cut(best)
     # records that share little beside the best of their file are strangers with a word in common
     pairs = best.join(best.groupBy("step").agg(F.max("n").alias("most")), "step").where("n * 3 >= most").select("step", "old_r", "new_r")
-    held = lambda new, name: value.where((F.col("new") == new) & F.array_contains("wanted", F.col("field"))).select("step", F.col("r").alias(f"{name}_r"), F.col("field").alias(name), F.col("h").alias(f"h_{name}"))
+    wanted = cut(value.where(F.array_contains("wanted", F.col("field"))).select("step", "new", "r", "field", "h"))
+    held = lambda new, name: wanted.where(F.col("new") == new).select("step", F.col("r").alias(f"{name}_r"), F.col("field").alias(name), F.col("h").alias(f"h_{name}"))
     yes = F.xxhash64(F.lit("true"))
     seen = pairs.join(held(False, "old"), ["step", "old_r"]).join(held(True, "new"), ["step", "new_r"])
     found = seen.groupBy("step", "old", "new").agg(
