@@ -50,17 +50,40 @@ def test_segments_and_odd_labels(spark, base):
     )
 
 
-def test_held_out_accuracy_with_wrong_labels(base):
+def test_held_out_accuracy_and_calibration_with_wrong_labels(base):
     rnd = random.Random(2)
     texts, langs = [r[2] for r in base], [next(k for k, v in LABELS.items() if v == r[3]) for r in base]
-    noisy = [rnd.choice(G.LANGS) if rnd.random() < 0.1 else x for x in langs]
+    noisy = [rnd.choice(list(LABELS)) if rnd.random() < 0.1 else x for x in langs]
     # the fourth sentence of a language is partly unseen; words and n-grams must carry over
-    m = G.train([t for t in texts], noisy)
+    m = G.train(texts, noisy)
     held = [(s, lang) for lang, ss in SENTENCES.items() for s in ss]
     s = G.split_sentences([x for x, _ in held])
-    best, sure = G.Machines.decide(m.margins(s, G.word_scores(m.weights, s.names)))
-    right = sum(G.LANGS[b] == held[t][1] for b, t in zip(best, s.text))
-    assert right >= 0.95 * len(held) and 0 <= sure.min() and sure.max() <= 1
+    best, sure, _ = m.decide(m.margins(s, G.word_scores(m.weights, s.names)))
+    right = sum(m.langs[b] == held[t][1] for b, t in zip(best, s.text))
+    assert right >= 0.95 * len(held) and 0 <= sure.min() and sure.max() <= 1 and set(m.langs) == set(LABELS)
+    rng = random.Random(5)
+    margins = [rng.gauss(0.6, 0.5) for _ in range(2000)]
+    assert 2 < G._steepness(G.np.array(margins), G.np.ones(2000)) < 30 and G._steepness(G.np.array([1.0]), G.np.array([1.0])) == 4.0
+
+
+def test_other_languages_families_and_none(spark, base):
+    finnish = ["Etsimme henkilöä, joka auttaa tiimiä.", "Kirjoitat lyhyitä raportteja muille ryhmille.", "Toimistossamme on tilaa monelle ihmiselle.", "Lähetä meille kirjeesi tällä viikolla."]
+    polish = "Szukamy osoby, która pomoże zespołowi. Piszesz krótkie sprawozdania dla innych grup. Nasze biuro ma miejsce dla wielu osób. Wyślij nam swój list w tym tygodniu."
+    rnd = random.Random(3)
+    more = [(500 + k, "Maksuinsinööri", " ".join(rnd.sample(finnish, 3)), "fi", "c", "c") for k in range(25)]
+    extra = [(900, None, " ".join(finnish), "en", "c", "c"), (901, None, polish, None, "c", "c")]
+    got = {r.row_id: r.lang for r in G.mislabelled_segments(spark.createDataFrame(base + more + extra, SCHEMA)).where("field = 'description'").collect()}
+    assert got[900] == "fi" and got[901] == G.NONE and len(got) == 2
+    assert G.Machines.plan(("de", "en", "fi", "fr"))[0] == ("germanic", "romance", "uralic") and G.Machines.plan(("de", "en", "fi", "fr"))[2] == [(0, 1)]
+
+
+def test_fragments_are_reported(spark, base):
+    text = SENTENCES["de"][0] + " " + SENTENCES["de"][1] + "\n\nWe are looking for many people\n\n" + SENTENCES["de"][2]
+    df = spark.createDataFrame([*base, (900, None, text, "de", "c", "c"), (901, None, "Team\n\nBüro", "de", "c", "c")], SCHEMA)
+    got = [(r.kind, r.segment, r.lang, r.n_sentences) for r in G.label_segments(df).where("row_id = 900").collect()]
+    assert sorted(got) == [("fragment", 1, "en", 0), ("segment", 1, "de", 3)]
+    assert {r.kind for r in G.label_segments(df).where("row_id = 901").collect()} == {"fragment"}
+    assert G.mislabelled_segments(df).where("row_id >= 900").count() == 0
 
 
 def test_split_sentences():
@@ -72,4 +95,5 @@ def test_split_sentences():
 def test_empty(spark, base):
     df = spark.createDataFrame(base[:30], SCHEMA)
     assert G.label_segments(df.limit(0)).count() == 0
-    assert G.label_segments(df.withColumn("lang", F.lit(None).cast("string"))).count() == 60
+    none = G.label_segments(df.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert len(none) == 60 and {r.lang for r in none} == {G.NONE}
