@@ -5,8 +5,9 @@ once.  Pieces are bucketed by length into padded matrices of token ids with a pa
 pair ranks; in every round each row merges its leftmost pair of minimum rank, the row is compacted
 by one column, and only the two ranks around the merge are looked up again (a vectorised
 open-addressing hash table from id pairs to ranks).  Rows without a pair left leave the matrix.
-Pieces longer than ``WIDEST`` bytes, for which rounds over a row would be quadratic, merge in the
-same order by a heap.
+A row longer than ``WIDEST`` bytes merges all places of its minimum-rank pair in one round, from the left: the pairs that a
+merge makes hold a later token and so have a higher rank, so that the order is the same, and there are as many rounds as
+different merges instead of as many as bytes.
 
 Whole texts are encoded, one row in, one row out; there is no shuffle.
 """
@@ -14,7 +15,6 @@ Whole texts are encoded, one row in, one row out; there is no shuffle.
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +29,7 @@ from .words import slices
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bytes of the longest piece that is encoded in a matrix.
+#: Bytes of the longest piece of which a round merges one pair only.
 WIDEST = 512
 #: Pieces that a worker remembers between batches.
 REMEMBERED = 400_000
@@ -126,35 +126,29 @@ def _encode_matrix(pieces: list[bytes], table: PairTable) -> list[np.ndarray]:
     return out
 
 
-def _encode_long(piece: bytes, table: PairTable) -> np.ndarray:
-    """The same merges for one very long piece: a heap of (rank, position) over a linked list."""
-    ids = table.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
-    n = len(ids)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    first = table(np.array(ids[:-1], np.int32), np.array(ids[1:], np.int32)).tolist()
-    heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r < _NONE]
-    heapq.heapify(heap)
-
-    def push(i: int) -> None:
-        j = after[i]
-        if i >= 0 and j < n:
-            r = int(table(np.array([ids[i]], np.int32), np.array([ids[j]], np.int32))[0])
-            if r < _NONE:
-                heapq.heappush(heap, (r, i, ids[i], ids[j]))
-
-    while heap:
-        r, i, a, b = heapq.heappop(heap)
-        j = after[i]
-        if ids[i] != a or j >= n or ids[j] != b:
-            continue
-        ids[i], ids[j] = r, -1
-        after[i] = after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        push(i)
-        if before[i] >= 0:
-            push(before[i])
-    return np.array([x for x in ids if x >= 0], np.int32)
+def _encode_wide(piece: bytes, table: PairTable) -> np.ndarray:
+    """Ids of one long piece: a one-row matrix whose rounds merge every place of the minimum-rank pair."""
+    ids = table.byte_ids[np.frombuffer(piece, np.uint8)]
+    ranks = table(ids[:-1], ids[1:])
+    while len(ranks):
+        best = ranks.min()
+        if best == _NONE:
+            break
+        at = np.flatnonzero(ranks == best)
+        # neighbouring places overlap (a a a): from the left, every other one of a run counts
+        run = np.cumsum(np.diff(at, prepend=-9) > 1)
+        first = np.flatnonzero(np.diff(run, prepend=0))
+        at = at[(np.arange(len(at)) - first[run - 1]) % 2 == 0]
+        ids[at] = best
+        keep = np.ones(len(ids), bool)
+        keep[at + 1] = False
+        ids = ids[keep]
+        place = at - np.arange(len(at))  # where the merged tokens are now
+        ranks = ranks[keep[1:]]
+        for side in (place - 1, place):
+            side = side[(side >= 0) & (side < len(ids) - 1)]
+            ranks[side] = table(ids[side], ids[side + 1])
+    return ids
 
 
 def encode_pieces(pieces: list[bytes], table: PairTable, block: int = 8192) -> list[np.ndarray]:
@@ -173,7 +167,7 @@ def encode_pieces(pieces: list[bytes], table: PairTable, block: int = 8192) -> l
             for i, ids in zip(part, _encode_matrix([pieces[i] for i in part], table)):
                 out[i] = ids
     for i in np.flatnonzero(sizes > WIDEST):
-        out[i] = _encode_long(pieces[i], table)
+        out[i] = _encode_wide(pieces[i], table)
     return out
 
 
@@ -183,7 +177,7 @@ class Encoder:
     def __init__(self, table: PairTable, pattern: str = PATTERN):
         import regex
 
-        self.table, self.split = table, regex.compile(pattern).findall
+        self.table, self.pattern, self.split = table, pattern, regex.compile(pattern).findall
         self.seen: dict[str, int] = {}
         self.start, self.size, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
 
@@ -193,7 +187,7 @@ class Encoder:
         counts = np.fromiter((len(x) for x in parts), np.int64, len(parts))
         codes, names = pd.factorize(np.array(flat, object)) if flat else (np.empty(0, np.int64), [])
         if len(self.seen) > REMEMBERED:
-            self.__init__(self.table)
+            self.__init__(self.table, self.pattern)
         new = [p for p in names if p not in self.seen]
         if new:
             ids = encode_pieces([p.encode("utf-8", "surrogatepass") for p in new], self.table)

@@ -46,3 +46,16 @@ def test_dataframe(spark, known):
     key = lambda r: (r[0] or 0, len(r[1]))
     assert sorted([(r.doc_id, r.ids) for r in got.collect()], key=key) == sorted([(i, enc.encode_ordinary(t) if t else []) for i, t, _ in rows], key=key)
     assert T.encode_corpus(df.limit(0)).count() == 0
+
+
+def test_long_pieces_and_kept_pattern(known, monkeypatch):
+    table, enc = known
+    rnd = random.Random(4)
+    for n in (513, 1001, 3000):
+        for text in ("a" * n, "ab" * n, "".join(rnd.choice("abcdefgh") for _ in range(n)), "é" * n):
+            ids = T._encode_wide(text.encode(), table)
+            assert list(ids) == enc.encode_ordinary(text) == list(T._encode_matrix([text.encode()], table)[0])
+    monkeypatch.setattr(T, "REMEMBERED", 1)
+    e = T.Encoder(table, r"[a-z]+|[^a-z]+")
+    assert [e([t]).to_pylist() for t in ("one two", "three four", "one two")][::2] == [e(["one two"]).to_pylist()] * 2
+    assert e.pattern == r"[a-z]+|[^a-z]+"
