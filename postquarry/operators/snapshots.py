@@ -18,8 +18,10 @@ from ..session import cut
 
 #: Rows of a chunk, on average.
 CHUNK_ROWS = 64
-#: Shards by hash of the key, at least; a shard of a snapshot is sorted in one task.
-SHARDS = 512
+#: Rows of a shard of one snapshot, on average; it is sorted in one task.
+SHARD_ROWS = 100_000
+#: Shards at least, so that small tables are sorted on several cores.
+LEAST_SHARDS = 32
 
 
 def plain_id(c: Column) -> Column:
@@ -65,10 +67,13 @@ def snapshot_changes(
     Within a snapshot the row of a key with the highest ``order`` counts (a null order is lowest; full
     ties are broken by content, so repeated rows are one).  Rows without a key or a snapshot date belong
     to no record and are left out.  The first snapshot has no changes.  An empty table, or one snapshot,
-    gives no rows.  Extra columns are compared too, whatever their names.
+    gives no rows.  Extra columns are compared too, whatever their names.  There are as many ``shards`` as keep one at
+    ``SHARD_ROWS`` rows if all rows were one snapshot's; all snapshots share the number, a power of two.
     """
-    # more shards where the session is set up for more data; all snapshots of a run share the number
-    shards = shards or max(SHARDS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if not shards:  # counted from the files' footers
+        shards, n = LEAST_SHARDS, df.count()
+        while shards * SHARD_ROWS < n:
+            shards *= 2
     skip = {when, key, order, *ignore}
     rows = df.select(
         df[when].cast("date").alias("__at"), plain_id(df[key].cast("string")).alias("__key"), df[order].alias("__order"),

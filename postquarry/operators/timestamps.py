@@ -4,8 +4,8 @@ An ordered cascade of anchored patterns is tried on the trimmed text; the first
 matches names the calendar fields and the zone token.  Fields are then parsed strictly (an
 impossible date is invalid, it never rolls over).  The zone is, in this order: the offset in the
 text, a zone abbreviation (its fixed offset, whatever the season), a region name, else the home
-zone of the row's source.  Local times that occur twice mean the first of the two, local times
-that are skipped move ahead by the length of the gap.  Everything is built from column
+zone of the row's source.  What a local time that occurs twice means, and one that is skipped, is a policy of the caller
+(``AMBIGUOUS``, ``NONEXISTENT``): by default the first of the two, and ahead by the length of the gap.  Everything is built from column
 expressions, so there is no Python worker and no shuffle: only the small lookup of home zones is
 joined.
 """
@@ -19,6 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INVALID = "invalid"
+#: Policies for a local time that occurs twice and for one that is skipped; the first is the default.
+AMBIGUOUS = ("first", "second", "invalid")
+NONEXISTENT = ("forward", "backward", "invalid")
 CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
 BLANK = r"^[\s\p{Z}]*$"
 
@@ -108,7 +111,27 @@ def _known_zones(df: DataFrame) -> list[str]:
         return sorted(available_timezones())
 
 
-def normalise_timestamps(df: DataFrame, text: str, sources: DataFrame, source: str = "source") -> DataFrame:
+def local_to_utc(local: Column, zone: Column, ambiguous: str = AMBIGUOUS[0], nonexistent: str = NONEXISTENT[0]) -> Column:
+    """The moment (without zone, in UTC) of a local time in a region, by an explicit policy; null where the policy says invalid.
+
+    ``first``/``second`` of two moments with the same local time; a skipped local time goes ``forward`` by the length of the gap (read
+    with the offset before it) or ``backward`` (with the offset after it).
+    """
+    if ambiguous not in AMBIGUOUS or nonexistent not in NONEXISTENT:
+        raise ValueError(f"ambiguous is one of {AMBIGUOUS}, nonexistent one of {NONEXISTENT}")
+    utc = F.lit("UTC")
+    offset = lambda at: F.timestamp_diff("SECOND", at, F.convert_timezone(utc, zone, at))
+    # the offsets half a day before and after hold on the two sides of any change nearby
+    half = F.make_dt_interval(F.lit(0), F.lit(12))
+    sides = [offset(F.convert_timezone(zone, utc, local) + sign * half) for sign in (F.lit(-1), F.lit(1))]
+    before, after = (local - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), s) for s in sides)
+    fits = lambda at: F.convert_timezone(utc, zone, at) == local
+    twice = {"first": F.least(before, after), "second": F.greatest(before, after), "invalid": F.lit(None)}[ambiguous]
+    skipped = {"forward": before, "backward": after, "invalid": F.lit(None)}[nonexistent]
+    return F.when(before == after, before).when(fits(before) & fits(after), twice).when(fits(before), before).when(fits(after), after).otherwise(skipped)
+
+
+def normalise_timestamps(df: DataFrame, text: str, sources: DataFrame, source: str = "source", ambiguous: str = AMBIGUOUS[0], nonexistent: str = NONEXISTENT[0]) -> DataFrame:
     """``df`` with ``posted_utc`` (``YYYY-MM-DDTHH:MM:SSZ``, ``invalid``, or null for a blank text) and ``pattern``.
 
     ``sources`` has one row per source: ``source, home_zone, numeric_order``; a source that is not
@@ -164,7 +187,7 @@ def normalise_timestamps(df: DataFrame, text: str, sources: DataFrame, source: s
     out = out.withColumn("__local", local).withColumn("__offset", offset).withColumn("__region", region)
     moment = F.coalesce(
         F.expr("__local - make_dt_interval(0, 0, __offset, 0)"),
-        F.when(F.col("__region") == "UTC", F.col("__local")).otherwise(F.convert_timezone(F.col("__region"), F.lit("UTC"), F.col("__local"))),
+        F.when(F.col("__region") == "UTC", F.col("__local")).otherwise(local_to_utc(F.col("__local"), F.col("__region"), ambiguous, nonexistent)),
         F.when(t.rlike(r"^\d{10}$"), F.expr("timestamp_ntz'1970-01-01' + make_dt_interval(0, 0, 0, try_cast(__text as decimal(18,6)))")),
         F.when(t.rlike(r"^\d{13}$"), F.expr("timestamp_ntz'1970-01-01' + make_dt_interval(0, 0, 0, cast(substring(__text, 1, 10) as decimal(18,6)))")),
     )

@@ -2,7 +2,9 @@ from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
 import pytest
+from pyspark.sql import functions as F
 
+from postquarry.operators import timestamps as T
 from postquarry.operators.timestamps import normalise_timestamps, odd_timestamps
 
 SOURCES = [("ny", "America/New_York", "MDY"), ("lux", "Europe/Luxembourg", "DMY"), ("none", None, None)]
@@ -57,3 +59,18 @@ def test_blanks_canonical_nulls_and_clashing_names(spark, sources):
     assert {r.row_id: r.posted_utc for r in full.collect()} == {1: None, 2: None, 3: "2024-01-01T00:00:00Z", 4: "2024-01-01T00:00:00Z", 5: "invalid"}
     assert odd_timestamps(df.limit(0), sources).count() == 0
     assert odd_timestamps(df, sources.limit(0)).count() == 3
+
+
+def test_policies(spark):
+    rows = [("2024-10-27 02:30:00", "Europe/Berlin"), ("2024-03-31 02:30:00", "Europe/Berlin"), ("2024-06-01 12:00:00", "Europe/Berlin"), ("2024-11-03 01:30:00", "America/New_York"), ("2024-04-07 01:45:00", "Australia/Lord_Howe"), ("2024-10-27 01:59:59", "Europe/Berlin")]
+    df = spark.createDataFrame(rows, "t string, z string").withColumn("l", F.expr("cast(t as timestamp_ntz)"))
+    at = lambda **k: [r[0] for r in df.select(T.local_to_utc(F.col("l"), F.col("z"), **k).cast("string")).collect()]
+    usual = ["2024-10-27 00:30:00", "2024-03-31 01:30:00", "2024-06-01 10:00:00", "2024-11-03 05:30:00", "2024-04-06 14:45:00", "2024-10-26 23:59:59"]
+    assert at() == usual
+    assert at(ambiguous="second") == ["2024-10-27 01:30:00", usual[1], usual[2], "2024-11-03 06:30:00", "2024-04-06 15:15:00", usual[5]]
+    assert at(nonexistent="backward")[1] == "2024-03-31 00:30:00" and at(nonexistent="invalid")[1] is None and at(ambiguous="invalid")[0] is None
+    try:
+        at(ambiguous="any")
+        raise AssertionError
+    except ValueError:
+        pass
