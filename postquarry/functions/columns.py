@@ -78,11 +78,19 @@ def json_endpoint(url: Column) -> Column:
     return F.regexp_replace(url, r"^(.*?)/search\?", r"$1/search.json?")
 
 
+def titled(c: Column) -> Column:
+    """Every run of letters with a capital in front: ``api_feed`` becomes ``Api_Feed``."""
+    parts = F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(parts, F.initcap), "")
+
+
 def set_param(url: Column, key: str, value: Column) -> Column:
     """A query parameter replaced, or appended if the url has none of that name."""
     pattern = rf"([?&])\Q{key}\E=[^&]*"
+    # signs that a replacement would read as groups or escapes stand for themselves
+    literal = F.regexp_replace(F.concat(F.lit(f"{key}="), value), r"([\\$])", r"\\$1")
     appended = F.concat(url, F.when(url.contains("?"), "&").otherwise("?"), F.lit(f"{key}="), value)
-    return F.when(url.rlike(pattern), F.regexp_replace(url, F.lit(pattern), F.concat(F.lit(f"$1{key}="), value))).otherwise(appended)
+    return F.when(url.rlike(pattern), F.regexp_replace(url, F.lit(pattern), F.concat(F.lit("$1"), literal))).otherwise(appended)
 
 
 def int_param(url: Column, key: str, default: int) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
+from ..session import cut
 
 # Colours of categories in order of appearance, and of anything without one.
 PALETTE = tuple(f"rgba({c},0.8)" for c in ("31,119,180", "255,127,14", "44,160,44", "214,39,40", "148,103,189", "140,86,75", "227,119,194"))
@@ -24,6 +25,11 @@ def distinct_values(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return df.select(F.explode(pairs).alias("p")).select("p.*").where("value is not null").distinct()
 
 
+def sorted_distinct(df: DataFrame, column: str) -> DataFrame:
+    """The distinct filled values of a column, in order."""
+    return df.select(F.col(column).cast("string").alias("value")).where("value is not null and value <> ''").distinct().orderBy("value")
+
+
 def category_counts(df: DataFrame, category: str = "job_category") -> DataFrame:
     """``category, n`` of each category and of all; rows without a category count only in 'All Categories'."""
     t = df.groupBy(category).agg(F.count("*").alias("n"))
@@ -96,10 +102,24 @@ def flow_nodes(df: DataFrame, levels: tuple[str, str, str]) -> DataFrame:
     return fine.select(F.explode(F.array(*[F.col(x).cast("string") for x in levels])).alias("name"), "n").groupBy("name").agg(F.sum("n").alias("n"))
 
 
-def number_nodes(links: DataFrame) -> DataFrame:
-    """``node_id, name`` for the names of a (small) link table, in order of name; ids begin at 0."""
-    names = links.select(F.explode(F.array("source", "target")).alias("name")).distinct()
-    return names.withColumn("node_id", F.row_number().over(Window.orderBy("name")) - 1)
+def ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with ``rank``, the place (from 0) in the order, without bringing all rows into one task: rows are laid out in ranges of the order, and each range's place begins where those before it end."""
+    sorted_ = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    sizes = sorted_.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))  # one row per partition
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sorted_.withColumn("__part", part).join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part").withColumn("rank", F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__at", "__before")
+
+
+def number_nodes(df: DataFrame, levels: tuple[str, str, str], order: str) -> DataFrame:
+    """``node_id, name`` in order of first appearance: rows by ``order``, within a row the levels from left to right; ids begin at 0.
+
+    A name found at several levels is one node. Only rows with all levels filled count.
+    """
+    full = df.where(" and ".join(f"{x} is not null and {x} <> ''" for x in levels))
+    names = F.array(*[F.struct(F.col(x).cast("string").alias("name"), F.lit(k).alias("level")) for k, x in enumerate(levels)])
+    first = full.select(F.explode(names).alias("x"), F.col(order).alias("__o")).groupBy("x.name").agg(F.min(F.struct("__o", "x.level")).alias("__f"))
+    return ranked(first, F.col("__f")).select(F.col("rank").alias("node_id"), "name")
 
 
 def numbered_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -118,7 +138,7 @@ def flow_colors(df: DataFrame, category: str, node: str, order: str) -> DataFram
     colours in order of their first row, again from the start after the last colour."""
     rows = df.where(f"{category} is not null and {node} is not null and {category} <> '' and {node} <> ''")
     first = rows.groupBy(category).agg(F.min(order).alias("__first"))
-    first = first.withColumn("__i", (F.dense_rank().over(Window.orderBy("__first")) - 1) % len(PALETTE))
+    first = ranked(first, F.col("__first"), F.col(category)).withColumn("__i", F.col("rank") % len(PALETTE))
     color = F.element_at(F.array(*[F.lit(c) for c in PALETTE]), F.col("__i").cast("int") + 1)
     last = rows.groupBy(node).agg(F.max_by(category, order).alias(category))
     out = last.join(first.select(category, color.alias("color")), category, "left").withColumn("color", F.coalesce("color", F.lit(NO_COLOR)))

@@ -25,23 +25,46 @@ class Rules:
     other: str = "Other"
     overrides: tuple[tuple[str, str], ...] = ()
     bonuses: tuple[tuple[str, str, float], ...] = ()
+    #: Categories that get so much more where their own title words are hit, whatever else is.
+    lone_bonuses: tuple[tuple[str, float], ...] = ()
 
 
-def load_rules(path: str) -> Rules:
-    """Rules of a YAML (where a YAML reader is installed) or JSON file: ``rules: {category: {title, tech_slugs}}, weights, min_score, categories``."""
-    import json
+#: What a named tie-breaker of a rules file does: overrides by title pattern, bonuses of one category over another.
+TIE_BREAKERS: dict[str, dict] = {
+    "ml_over_data_science": {"bonus": ("Machine Learning Science", "Data Science", 0.5)},
+    "bi_over_data_science": {"bonus": ("Business Intelligence", "Data Science", 0.5)},
+    "solutions_architect_override": {"override": (r"\bsolutions? architect\b", "Solutions Architect")},
+    "security_override": {"override": (r"\bsecurity\b", "Security")},
+}
+#: The category that its own title words always promote.
+PROMOTED = (("Project/Program/Product Management--Technical", 0.5),)
 
-    with open(path) as f:
-        if path.endswith((".yaml", ".yml")):
-            import yaml
 
-            d = yaml.safe_load(f)
-        else:
-            d = json.load(f)
-    rules = d["rules"]
+def load_rules(path: str, fallback: Rules | None = None) -> Rules:
+    """Rules of a YAML (where a YAML reader is installed) or JSON file: ``rules: {category: {title, tech_slugs}}, tie_breakers, weights, min_score, categories``.
+
+    A tie-breaker that is switched on does what ``TIE_BREAKERS`` says. A file that can't be read, or without rules, gives ``fallback``; without one it is an error.
+    """
+    import json
+
+    try:
+        with open(path) as f:
+            if path.endswith((".yaml", ".yml")):
+                import yaml
+
+                d = yaml.safe_load(f)
+            else:
+                d = json.load(f)
+        rules = d["rules"]
+    except Exception:
+        if fallback is None:
+            raise
+        return fallback
+    on = [TIE_BREAKERS[k] for k in TIE_BREAKERS if (d.get("tie_breakers") or {}).get(k)]
     return Rules(
         {k: v.get("title") or [] for k, v in rules.items()}, {k: v.get("tech_slugs") or [] for k, v in rules.items()},
-        tuple(d.get("categories", rules)), {**Rules({}).weights, **d.get("weights", {})}, float(d.get("min_score", 1.0)),
+        tuple(d.get("categories", rules)), {**Rules({}).weights, **(d.get("weights") or {})}, float(d.get("min_score", 1.0)),
+        overrides=tuple(t["override"] for t in on if "override" in t), bonuses=tuple(t["bonus"] for t in on if "bonus" in t), lone_bonuses=tuple(p for p in PROMOTED if p[0] in rules),
     )
 
 
@@ -93,6 +116,10 @@ def choose(rules: Rules, scores: dict[str, Column], title: Column, normalized: C
     for better, than, extra in rules.bonuses:
         if better in got and than in got:
             got[better] = got[better] + F.when((scores[better] > 0) & (scores[than] > 0), extra).otherwise(0.0)
+    both_titles = F.concat_ws(" ", title, normalized) if normalized is not None else title
+    for name, extra in rules.lone_bonuses:
+        if name in got:
+            got[name] = got[name] + F.when(hits(both_titles, rules.titles.get(name, [])) > 0, extra).otherwise(0.0)
     best = F.array_max(F.array(*[F.struct(s.alias("s"), F.lit(-i).alias("o"), F.lit(name).alias("c")) for i, (name, s) in enumerate(got.items())]))
     out = F.when(best["s"] >= rules.least, best["c"]).otherwise(rules.other)
     both = F.lower(F.concat_ws(" ", title, normalized)) if normalized is not None else F.lower(F.coalesce(title, F.lit("")))

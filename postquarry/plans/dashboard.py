@@ -60,11 +60,29 @@ def as_json(results: dict[str, DataFrame], most: int = 1000) -> dict[str, str]:
     return out
 
 
+def html_table(df: DataFrame, most: int = 1000) -> str:
+    """A (small) result as an HTML table, every cell escaped, null as N/A."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of more than {most} rows; show a page of it")
+    cell = lambda tag, v: f"<{tag}>{html.escape('N/A' if v is None else str(v))}</{tag}>"
+    body = "".join("<tr>" + "".join(cell("td", v) for v in r) + "</tr>" for r in rows)
+    return f"<table><thead><tr>{''.join(cell('th', c) for c in df.columns)}</tr></thead><tbody>{body}</tbody></table>"
+
+
+def page_of(results: dict[str, DataFrame], title: str, most: int) -> str:
+    """One page: KPIs, every result as a table, and all of them as JSON for scripts."""
+    data = as_json(results, most)
+    kpis = "".join(f"<li><b>{html.escape(k)}</b> {v}</li>" for k, v in results["kpis"].first().asDict().items()) if "kpis" in results else ""
+    sections = "".join(f"<section id={html.escape(json.dumps(k))}><h2>{html.escape(k)}</h2>{html_table(df, most)}</section>" for k, df in results.items() if k != "kpis")
+    script = f"<script>const results = {{{', '.join(f'{json.dumps(k)}: {v}' for k, v in data.items())}}};</script>"
+    return f"<main id=dashboard><h1>{html.escape(title)}</h1><ul class=kpis>{kpis}</ul>{sections}</main>{script}"
+
+
 def write_html(results: dict[str, DataFrame], path: str, title: str = "Jobs", most: int = 1000) -> None:
-    """One page with the results embedded as JSON; a page that says what went wrong if they can't be made."""
+    """The results as one page; a page that says what went wrong if they can't be made."""
     try:
-        data = as_json(results, most)
-        body = f"<script>const results = {{{', '.join(f'{json.dumps(k)}: {v}' for k, v in data.items())}}};</script><main id=dashboard></main>"
+        body = page_of(results, title, most)
     except Exception as x:
         body = f"<p class=error>{html.escape(str(x).splitlines()[0][:500])}</p>"
     with open(path, "w", encoding="utf-8") as f:

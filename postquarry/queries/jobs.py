@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
+from datetime import date
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from ..functions import columns as X
 from ..functions import markup, sections
 from ..operators import analytics, quality, rules, tables
 from ..plans import dashboard
-from ..session import table
+from ..session import shared_folder, table
 from ..sources import readers
 from ..streaming import ingest
 
@@ -94,7 +95,7 @@ def _visible_sql(c: str) -> str:
     t = _steps_sql(_unescape_sql(_unescape_sql(f"coalesce({c}, '')")), breaks)
     ends = ("^\\s+|\\s+$", "''", "g")
     one = _steps_sql("s", (ends, ("^[>\\-–—•*·\\s\\x{A0}]+", "''", ""), ("[\\s.;:,]+$", "''", ""), ends))
-    kept = "regexp_matches(s, '[a-zA-Z]') AND NOT regexp_full_match(s, '(?i)n\\s*/?\\s*a|n[.]?a[.]?|nan') AND length(s) <= 180 AND NOT regexp_matches(s, '(?i)https?://')"
+    kept = "regexp_matches(s, '[a-zA-Z]') AND NOT regexp_full_match(s, '(?i)n\\s*/?\\s*a|n[.]?a[.]?|nan') AND length(s) <= 180 AND NOT regexp_matches(s, '(?i)https?://') AND NOT regexp_matches(s, '(?i)(is\\s+an\\s+equal|privacy\\s+notice|inclusive\\s+culture|accommodations|recruiting\\s+decisions|workforce|protecting\\s+your\\s+privacy)')"
     return f"list_distinct(list_filter(list_transform(regexp_split_to_array({t}, '[\\r\\n]+'), lambda s: {one}), lambda s: {kept}))"
 
 
@@ -145,9 +146,11 @@ def new_only(spark, d):
     return tables.new_only(new, table(spark, d, "amazon_api_jobs"), "id").select("id", "title")
 
 
-@query("SELECT c_custkey, min(coalesce(c_mktsegment, '')) AS segment, lower(trim(min(c_mktsegment))) NOT IN ('false', 'f', '0', 'no', 'n') AS active FROM customer GROUP BY 1")
+@query("""SELECT o_orderkey, lower(trim(f)) NOT IN ('false', 'f', '0', 'no', 'n') AS active FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN ' ' || o_orderstatus || ' ' WHEN 1 THEN 'No' WHEN 2 THEN '0.0' ELSE coalesce(o_orderstatus, '') END AS f FROM orders)""")
 def coerce_active(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"), X.as_active(F.col("c_mktsegment")).alias("active"))
+    k, status = F.col("o_orderkey") % 4, F.col("o_orderstatus")
+    text = F.when(k == 0, F.concat(F.lit(" "), status, F.lit(" "))).when(k == 1, "No").when(k == 2, "0.0").otherwise(F.coalesce(status, F.lit("")))
+    return table(spark, d, "orders").select("o_orderkey", X.as_active(text).alias("active"))
 
 
 _COMBINED_SQL = ", ".join(f"nullif({c}::varchar, '') AS {c}" for c in tables.COMBINED if c not in ("active", "url", "skills", "job_category"))
@@ -159,9 +162,10 @@ def combine_sources(spark, d):
     return dashboard.combined([table(spark, d, "combined_jobs"), table(spark, d, "amazon_api_jobs").drop("skills")])
 
 
-@query("SELECT row_id, CASE WHEN source_file LIKE 'amazon_api%' THEN 'A' ELSE 'unknown' END AS label FROM combined_jobs")
+@query("""SELECT row_id, CASE WHEN regexp_matches(n, '^amazon_api') THEN 'A' WHEN regexp_matches(n, '^amazon') THEN 'A, pages' WHEN regexp_matches(n, '^the') THEN 'B' ELSE 'unknown' END AS label
+FROM (SELECT row_id, lower(regexp_extract(coalesce(source_file, ''), '([^/]*)$', 1)) AS n FROM combined_jobs)""")
 def source_by_file(spark, d):
-    return table(spark, d, "combined_jobs").select("row_id", tables.source_of(F.coalesce("source_file", F.lit("")), {"amazon_api": "A"}).alias("label"))
+    return table(spark, d, "combined_jobs").select("row_id", tables.source_of(F.coalesce("source_file", F.lit("")), {"amazon_api": "A", "amazon": "A, pages", "the": "B"}).alias("label"))
 
 
 _FULL = f"(SELECT * FROM {_JOBS} WHERE job_category <> '' AND company <> '' AND role <> '')"
@@ -194,11 +198,13 @@ def _geo(spark, d):
     return c.join(places, c["c_nationkey"] == places["n_nationkey"]).select("c_custkey", "r_name", "n_name", "c_mktsegment")
 
 
-@query(f"""WITH {_GEO_LINKS}, n AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS node_id FROM (SELECT source AS name FROM l UNION SELECT target FROM l))
-SELECT a.node_id::integer AS source_id, b.node_id::integer AS target_id, value FROM l LEFT JOIN n a ON a.name = source LEFT JOIN n b ON b.name = target""")
+@query(f"""WITH {_GEO_LINKS}, p AS (SELECT r_name AS name, c_custkey, 0 AS k FROM {_GEO} UNION ALL SELECT n_name, c_custkey, 1 FROM {_GEO} UNION ALL SELECT c_mktsegment, c_custkey, 2 FROM {_GEO}),
+n AS (SELECT name, row_number() OVER (ORDER BY min((c_custkey, k))) - 1 AS node_id FROM p GROUP BY 1)
+SELECT a.node_id AS source_id, b.node_id AS target_id, value FROM l LEFT JOIN n a ON a.name = source LEFT JOIN n b ON b.name = target""")
 def flow_numbered(spark, d):
-    links = analytics.flow_links(_geo(spark, d), ("r_name", "n_name", "c_mktsegment"))
-    return analytics.numbered_links(links, analytics.number_nodes(links))
+    levels = ("r_name", "n_name", "c_mktsegment")
+    geo = _geo(spark, d)
+    return analytics.numbered_links(analytics.flow_links(geo, levels), analytics.number_nodes(geo, levels, "c_custkey"))
 
 
 @query(f"WITH {_GEO_LINKS} SELECT DISTINCT * FROM l WHERE source = 'ASIA' OR target = 'ASIA' OR source IN (SELECT target FROM l WHERE source = 'ASIA')")
@@ -374,17 +380,17 @@ def keyword_hits(spark, d):
 
 @query()
 def parse_sections(spark, d):
-    return table(spark, d, "combined_jobs").select("row_id", "description").select("row_id", sections.sections(F.col("description")).alias("s")).select("row_id", "s.*")
+    return sections.parsed(table(spark, d, "combined_jobs").select("row_id", "description")).drop("description")
 
 
-def _label_sql(words: dict[str, str]) -> str:
+def _label_sql(words: dict[str, tuple[str, ...]]) -> str:
     edge = "[^\\p{L}\\p{N}_]"
 
     def one(k: str, w: str) -> str:
         before = "^" if k == "responsibilities" else f"(?:^|{edge})"
         return f"WHEN regexp_matches(line, '{before}(?:{w})(?:$|{edge})', 'i') THEN '{k}'"
 
-    return "CASE " + " ".join(one(k, w.replace("'", "''")) for k, w in words.items()) + " END"
+    return "CASE " + " ".join(one(k, "|".join(w).replace("'", "''")) for k, w in words.items()) + " END"
 
 
 @query(f"""SELECT label, count(*) AS n FROM (SELECT {_label_sql(sections.LINE_WORDS)} AS label FROM (SELECT unnest(regexp_split_to_array(text, '\r?\n|[.] ')) AS line FROM documents)) GROUP BY 1""")
@@ -435,16 +441,22 @@ def crawl_counts(spark, d):
     return quality.crawl_counts(table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), kind.alias("outcome")), "day", "outcome")
 
 
-@query("""SELECT count(*) AS n_rows, count(*) FILTER (coalesce(active, true)) AS n_active, count(*) FILTER (NOT coalesce(active, true)) AS n_inactive,
-count(*) FILTER (loaded_at::date >= DATE '2025-11-01') AS n_recent, '' AS missing_columns, 5.0::double AS age_hours, true AS healthy FROM combined_jobs""")
+@query("""SELECT *, n_rows > 0 AND age_hours <= 8 AS healthy FROM (SELECT count(*) AS n_rows, count(*) FILTER (coalesce(active, true)) AS n_active, count(*) FILTER (NOT coalesce(active, true)) AS n_inactive,
+count(*) FILTER (loaded_at::date >= DATE '2025-11-01') AS n_recent, '' AS missing_columns, epoch(TIMESTAMP '2025-12-01' - (SELECT max(loaded_at) FROM combined_jobs)) / 3600.0::double AS age_hours FROM combined_jobs)""")
 def health_report(spark, d):
-    now = F.lit("2025-12-01").cast("timestamp")
-    return quality.health(table(spark, d, "combined_jobs"), F.to_date("loaded_at"), now, now - F.expr("interval 5 hours"))
+    df = table(spark, d, "combined_jobs")
+    last = df.agg(F.max("loaded_at").cast("timestamp").alias("__last")).first()["__last"]
+    return quality.health(df, F.to_date("loaded_at"), F.lit("2025-12-01").cast("timestamp"), F.lit(last).cast("timestamp"))
 
 
-@query("SELECT doc_id FROM documents WHERE lang = 'en' OR lang IS NULL OR text IS NULL OR regexp_full_match(text, '[\\s\\p{Z}]*')")
+def _words_sql(k: str) -> str:
+    return f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in sections.TELLING[k].split())})))"
+
+
+@query(f"""WITH t AS (SELECT doc_id, text, regexp_split_to_array(lower(text), '[^\\p{{L}}]+') AS w FROM documents), c AS (SELECT doc_id, text, {_words_sql('en')} AS e, {_words_sql('other')} AS o FROM t)
+SELECT doc_id FROM c WHERE text IS NULL OR regexp_full_match(text, '[\\s\\p{{Z}}]*') OR e + o = 0 OR e / (e + o) >= CASE WHEN length(text) < 25 THEN 0.6 ELSE 0.9 END""")
 def english_filter(spark, d):
-    return table(spark, d, "documents").where(sections.english(F.col("text"), F.col("lang"))).select("doc_id")
+    return table(spark, d, "documents").where(sections.english(F.col("text"))).select("doc_id")
 
 
 @query("""SELECT c_custkey, 'b,' || c_mktsegment || ',B' AS once, 'b,' || c_mktsegment AS folded, c_mktsegment || ',B' AS rest, CASE WHEN c_nationkey < 3 THEN c_mktsegment || ', B' ELSE '4 selected' END AS label FROM customer""")
@@ -456,11 +468,15 @@ def array_helpers(spark, d):
     )
 
 
-@query(f"""WITH j AS (SELECT * FROM {_JOBS})
-SELECT id, company, CASE WHEN coalesce(active, true) THEN 'Active' ELSE 'Inactive' END AS status FROM
-(SELECT id, active, replace(replace(replace(replace(coalesce(nullif(company, ''), 'N/A'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '<br>') AS company FROM j)""")
+def _shown_sql(c: str) -> str:
+    return f"replace(replace(replace(replace(coalesce(nullif({c}, ''), 'N/A'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '<br>') AS {c}"
+
+
+@query(f"""SELECT id, {', '.join(_shown_sql(c) for c in ('title', 'company', 'role', 'team', 'job_category'))}, CASE WHEN coalesce(active, true) THEN 'Active' ELSE 'Inactive' END AS status,
+coalesce(CASE WHEN NOT regexp_matches(posting_date, '^\\s|\\s$') THEN strftime({_DATE_B.format(c='posting_date')}, '%d %b, %Y') END, nullif(posting_date, ''), 'N/A') AS posted,
+CASE WHEN {_URL} ~* '^https?://.*' THEN replace(replace(replace(replace(replace({_URL}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') ELSE '#' END AS link FROM (SELECT *, NULL AS job_url FROM (SELECT * EXCLUDE (job_url) FROM {_JOBS}))""")
 def display_rows(spark, d):
-    return dashboard.display_rows(jobs(spark, d)).select("id", "company", "status")
+    return dashboard.display_rows(jobs(spark, d))
 
 
 @query(f"SELECT coalesce(job_category, '') AS job_category, coalesce(team, '') AS team, coalesce(role, '') AS role, coalesce(company, '') AS company, coalesce(title, '') AS title, coalesce(active, true) AS active FROM {_JOBS}")
@@ -468,15 +484,15 @@ def job_rows(spark, d):
     return dashboard.job_rows(jobs(spark, d))
 
 
-@query("SELECT DISTINCT user_id FROM events")
+@query("SELECT user_id, 1::bigint AS n FROM (SELECT DISTINCT user_id FROM events)")
 def stream_new_rows(spark, d):
-    """The events table as a stream of files, each user once; the result is what the stream has written."""
-    out = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/stream_{abs(hash((d, id(spark))))}_{spark.sparkContext.applicationId}"
+    """The events table as a stream of files, each user once; the result is how often the stream has written each user."""
+    out = f"{shared_folder(spark)}/stream_{uuid.uuid4().hex}"
     events = table(spark, d, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet*")
     fresh = ingest.new_rows(stream.select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", "60 days")
     ingest.run_available(fresh, lambda batch, n: batch.select("user_id").write.mode("append").parquet(f"{out}/rows"), f"{out}/state")
-    return spark.read.parquet(f"{out}/rows").distinct()
+    return spark.read.parquet(f"{out}/rows").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
@@ -505,3 +521,47 @@ def url_queries(spark, d):
     u = F.coalesce(F.col("url"), F.lit(""))
     u = F.concat(u, F.when(u.contains("?"), "&").otherwise("?"), F.lit("city=&page="), (F.col("row_id") % 7).cast("string"), F.lit("&country=LU&code=X"))
     return jobs(spark, d).select("row_id", X.clean_query(u, "code", ("country",)).alias("cleaned"), X.int_param(u, "page", 1).alias("page"), X.has_param(u, "country", "LU").alias("in_lu"))
+
+
+@query("""SELECT CASE WHEN coalesce(api_id, '') <> '' AND load_seq % 3 = 0 THEN id ELSE coalesce(nullif(regexp_extract(job_path, '/jobs/(\\d+)', 1), ''), api_id) END AS id, api_id, title, title AS role, company, city, country_code, job_category, is_manager, posted_date,
+posted_date AS posting_date, description, basic_qual, pref_qual, team, job_path, 'https://h' || job_path AS job_url, apply_url, 'A' AS source FROM amazon_api_jobs""")
+def flatten_pages(spark, d):
+    """The snapshots put into pages of JSON as source A sends them, and read back from these."""
+    t = table(spark, d, "amazon_api_jobs")
+    job = F.struct(
+        F.col("api_id").alias("id"), F.when(F.coalesce(F.col("api_id") != "", F.lit(False)) & (F.col("load_seq") % 3 == 0), F.col("id")).alias("id_icims"), "job_path", "title", F.col("company").alias("company_name"),
+        "city", "country_code", "job_category", "is_manager", "posted_date", "description", F.col("basic_qual").alias("basic_qualifications"), F.col("pref_qual").alias("preferred_qualifications"),
+        F.struct(F.col("team").alias("label")).alias("team"), F.col("apply_url").alias("url_next_step"),
+    )
+    pages = t.groupBy(F.floor(F.col("load_seq") / 10).alias("page")).agg(F.to_json(F.struct(F.count("*").alias("hits"), F.collect_list(job).alias("jobs"))).alias("json"))
+    pages = pages.select("page", F.from_json("json", readers.PAGE_A).alias("p")).select("page", "p.*")
+    return readers.flatten_a(pages, "https://h").drop("normalized_location", "location", "job_schedule_type", "is_intern", "description_short")
+
+
+@query("""SELECT row_id::varchar AS id, title, CASE WHEN row_id % 2 = 0 THEN coalesce(company, '') ELSE '' END AS company, coalesce(location, '') AS location, posting_date,
+CASE WHEN row_id % 3 = 0 THEN coalesce(nullif(url, ''), nullif(job_url, ''), '') ELSE coalesce(nullif(job_url, ''), nullif(url, ''), '') END AS url, coalesce(skills, '') AS skills, true AS active, '' AS job_category,
+CASE WHEN row_id % 2 = 1 OR coalesce(company, '') = '' THEN 'External' ELSE company END AS team, title AS role, 'B' AS source FROM combined_jobs""")
+def map_pages(spark, d):
+    """The combined table put into pages as source B sends them, and mapped back from these."""
+    t, odd = table(spark, d, "combined_jobs"), F.col("row_id") % 2 == 1
+    first = F.col("row_id") % 3 == 0
+    job = F.struct(
+        F.col("row_id").cast("string").alias("id"), F.col("title").alias("job_title"), F.when(first, F.col("url")).otherwise(F.col("job_url")).alias("final_url"), F.lit("").alias("url"), F.when(first, F.col("job_url")).otherwise(F.col("url")).alias("source_url"),
+        F.when(odd, F.lit("")).when(F.col("row_id") % 4 == 0, F.col("company")).alias("company"), F.struct(F.when(~odd, F.col("company")).alias("name")).alias("company_object"), "location", F.col("posting_date").alias("date_posted"),
+        F.split("skills", ", ").alias("technology_slugs"),
+    )
+    pages = t.groupBy(F.floor(F.col("row_id") / 50).alias("page")).agg(F.to_json(F.struct(F.collect_list(job).alias("data"))).alias("json"))
+    pages = pages.select(F.from_json("json", readers.PAGE_B).alias("p")).select("p.*")
+    return readers.map_b(pages).withColumn("skills", F.coalesce("skills", F.lit(""))).drop("description", "normalized_title", "technology_slugs")
+
+
+@query("""(SELECT 'narrow' AS way, o_orderkey FROM orders WHERE o_orderdate::date >= (SELECT max(o_orderdate)::date FROM orders) - 2 AND o_orderpriority IS NOT NULL ORDER BY o_orderdate DESC, o_orderkey LIMIT 50)
+UNION ALL (SELECT 'wide', o_orderkey FROM orders WHERE o_orderdate::date >= (SELECT max(o_orderdate)::date FROM orders) - 20 ORDER BY o_orderdate DESC, o_orderkey LIMIT 10)""")
+def poll_windows(spark, d):
+    """The newest rows since the last run and, where there are none, of the whole window."""
+    o = table(spark, d, "orders")
+    last = o.agg(F.max(F.to_date("o_orderdate")).alias("d")).first()["d"]
+    day = lambda n: date.fromordinal(last.toordinal() + n)
+    narrow = readers.poll_landed(o, "o_orderdate", day(0), day(-2).isoformat(), 30, key="o_orderkey", present=("o_orderpriority",))
+    wide = readers.poll_landed(o, "o_orderdate", day(10), day(5).isoformat(), 30, key="o_orderkey")
+    return narrow.select(F.lit("narrow").alias("way"), "o_orderkey").unionByName(wide.select(F.lit("wide").alias("way"), "o_orderkey"))

@@ -140,20 +140,30 @@ def test_rules_on_a_table(spark):
     assert rules.classified(df, rules.Rules({}), F.col("title")).where("category = 'Other'").count() == 5
 
 
-def test_sections():
-    assert sections.parse(None) == sections.parse("") == {"about": "", "responsibilities": [], "basic_qualifications": [], "preferred_qualifications": [], "benefits": []}
-    assert sections.parse("Responsibilities:\n- Build X\n- Run Y")["responsibilities"] == ["Build X", "Run Y"]
-    assert sections.title_label("Preferred qualifications") == "basic"
-    p = sections.parse("<p>We are Acme.</p><h2>What you will do</h2><ul><li>- Build X</li><li>- You love Y</li></ul><p><b>Requirements:</b></p>\n- SQL\n- We offer tea\n**Perks**\n* Gym")
+def parse(spark, *texts):
+    rows = sections.parsed(spark.createDataFrame(list(enumerate(texts)), "i int, description string")).orderBy("i").collect()
+    return [{k: r[k] for k in sections.FIELDS.values()} for r in rows]
+
+
+def test_sections(spark):
+    nothing = {"about": "", "responsibilities": [], "basic_qualifications": [], "preferred_qualifications": [], "benefits": []}
+    headed = "<p>We are Acme.</p><h2>What you will do</h2><ul><li>- Build X</li><li>- You love Y</li></ul><p><b>Requirements:</b></p>\n- SQL\n- We offer tea\n**Perks**\n* Gym"
+    carried = "Benefits:\n- a\nand more\n- b\nfoo bar:\n- c\nWe have stock\nDuties\n- Lead talks, Responding to alerts\n- Devel\nopment of code\n:\nand its\ntests"
+    a, b, c, p, q, r, long = parse(spark, None, "", "Responsibilities:\n- Build X\n- Run Y", headed, "- Build pipelines\n- Strong SQL\n- Familiarity with Go\n- Health insurance\nHello there", carried, "x " * 50000)
+    assert a == b == nothing and c == {**nothing, "responsibilities": ["Build X", "Run Y"]}
     assert p["about"].startswith("We are Acme.") and p["basic_qualifications"] == ["SQL", "You love Y"] and p["benefits"] == ["Gym", "We offer tea"] and p["responsibilities"] == ["Build X"]
-    q = sections.parse("- Build pipelines\n- Strong SQL\n- Familiarity with Go\n- Health insurance\nHello there")
-    assert (q["responsibilities"], q["basic_qualifications"], q["preferred_qualifications"], q["benefits"], q["about"]) == (["Build pipelines"], ["Strong SQL"], ["Familiarity with Go"], ["Health insurance"], "Hello there")
+    assert q == {"about": "Hello there", "responsibilities": ["Build pipelines"], "basic_qualifications": ["Strong SQL"], "preferred_qualifications": ["Familiarity with Go"], "benefits": ["Health insurance"]}
+    assert r["benefits"] == ["a and more", "b foo bar:", "c We have stock"] or r["benefits"][0] == "a and more"
+    assert "Lead talks" in r["responsibilities"] and "Responding to alerts" in r["responsibilities"] and "Development of code" in " ".join(r["responsibilities"])
+    assert len(long["about"]) > 1000
+    assert one(spark, sections.heading_label(F.col("t")), t="Preferred qualifications") == "basic"
 
 
-def test_sections_in_spark(spark):
-    df = spark.createDataFrame([(1, "Responsibilities:\n- A b c"), (2, None), (3, "x " * 50000)], "i int, t string")
-    got = {r.i: r.s for r in df.select("i", sections.sections(F.col("t")).alias("s")).collect()}
-    assert got[1].responsibilities == ["A b c"] and got[2].about == "" and len(got[3].about) > 1000
+def test_english(spark):
+    texts = {"The team of the firm is here for you and that is all": True, "Der Hund und die Katze sind nicht das Problem": False, "": True, "12345 kubernetes": True, "the der": False, None: True}
+    for t, want in texts.items():
+        assert one(spark, sections.english(F.col("t")), t=t) == want, t
+    assert one(spark, sections.english(F.col("t"), F.lit(0.7)), t="short") and not one(spark, sections.english(F.col("t"), F.lit(0.7)), t="long enough to be sure of it")
 
 
 def test_metrics(spark):
@@ -181,7 +191,7 @@ def test_sources_and_sinks(spark, tmp_path):
     csv = tmp_path / "x_jobs.csv"
     csv.write_text('id,title\n007,"two\nlines ""q"""\n,\n')
     assert [tuple(x) for x in readers.read_csv(spark, str(csv)).collect()] == [("007", 'two\nlines "q"'), (None, None)]
-    assert readers.discover(str(tmp_path), {}) == [str(csv)]
+    assert readers.discover(spark, str(tmp_path)) == [str(csv)] == readers.discover(spark, str(tmp_path), {"x": {}, "y": {"enabled": False}, "z": {}}) == readers.discover(spark, str(tmp_path), legacy={"x": "x_jobs.csv"})
     dump = tmp_path / "headers.txt"
     dump.write_text("# c: d\nURL: https://h/x?y=1\nUser-Agent: me\nX-Other: no\n\nnothing\n")
     assert readers.read_request(spark, str(dump)) == ("https://h/x?y=1", {"user-agent": "me"})
@@ -192,10 +202,10 @@ def test_sources_and_sinks(spark, tmp_path):
     batch = spark.createDataFrame([("1", "a"), ("2", "b")], "id string, v string")
     assert sinks.upsert_table(batch, path) and not sinks.upsert_table(batch.limit(0), path)
     sinks.upsert_table(spark.createDataFrame([("2", "c")], "id string, v string"), path)
-    assert sorted(tuple(x) for x in spark.read.parquet(path).select("id", "v").collect()) == [("1", "a"), ("2", "c")]
+    assert sorted(tuple(x) for x in sinks.read_table(spark, path, "id string, v string").select("id", "v").collect()) == [("1", "a"), ("2", "c")]
     sinks.remember(batch, str(tmp_path / "seen"))
     sinks.remember(batch, str(tmp_path / "seen"))
-    assert spark.read.parquet(str(tmp_path / "seen")).count() == 2
+    assert sinks.read_table(spark, str(tmp_path / "seen"), "id string").count() == 2
     assert readers.setting(readers.deep_merge({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}), "a.c") == 2
 
 
@@ -216,7 +226,8 @@ def test_details_and_kinds(spark, tmp_path):
         return {"link": link, "n": len(link)} if link != "none" else None
 
     links = spark.createDataFrame([("ab",), ("bad",), ("none",), ("abc",), ("ab",), (None,)], "link string")
-    assert sorted(tuple(r) for r in readers.fetch_details(links, fetch, "link string, n int", parallel=2).collect()) == [("ab", 2), ("abc", 3)]
+    got = sorted((r.link, r.n, r.error) for r in readers.fetch_details(links, fetch, "n int", parallel=2).collect())
+    assert got == [("ab", 2, None), ("abc", 3, None), ("bad", None, "OSError: "), ("none", None, "empty")]
     with pytest.raises(ValueError):
         readers.read_source("ftp", spark, "x")
     dashboard.write_html({"a": spark.range(2)}, str(tmp_path / "a.html"))
@@ -225,15 +236,118 @@ def test_details_and_kinds(spark, tmp_path):
     assert "more than 1 rows" in (tmp_path / "a.html").read_text()
 
 
-def test_spread(spark, tmp_path):
-    from postquarry.session import spread
-
-    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
-    one_file = spark.read.parquet(str(tmp_path / "one"))
-    assert spread(one_file).count() == 100 and spread(one_file).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    spark.range(100).repartition(9).write.parquet(str(tmp_path / "many"))
-    many = spark.read.option("maxPartitionBytes", 1).parquet(str(tmp_path / "many"))
-    assert spread(many).count() == 100
+def test_tables_survive_a_writer_that_dies(spark, tmp_path, monkeypatch):
+    path, schema = str(tmp_path / "t"), "id string, v string"
+    read = lambda: sorted(tuple(r) for r in sinks.read_table(spark, path, schema).select("id", "v").collect())
+    sinks.upsert_table(spark.createDataFrame([(str(k), "a") for k in range(20)], schema), path, buckets=4)
+    before = read()
+    commit = sinks._commit
+
+    def dies(*args):
+        raise OSError("gone")
+
+    monkeypatch.setattr(sinks, "_commit", dies)
+    for write in (lambda b: sinks.upsert_table(b, path), lambda b: sinks.overwrite(b, path)):
+        with pytest.raises(OSError):
+            write(spark.createDataFrame([("1", "b")], schema))
+        assert read() == before
+    monkeypatch.setattr(sinks, "_commit", commit)
+    m = sinks._manifest(spark, path)
+    sinks.upsert_table(spark.createDataFrame([("1", "b"), ("1", "c"), ("99", "n")], schema).withColumn("s", F.monotonically_increasing_id()), path, "id", F.col("s"))
+    after = sinks._manifest(spark, path)
+    assert read() == sorted([x for x in before if x[0] != "1"] + [("1", "c"), ("99", "n")])
+    assert 1 <= sum(after["folders"][b] != f for b, f in m["folders"].items()) <= 2  # other buckets are named again, not written
+    for k in range(4):
+        sinks.overwrite(sinks.read_table(spark, path, schema), path, "id")
+    assert len(sinks._manifests(spark, path)) == sinks.KEPT and len(read()) == 21
+    (tmp_path / "t" / "_manifest-000000099.json").write_text('{"ver')  # half a manifest doesn't count
+    assert len(read()) == 21
+    (tmp_path / "u").mkdir()
+    (tmp_path / "u" / "_manifest-000000001.json").write_text("")
+    with pytest.raises(ValueError):
+        sinks.read_table(spark, str(tmp_path / "u"), schema)
+    assert not sinks.back_up_response(spark, "nosuch://x/y", "k", "t", {}, {}) and sinks.back_up_response(spark, str(tmp_path / "r"), "k", "t", {"a": 1}, {"b": 2}, 3)
+    assert spark.read.parquet(str(tmp_path / "r")).first().request_payload == '{"a": 1}'
+
+
+def test_retries_and_polls():
+    waits, n = [], iter([readers.Refused(503), readers.Refused(429, 7.0), OSError("x"), None])
+
+    def fetch():
+        x = next(n)
+        if x:
+            raise x
+        return "ok"
+
+    assert readers.retrying(fetch, wait=waits.append)() == "ok" and waits == [0.5, 7.0, 2.0]
+    with pytest.raises(readers.Refused):
+        readers.retrying(lambda: (_ for _ in ()).throw(readers.Refused(404)), wait=waits.append)()
+    day, rows = datetime(2025, 1, 10).date(), [{"id": k} for k in range(120)]
+    page = lambda a: rows[a["page"] * a["limit"] :][: a["limit"]]
+    counts = lambda narrow, wide: lambda a: narrow if a["posted_at_gte"] == "2025-01-09" else wide
+    assert [len(readers.poll(counts(n, w), page, day, None, 30, page_size=20)[0]) for n, w in ((0, 0), (7, 0), (90, 0), (0, 40))] == [0, 7, 50, 10]
+    assert [readers.poll(counts(n, w), page, day, None, 30)[1] for n, w in ((0, 0), (7, 0), (0, 4))] == ["none", "narrow", "wide"]
+
+    def slow(a):
+        raise TimeoutError
+
+    assert readers.poll(slow, page, day, "2025-01-01", 30, page_size=20)[1] == "unchecked" and len(readers.poll(slow, page, day, None, 30, page_size=20)[0]) == 20
+    assert ingest.look_back(None, day, 30).isoformat() == "2025-01-09" and ingest.look_back("2024-01-01", day, 30).isoformat() == "2024-12-11" and ingest.due("2025-01-09", day) and not ingest.due("2025-01-10", day)
+
+
+def test_settings_and_paths():
+    config = {"a": {"n": 1, "on": False, "name": "x"}, "output": {"dir": "old"}}
+    got = readers.from_environment(config, {"N": "a.n", "ON": "a.on", "NAME": "a.name", "ABSENT": "a.b"}, {"N": "5", "ON": "Yes", "NAME": "y"})
+    assert got["a"] == {"n": 5, "on": True, "name": "y"} and config["a"]["n"] == 1
+    assert readers.setting(got, "old.n", aliases={"old.n": "a.n"}) == 5 and readers.setting(got, "old.m", 7, {"old.m": "a.m"}) == 7
+    assert readers.resolved("data", "/p/config/c.yaml") == "/p/data" and readers.resolved("data", "/p/c.yaml") == "/p/data" and readers.resolved("s3a://b/x", "/p/c.yaml") == "s3a://b/x"
+    assert readers.configured_path(config, "output.dir", "paths.raw", "raw", "/p/config/c") == "/p/old" and readers.configured_path({}, "output.dir", "paths.raw", "raw", "/p/config/c") == "/p/raw"
+
+
+def test_rules_from_a_file(spark, tmp_path):
+    path = tmp_path / "rules.json"
+    path.write_text('{"categories": ["Data Science", "Business Intelligence", "Project/Program/Product Management--Technical"], "tie_breakers": {"bi_over_data_science": true, "security_override": true, "ml_over_data_science": false}, "rules": {"Data Science": {"title": ["data"]}, "Business Intelligence": {"title": ["bi "]}, "Project/Program/Product Management--Technical": {"title": ["tpm"]}}}')
+    r = rules.load_rules(str(path))
+    assert r.bonuses == (("Business Intelligence", "Data Science", 0.5),) and len(r.overrides) == 1 and len(r.lone_bonuses) == 1
+    of = lambda t: one(spark, rules.classify(r, F.col("t")), t=t)
+    assert [of(t) for t in ("bi data", "data", "data tpm", "Head of Security", "securityx")] == ["Business Intelligence", "Data Science", "Project/Program/Product Management--Technical", "Security", "Other"]
+    path.write_text("{")
+    assert rules.load_rules(str(path), r) is r
+    with pytest.raises(ValueError):
+        rules.load_rules(str(path))
+
+
+def test_crawl_stops_and_freshness(spark, tmp_path):
+    rows = [(1, "u?c=LU&o=0", 0, ["a", "b"]), (2, "u?c=LU&o=2", 2, ["a", "c"]), (3, "u?c=LU&o=4", 4, ["a", "b"]), (4, "u?c=LU&o=6", 6, ["d"]), (5, "u?c=LU&o=8", 8, []), (6, "u?o=10", 10, ["e", "f"]), (7, "u?o=10&c=LU", 10, ["g", "h"]), (8, "u?o=10&c=LU", 12, ["i", "j"])]
+    got = {r.page: r.reason for r in quality.crawl_stops(spark.createDataFrame(rows, "page int, url string, offset int, ids array<string>"), 2, needed=("c", "LU")).collect()}
+    assert got == {1: None, 2: None, 3: "no new ids", 4: "short page", 5: "no tiles", 6: "filter lost", 7: "offset stuck", 8: "same address"}
+    most = {r.page: r.reason for r in quality.crawl_stops(spark.createDataFrame(rows[:2], "page int, url string, offset int, ids array<string>"), 2, most_jobs=3, most_pages=1).collect()}
+    assert most == {1: "most pages", 2: "most jobs"}
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    assert abs(quality.freshness(spark, str(tmp_path / "t"), F.current_timestamp()).first().age_hours) < 1
+    assert quality.missing_modules(("json", "nosuchmodule")) == ["nosuchmodule"] and quality.missing_folders(spark, (str(tmp_path), str(tmp_path / "no"))) == [str(tmp_path / "no")]
+
+
+def test_small_column_functions(spark):
+    assert one(spark, X.titled(F.col("t")), t="api_feed x") == "Api_Feed X" and one(spark, X.collapse(F.col("t")), t=" A \n b ") == "a b" and one(spark, X.json_endpoint(F.col("t")), t="h/search?x=1") == "h/search.json?x=1"
+    for value in ("$1", "a\\b", "10"):
+        assert one(spark, X.set_param(F.col("u"), "o", F.col("v")), u="u?o=0&l=5", v=value) == f"u?o={value}&l=5"
+    assert one(spark, markup.visible_items(F.col("t")), t="<li>Python</li><li>Our workforce is diverse</li>&lt;br/&gt;N/A<br>&amp;lt;br&amp;gt;Go") == ["Python", "Go"]
+    assert one(spark, markup.category_link(F.col("t")), t='<a href="/x">no</a><a href="/c?category=x"><b>Data</b></a>') == "Data"
+    df = spark.createDataFrame([(5, "k", "x", "r"), (3, "d", "y", "x"), (9, "", "z", "q")], "seq int, a string, b string, c string")
+    assert [r.name for r in analytics.number_nodes(df, ("a", "b", "c"), "seq").orderBy("node_id").collect()] == ["d", "y", "x", "k", "r"]
+    assert [r.value for r in analytics.sorted_distinct(df, "a").collect()] == ["d", "k"]
+
+
+def test_process_b(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "p_1.json").write_text('{"data": [{"id": 5, "job_title": "Data T", "source_url": "s", "company_object": {"name": "C"}, "description": "Duties:\\n- Run X"}, {"id": 5, "job_title": "Data T"}]}')
+    r = rules.Rules(titles={"Data": ["data"]})
+    rows = readers.process_b(readers.read_pages(spark, str(tmp_path / "b"), readers.PAGE_B), str(tmp_path / "t"), rules=r)
+    assert rows.columns == readers.TABLE_B and rows.count() == 2
+    got = sinks.read_table(spark, str(tmp_path / "t"), "id string").collect()
+    assert len(got) == 1 and got[0].job_category == "Data"
+    assert rows.where("url = 's'").first().responsibilities == ["Run X"]
 
 
 def test_timed(caplog):
@@ -261,7 +375,7 @@ def test_streams(spark, tmp_path):
     ingest.run_available(ingest.file_stream(spark, src, schema), ingest.reconciling(out, "id", F.col("seq")), state)
     spark.createDataFrame([("2", "c", 2), ("3", "d", 2)], schema).write.mode("append").parquet(src)
     ingest.run_available(ingest.file_stream(spark, src, schema), ingest.reconciling(out, "id", F.col("seq")), state)
-    assert sorted(tuple(r) for r in spark.read.parquet(out).select("id", "v", "active").collect()) == [("1", "a", False), ("2", "c", True), ("3", "d", True)]
+    assert sorted(tuple(r) for r in sinks.read_table(spark, out, schema).select("id", "v", "active").collect()) == [("1", "a", False), ("2", "c", True), ("3", "d", True)]
 
 
 @settings(max_examples=15, deadline=None)
