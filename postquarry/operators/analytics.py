@@ -111,6 +111,17 @@ def ranked(df: DataFrame, *order: Column) -> DataFrame:
     return sorted_.withColumn("__part", part).join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part").withColumn("rank", F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__at", "__before")
 
 
+def running(df: DataFrame, order: str, values: dict[str, str]) -> DataFrame:
+    """``df`` with running totals (new column -> column summed) in the order of ``order`` (each value once), again in ranges of the order, with what the ranges before add up to."""
+    laid = cut(df.repartitionByRange(order).withColumn("__part", F.spark_partition_id()))
+    sums = laid.groupBy("__part").agg(*[F.sum(c).alias(f"__s_{new}") for new, c in values.items()])  # one row per partition
+    w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("__part", *[F.coalesce(F.sum(f"__s_{new}").over(w), F.lit(0)).alias(f"__s_{new}") for new in values])
+    here = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = laid.withColumns({new: F.sum(c).over(here) for new, c in values.items()}).join(F.broadcast(sums), "__part")
+    return out.withColumns({new: F.col(new) + F.col(f"__s_{new}") for new in values}).drop("__part", *[f"__s_{new}" for new in values])
+
+
 def number_nodes(df: DataFrame, levels: tuple[str, str, str], order: str) -> DataFrame:
     """``node_id, name`` in order of first appearance: rows by ``order``, within a row the levels from left to right; ids begin at 0.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
+from .analytics import running
 
 #: Columns that a healthy table has.
 REQUIRED = ("id", "title", "active")
@@ -89,12 +90,11 @@ def page_repeats(df: DataFrame, page: str, key: str) -> DataFrame:
     """``page, n, n_repeated, n_new_total``: ids of a page that an earlier page had, and ids so far."""
     first = df.groupBy(key).agg(F.min(page).alias("__first"))
     per = df.select(page, key).distinct().join(first, key).groupBy(page).agg(F.count("*").alias("n"), F.count_if(F.col("__first") < F.col(page)).alias("n_repeated"))
-    w = Window.orderBy(page).rowsBetween(Window.unboundedPreceding, 0)  # over pages, not rows
-    return per.withColumn("n_new_total", F.sum(F.col("n") - F.col("n_repeated")).over(w))
+    return running(per.withColumn("__new", F.col("n") - F.col("n_repeated")), page, {"n_new_total": "__new"}).drop("__new")
 
 
 def crawl_counts(df: DataFrame, page: str, outcome: str) -> DataFrame:
     """``page, new, refresh, skip, error`` and the running totals of all outcomes."""
     kinds = ("new", "refresh", "skip", "error")
     per = df.groupBy(page).agg(*[F.count_if(F.col(outcome) == k).alias(k) for k in kinds], F.count("*").alias("__n"))
-    return per.withColumn("seen_total", F.sum("__n").over(Window.orderBy(page).rowsBetween(Window.unboundedPreceding, 0))).drop("__n")
+    return running(per, page, {"seen_total": "__n"}).drop("__n")
