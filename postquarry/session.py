@@ -8,13 +8,13 @@ import tempfile
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a table, as Catalyst estimates or its rows are counted, up to which it may be broadcast.
 BROADCAST_BYTES = 32 << 20
-#: Parts that a hot key of a join is split into.
-SALTS = 16
+#: A key of a join with more rows than this is hot; parts that it is split into; hot keys at most.
+HOT_ROWS, SALTS, MOST_HOT = 1_000_000, 16, 100_000
 
 
 def build_session(app: str = "postquarry", master: str | None = None, **conf: str) -> SparkSession:
@@ -70,17 +70,25 @@ def is_small(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
     return (df.agg(F.sum(width.cast("bigint")).alias("n")).first()["n"] or 0) <= most
 
 
-def look_up(rows: DataFrame, entries: DataFrame, keys: list[str], how: str = "inner", salt: Column | None = None) -> DataFrame:
-    """``rows`` joined with ``entries`` (each key once) where one key may hold a third of all rows.
+def look_up(rows: DataFrame, entries: DataFrame, keys: list[str], how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows`` joined with ``entries`` where one key may hold a third of all rows; ``how`` is inner or left. ``entries`` should be cut.
 
-    Entries that are proven small are broadcast; otherwise every key is split into ``SALTS`` parts by ``salt`` (any
-    column that differs between the rows of a key) and the entries are repeated once a part. ``entries`` should be cut.
+    Entries that are proven small are broadcast. Otherwise the keys of more than ``hot_rows`` rows are found by counting; there are few of them by
+    construction (``MOST_HOT`` at most, the bound is raised with the number of rows). Their rows are split into ``SALTS`` parts, for which only their entries
+    are repeated; all other rows are joined by key.
     """
     if is_small(entries):
         return rows.join(F.broadcast(entries), keys, how)
-    part = F.pmod(F.xxhash64(salt if salt is not None else F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
-    repeated = entries.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("__part", part).join(repeated, [*keys, "__part"], how).drop("__part")
+    rows = cut(rows)
+    hot_rows = max(hot_rows, rows.count() // MOST_HOT)
+    hot = cut(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > hot_rows).select(*keys, F.lit(True).alias("__hot")))
+    if hot.isEmpty():
+        return rows.join(entries, keys, how)
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(SALTS)).cast("int")
+    repeated = entries.join(F.broadcast(hot.drop("__hot")), keys, "left_semi").withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    split = marked.where("__hot").drop("__hot").withColumn("__part", part).join(repeated, [*keys, "__part"], how).drop("__part")
+    return split.unionByName(marked.where("__hot is null").drop("__hot").join(entries, keys, how))
 
 
 def timed(f: Callable) -> Callable:
