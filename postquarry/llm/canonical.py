@@ -252,7 +252,7 @@ def canonical_matches(jobs: DataFrame, reference: DataFrame, fields: tuple[str,
     rows = entered_values(jobs, fields).join(F.broadcast(labels) if is_small(labels) else labels, ["field", "value"], "left_anti")
     mapped = cut(map_values(rows.select("field", "value").distinct(), reference, wording))
     # a third of all rows may have one value: the few distinct ones travel to the rows, or each is split
-    return look_up(rows, mapped, ["field", "value"], salt=F.col("row_id")).select(F.col("row_id").cast("bigint"), "field", F.col("ref_id").cast("bigint"))
+    return look_up(rows, mapped, ["field", "value"]).select(F.col("row_id").cast("bigint"), "field", F.col("ref_id").cast("bigint"))
 
 
 def nearest_labels(values: DataFrame, reference: DataFrame, allowed: tuple[tuple[int, int], ...] = EDITS) -> DataFrame:

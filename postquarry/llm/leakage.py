@@ -179,14 +179,14 @@ def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_ke
                 if len(t):
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t)), pa.array(p), pa.array(h)], ["doc", "p", "h"])
 
-    hits = look_up(named.mapInArrow(scan, "doc bigint, p bigint, h bigint"), item_seeds, ["h"], salt=F.struct("doc", "p"))
+    hits = look_up(named.mapInArrow(scan, "doc bigint, p bigint, h bigint"), item_seeds, ["h"])
     pairs = cut(hits.groupBy("doc", "item").agg(F.collect_set(F.col("p") - F.col("at")).alias("diagonals")))
     carriers = BitFilter.of(pairs.select(F.xxhash64("doc")).distinct(), filter_bits)
     if is_small(pairs):
         sides = named.join(F.broadcast(pairs), "doc")
     else:
         sides = BitFilter.keep(named, F.xxhash64("doc"), carriers, filter_bits).join(pairs, "doc")
-    sides = look_up(sides, passages, ["item"], salt=F.col("doc"))
+    sides = look_up(sides, passages, ["item"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -121,8 +121,8 @@ def comparable(jobs: DataFrame, reference: DataFrame, cities: dict[str, str] = C
     name, second = employer(F.col("company"))
     rows = jobs.select("row_id", "source", "title", "company", "location").where("source is not null and title is not null and company is not null")
     rows = cut(rows.select("row_id", "source", "title", "location", name.alias("name"), second.alias("second"))).where("name <> ''")
-    rows = look_up(rows, cut(_titles(rows, reference)), ["title"], salt=F.col("row_id"))
-    rows = look_up(rows, cut(resolved_places(rows, cities)), ["location"], "left", salt=F.col("row_id"))
+    rows = look_up(rows, cut(_titles(rows, reference)), ["title"])
+    rows = look_up(rows, cut(resolved_places(rows, cities)), ["location"], "left")
     rows = rows.select("row_id", "source", "name", "second", "job", "entry", "level", F.coalesce("city", F.lit("")).alias("city"), "team")
     return rows.where(F.col("job").rlike(r"\p{L}{2}") & ~F.col("job").isin(*PLACEHOLDERS)).withColumn("pid", F.xxhash64("source", *ATTRIBUTES))
 
@@ -346,4 +346,4 @@ def linked_representatives(jobs: DataFrame, reference: DataFrame, confident: flo
 def represented(jobs: DataFrame, reference: DataFrame, cities: dict[str, str] = CITIES) -> DataFrame:
     """``row_id, representative``: the least row id of the rows that are alike in source and all attributes; rows that take part in no pair are left out."""
     rows = comparable(jobs, reference, cities)
-    return look_up(rows.select("pid", "row_id"), cut(profiles(rows).select("pid", F.col("row_id").alias("representative"))), ["pid"], salt=F.col("row_id")).select("row_id", "representative")
+    return look_up(rows.select("pid", "row_id"), cut(profiles(rows).select("pid", F.col("row_id").alias("representative"))), ["pid"]).select("row_id", "representative")
