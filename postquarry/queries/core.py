@@ -101,4 +101,44 @@ w AS (SELECT *, (fingerprint IS DISTINCT FROM lag(fingerprint) OVER (PARTITION B
 SELECT feed, file_name, exported_on::varchar AS exported_on, (sum(fresh) OVER (PARTITION BY feed ORDER BY exported_on, file_name))::bigint AS version, fingerprint, n_fields FROM w"""
 
 
-SQL = {"p4_found": _p4_sql(), "p5_found": _p5_sql(), "p3_versions": _P3_VERSIONS}
+def _p3_sql() -> str:
+    """The same steps in other words: every value as a row, no hashes, no fingerprints; used for small tables."""
+    amount = r"'^\d[\d, ]*( [A-Z]{3})?$'"
+    bare = r"""CASE kind WHEN 'object' THEN regexp_replace(regexp_replace(text, '"[^"]*":', '', 'g'), '[{}\[\]"]', '', 'g') WHEN 'array' THEN regexp_replace(regexp_replace(text, '^\["?|"?\]$', '', 'g'), '"?,"?', '; ', 'g') ELSE text END"""
+    t = f"lower(trim(regexp_replace(regexp_replace({bare}, '[;,] ?', '; ', 'g'), '\\s+', ' ', 'g')))"
+    plain = f"""CASE WHEN kind = 'number' AND regexp_full_match(text, '1\\d{{12}}') THEN strftime(epoch_ms(try_cast(text AS bigint)), '%Y-%m-%d')
+      WHEN regexp_matches(text, {amount}) THEN regexp_replace(regexp_replace(text, ' [A-Z]{{3}}$', ''), '[, ]', '', 'g') ELSE array_to_string(list_sort(string_split({t}, '; ')), '; ') END"""
+    return f"""
+    WITH r AS (SELECT record_id, feed, file_name, exported_on, record FROM job_files WHERE feed IS NOT NULL AND file_name IS NOT NULL AND json_valid(record) AND json_type(record) = 'OBJECT'),
+    k AS (SELECT record_id AS r, feed, file_name, exported_on, key AS field, value ->> '$' AS text, CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object'
+      WHEN 'NULL' THEN NULL ELSE 'number' END AS kind FROM r, json_each(r.record)),
+    n AS (SELECT feed, file_name, field, kind, CASE WHEN kind IS NULL THEN -1 ELSE count(*) END AS c FROM k GROUP BY feed, file_name, field, kind),
+    s AS (SELECT feed, file_name, field, kind AS type FROM n QUALIFY row_number() OVER (PARTITION BY feed, file_name, field ORDER BY c DESC, kind) = 1),
+    f AS (SELECT feed, file_name, min(exported_on) AS day FROM k GROUP BY 1, 2),
+    o AS (SELECT * FROM (SELECT feed, file_name, lag(file_name) OVER (PARTITION BY feed ORDER BY day, file_name) AS previous FROM f) WHERE previous IS NOT NULL),
+    d AS (SELECT coalesce(a.feed, b.feed) AS feed, coalesce(a.file_name, b.file_name) AS file_name, coalesce(a.field, b.field) AS field, a.field IS NOT NULL AS is_now, b.field IS NOT NULL AS was, a.type AS new, b.type AS old
+      FROM (SELECT o.feed, o.file_name, field, type FROM o JOIN s ON s.feed = o.feed AND s.file_name = o.file_name) a
+      FULL JOIN (SELECT o.feed, o.file_name, field, type FROM o JOIN s ON s.feed = o.feed AND s.file_name = o.previous) b ON a.feed = b.feed AND a.file_name = b.file_name AND a.field = b.field),
+    p AS (SELECT feed, file_name FROM d GROUP BY 1, 2 HAVING bool_or(was AND NOT is_now) AND bool_or(is_now AND NOT was)),
+    q AS (SELECT o.* FROM o JOIN p USING (feed, file_name)),
+    w AS (SELECT q.feed, q.file_name, k.file_name = q.file_name AS fresh, k.r, k.field, k.kind, k.text FROM q JOIN k ON k.feed = q.feed AND k.file_name IN (q.file_name, q.previous) WHERE k.kind IS NOT NULL),
+    x AS (SELECT w.*, d.was, d.is_now, d.was <> d.is_now OR coalesce(d.old <> d.new, d.old IS DISTINCT FROM d.new) AS dressed FROM w JOIN d USING (feed, file_name, field)),
+    y AS (SELECT * REPLACE (CASE WHEN h IN ('true', 'yes', 'y', '1') AND dressed THEN 'true' WHEN h IN ('false', 'no', 'n', '0') AND dressed THEN 'false' ELSE h END AS h) FROM (SELECT *, CASE WHEN dressed THEN {plain} ELSE text END AS h FROM x)),
+    m AS (SELECT feed, file_name, h, min(r) FILTER (fresh) AS new_r, max(r) FILTER (fresh) AS new_z, min(r) FILTER (NOT fresh) AS old_r, max(r) FILTER (NOT fresh) AS old_z FROM y WHERE kind <> 'boolean' GROUP BY 1, 2, 3 HAVING new_r = new_z AND old_r = old_z),
+    v AS (SELECT feed, file_name, new_r, old_r, count(*) AS c FROM m GROUP BY 1, 2, 3, 4),
+    v1 AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY feed, file_name, new_r ORDER BY c DESC, old_r) = 1),
+    v2 AS (SELECT * FROM v1 QUALIFY row_number() OVER (PARTITION BY feed, file_name, old_r ORDER BY c DESC, new_r) = 1),
+    v3 AS (SELECT * FROM (SELECT *, max(c) OVER (PARTITION BY feed, file_name) AS most FROM v2) WHERE c * 3 >= most),
+    g AS (SELECT v3.feed, v3.file_name, a.field AS gone, b.field AS came, count(*) AS n, avg((a.h = b.h)::int) AS share, count(DISTINCT a.h) AS kinds, avg((a.h = 'true')::int) AS pt, avg((b.h = 'true')::int) AS qt
+      FROM v3 JOIN y a ON a.feed = v3.feed AND a.file_name = v3.file_name AND a.r = v3.old_r AND NOT a.fresh AND a.was AND NOT a.is_now
+      JOIN y b ON b.feed = v3.feed AND b.file_name = v3.file_name AND b.r = v3.new_r AND b.fresh AND b.is_now AND NOT b.was GROUP BY 1, 2, 3, 4),
+    h AS (SELECT *, pt * qt + (1 - pt) * (1 - qt) AS chance, 1 - levenshtein(lower(gone), lower(came)) / greatest(length(gone), length(came)) AS alike FROM g),
+    i AS (SELECT * FROM h WHERE (kinds > 2 AND share >= {drift.AGREE}) OR (kinds <= 2 AND share >= {drift.AGREE_FLAGS} AND (alike >= {drift.ALIKE} OR (kinds = 2 AND chance < 1 AND (share - chance) / (1 - chance) >= {drift.ABOVE_CHANCE})))),
+    z AS (SELECT feed, file_name, gone, came FROM i QUALIFY row_number() OVER (PARTITION BY feed, file_name, gone ORDER BY share DESC, n DESC, alike DESC, came) = 1 AND row_number() OVER (PARTITION BY feed, file_name, came ORDER BY share DESC, n DESC, alike DESC, gone) = 1)
+    SELECT file_name, gone AS field, 'renamed' AS change, came AS new_field FROM z
+    UNION ALL SELECT d.file_name, d.field, CASE WHEN d.was THEN 'removed' ELSE 'added' END, '' FROM d WHERE was <> is_now AND NOT EXISTS (SELECT 1 FROM z WHERE z.feed = d.feed AND z.file_name = d.file_name AND d.field = CASE WHEN d.was THEN gone ELSE came END)
+    UNION ALL SELECT file_name, field, 'type_changed', '' FROM d WHERE was AND is_now AND old <> new
+    UNION ALL SELECT z.file_name, z.came, 'type_changed', '' FROM z JOIN d a ON a.feed = z.feed AND a.file_name = z.file_name AND a.field = z.gone JOIN d b ON b.feed = z.feed AND b.file_name = z.file_name AND b.field = z.came WHERE a.old <> b.new"""
+
+
+SQL = {"p3_found": _p3_sql(), "p4_found": _p4_sql(), "p5_found": _p5_sql(), "p3_versions": _P3_VERSIONS}
