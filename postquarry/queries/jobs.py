@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
@@ -72,10 +72,8 @@ def skills_by_category(spark, d):
 SELECT skill, total_count, 100.0::double * total_count / (SELECT count(*) FROM combined_jobs) AS pct FROM t ORDER BY total_count DESC, skill LIMIT 10 OFFSET 10""")
 def skills_page2_pct(spark, d):
     df = jobs(spark, d)
-    n = df.agg(F.count("*").alias("n"))
-    counts = _skills(df).select("skill", "total_count")
-    paged = analytics.page(counts, 2, 10, F.desc("total_count"), F.col("skill"))
-    return paged.join(F.broadcast(n)).select("skill", "total_count", X.percent(F.col("total_count"), F.col("n")).alias("pct"))
+    paged = analytics.page(_skills(df).select("skill", "total_count"), 2, 10, F.desc("total_count"), F.col("skill"))
+    return paged.select("skill", "total_count", X.percent(F.col("total_count"), F.lit(df.count())).alias("pct"))
 
 
 def _unescape_sql(c: str) -> str:
@@ -260,8 +258,8 @@ def date_display(spark, d):
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 30 DAY")
 def recent_window(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
-    last = o.agg(F.max("o_orderdate").alias("last"))
-    return o.join(F.broadcast(last), F.col("o_orderdate") >= F.col("last") - F.expr("interval 30 days")).select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    last = o.agg(F.max("o_orderdate").alias("last")).first()["last"]  # a literal, so that the filter reaches the files
+    return o.where(F.col("o_orderdate") >= F.lit(last - timedelta(days=30)).cast(o.schema["o_orderdate"].dataType)).select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
 
 
 @query("SELECT source, min(posting_date) AS first_posted, max(posting_date) AS last_posted FROM combined_jobs GROUP BY 1")
