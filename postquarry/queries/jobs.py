@@ -12,7 +12,7 @@ from ..functions import markup, sections
 from ..operators import analytics, quality, rules, tables
 from ..plans import dashboard
 from ..session import shared_folder, table
-from ..sources import readers
+from ..sources import readers, sinks
 from ..streaming import ingest
 
 QUERIES: dict = {}
@@ -563,3 +563,102 @@ def poll_windows(spark, d):
     narrow = readers.poll_landed(o, "o_orderdate", day(0), day(-2).isoformat(), 30, key="o_orderkey", present=("o_orderpriority",))
     wide = readers.poll_landed(o, "o_orderdate", day(10), day(5).isoformat(), 30, key="o_orderkey")
     return narrow.select(F.lit("narrow").alias("way"), "o_orderkey").unionByName(wide.select(F.lit("wide").alias("way"), "o_orderkey"))
+
+
+def _own_folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}_{uuid.uuid4().hex}"
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS version FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0""")
+def table_upsert(spark, d):
+    """A table written and upserted by bucket, read from its last version."""
+    path, c = _own_folder(spark, "table"), table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    sinks.upsert_table(c.where("c_custkey % 2 = 0").withColumn("version", F.lit(1)), path, "c_custkey", F.col("version"), buckets=8)
+    twice = c.where("c_custkey % 3 = 0").withColumn("segment", F.lit("new"))
+    sinks.upsert_table(twice.withColumn("version", F.lit(0)).unionByName(twice.withColumn("version", F.lit(2))), path, "c_custkey", F.col("version"))
+    return sinks.read_table(spark, path, "c_custkey bigint, segment string, version int").select(F.col("c_custkey").cast("bigint"), "segment", "version")
+
+
+@query("SELECT c_custkey::varchar AS id, c_mktsegment AS title, c_custkey % 5 <> 0 AS active FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 5 <> 0")
+def snapshot_table(spark, d):
+    """Two full snapshots, one after the other: what the second lacks is inactive; an empty one changes nothing."""
+    path, c = _own_folder(spark, "snapshots"), table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("title"))
+    each = ingest.reconciling(path, "id", F.col("title"))
+    for n, snapshot in enumerate((c.where("k % 3 <> 0"), c.where("k % 5 <> 0"), c.where("false"))):
+        each(snapshot.drop("k"), n)
+    return sinks.read_table(spark, path, "id string, title string, active boolean").select("id", "title", "active")
+
+
+@query("SELECT DISTINCT user_id::varchar AS id FROM events")
+def known_ids(spark, d):
+    path, e = _own_folder(spark, "seen"), table(spark, d, "events").select(F.col("user_id").alias("id"), "event_id")
+    for k in (0, 1, 1):
+        sinks.remember(e.where(F.col("event_id") % 2 == k), path)
+    return sinks.read_table(spark, path, "id string").select("id")
+
+
+@query("""SELECT event_id AS total_jobs, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE ts > TIMESTAMP '2024-01-10 00:00:00'""")
+def runs_table(spark, d):
+    path, e = _own_folder(spark, "runs"), table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_id").alias("total_jobs"))
+    now = F.lit("2024-02-09").cast("timestamp")
+    sinks.record_run(e.where("total_jobs % 2 = 0"), path, now)
+    sinks.record_run(e.where("total_jobs % 2 = 1"), path, now)
+    return sinks.read_table(spark, path, "timestamp timestamp, total_jobs bigint").select("total_jobs", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("""SELECT row_id::varchar AS row_id, nullif(title, '') AS title, nullif(description, '') AS description, nullif(company, '') AS company FROM combined_jobs""")
+def csv_table(spark, d):
+    """Titles and whole descriptions, quotes and line ends in them, through a CSV file."""
+    path = _own_folder(spark, "csv")
+    cols = [F.col("row_id").cast("string"), *[F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("title", "description", "company")]]
+    table(spark, d, "combined_jobs").select(*cols).write.option("header", True).option("quoteAll", True).option("escape", '"').option("nullValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return readers.read_csv(spark, path)
+
+
+@query("""SELECT p_partkey::varchar AS id, p_name || ' & ' || p_brand AS title, '/jobs/' || p_partkey AS link FROM part""")
+def page_tiles(spark, d):
+    """Parts as tiles of result pages, fifty a page, parsed back."""
+    tile = F.concat(F.lit('<div class="tile" data-job-id="'), F.col("p_partkey"), F.lit('"><h3><a href="/jobs/'), F.col("p_partkey"), F.lit('">'), F.col("p_name"), F.lit(" &amp; "), F.col("p_brand"), F.lit("</a></h3><p>x</p></div>"))
+    pages = table(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 50).alias("page")).agg(F.concat_ws("\n", F.lit("<main>"), F.collect_list(tile)).alias("html"))
+    return pages.select(F.explode(markup.tiles(F.col("html"))).alias("t")).select("t.id", "t.title", "t.link")
+
+
+@query("""SELECT row_id, coalesce(trim(regexp_replace(title, '\\s+', ' ', 'g')), '') AS said, 'Data' AS category FROM combined_jobs WHERE title IS NOT NULL AND NOT regexp_matches(title, '[<>&`]|https?://| - | • ') AND NOT regexp_matches(title, '^\\s|\\s$|\\s\\s')""")
+def page_details(spark, d):
+    """Titles as the paragraph under a heading of a detail page, found again."""
+    t = table(spark, d, "combined_jobs").where(F.col("title").isNotNull() & ~F.col("title").rlike(r"[<>&`]|https?://| - | • ") & ~F.col("title").rlike(r"^\s|\s$|\s\s"))
+    page = F.concat(F.lit('<a href="/x?category=data"><b>Data</b></a><h2>Basic</h2><p>no</p><h2 class="q">The DESCRIPTION</h2> <p>'), F.col("title"), F.lit("</p><h2>Basic</h2><p>z</p>"))
+    return t.select("row_id", markup.after_heading(page, "description").alias("said"), markup.category_link(page).alias("category"))
+
+
+def _heading_sql() -> str:
+    label = "CASE " + " ".join("WHEN regexp_matches(line, '" + "|".join(f"(?:{p})" for p in v).replace("'", "''").replace("\\&", "&") + f"', 'i') THEN '{k}'" for k, v in sections.HEADINGS.items()) + " END"
+    whole = "|".join(f"(?:{p})" for v in sections.HEADINGS.values() for p in v).replace("'", "''").replace("\\&", "&")
+    return f"""SELECT label, heading, count(*) AS n FROM (SELECT {label} AS label, bare <> '' AND len(regexp_split_to_array(bare, '\\s+')) <= 6 AND regexp_matches(bare, '^(?:{whole})\\s*:?$', 'i') AS heading
+FROM (SELECT line, regexp_replace(line, '^[\\s*#:]+|[\\s*#:]+$', '', 'g') AS bare FROM (SELECT unnest(regexp_split_to_array(text, '\\r?\\n|[.] ')) AS line FROM documents))) GROUP BY 1, 2"""
+
+
+@query(_heading_sql())
+def heading_lines(spark, d):
+    """Lines of documents by the section that a heading of that wording has, and whether they are nothing but a heading."""
+    lines = table(spark, d, "documents").select(F.explode(F.split("text", r"\r?\n|[.] ")).alias("line"))
+    return lines.groupBy(sections.heading_label(F.col("line")).alias("label"), sections.is_heading(F.col("line")).alias("heading")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS ordinal, o_orderkey FROM orders""")
+def row_ordinals(spark, d):
+    return analytics.ranked(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), F.col("o_orderdate"), F.col("o_orderkey")).select(F.col("rank").alias("ordinal"), "o_orderkey")
+
+
+@query("SELECT DISTINCT company AS value FROM combined_jobs WHERE company <> ''")
+def sorted_companies(spark, d):
+    return analytics.sorted_distinct(table(spark, d, "combined_jobs"), "company")
+
+
+@query("""SELECT row_id, trim(regexp_replace(lower(company), '\\s+', ' ', 'g')) AS collapsed, regexp_replace(u, '^(.*?)/search\\?', '\\1/search.json?') AS endpoint, ceil(row_id / 50)::bigint AS pages,
+upper(source[1]) || lower(source[2:]) || '_Feed' AS titled FROM (SELECT *, CASE WHEN row_id % 2 = 0 THEN 'https://h/search?a=' || row_id ELSE 'https://h/x' END AS u FROM combined_jobs)""")
+def text_functions(spark, d):
+    u = F.when(F.col("row_id") % 2 == 0, F.concat(F.lit("https://h/search?a="), F.col("row_id"))).otherwise("https://h/x")
+    return table(spark, d, "combined_jobs").select(
+        "row_id", X.collapse(F.col("company")).alias("collapsed"), X.json_endpoint(u).alias("endpoint"), X.pages(F.col("row_id"), 50).alias("pages"), X.titled(F.concat("source", F.lit("_feed"))).alias("titled")
+    )
