@@ -20,6 +20,11 @@ def p3_table(spark, d):
     return drift.unified_table(table(spark, d, "job_files"))
 
 
+def p3_kept(spark, d):
+    """How many values of each record the unified table has in its long form: all that the record has."""
+    return drift.unified_rows(table(spark, d, "job_files")).select("record_id", F.size("fields").cast("bigint").alias("n_values"))
+
+
 def p4_found(spark, d):
     return snapshots.snapshot_changes(table(spark, d, "amazon_api_jobs"), defaults={"active": True})
 
@@ -28,7 +33,7 @@ def p5_found(spark, d):
     return timestamps.odd_timestamps(table(spark, d, "combined_jobs"), table(spark, d, "feed_sources"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_versions, p3_table, p4_found, p5_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_versions, p3_table, p3_kept, p4_found, p5_found)}
 
 _P4_COLUMNS = (
     "api_id title role company city country_code normalized_location location job_category job_schedule_type is_manager is_intern "
@@ -141,4 +146,6 @@ def _p3_sql() -> str:
     UNION ALL SELECT z.file_name, z.came, 'type_changed', '' FROM z JOIN d a ON a.feed = z.feed AND a.file_name = z.file_name AND a.field = z.gone JOIN d b ON b.feed = z.feed AND b.file_name = z.file_name AND b.field = z.came WHERE a.old <> b.new"""
 
 
-SQL = {"p3_found": _p3_sql(), "p4_found": _p4_sql(), "p5_found": _p5_sql(), "p3_versions": _P3_VERSIONS}
+_P3_KEPT = "SELECT record_id, (SELECT count(*) FROM json_each(record) WHERE type <> 'NULL') AS n_values FROM job_files WHERE feed IS NOT NULL AND file_name IS NOT NULL AND json_valid(record) AND json_type(record) = 'OBJECT'"
+
+SQL = {"p3_kept": _P3_KEPT, "p3_found": _p3_sql(), "p4_found": _p4_sql(), "p5_found": _p5_sql(), "p3_versions": _P3_VERSIONS}
