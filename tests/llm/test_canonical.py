@@ -72,3 +72,12 @@ def test_join_finds_what_brute_force_finds(spark):
 def test_levels(spark):
     df = spark.createDataFrame([(t,) for t in ("Sr. Planner", "Erfahrener Planer", "Planificador sénior", "Planner", "Seinor Planner", "Lead X", None, "")], "t string")
     assert [r[0] for r in df.select(C.level(F.col("t"))).collect()] == ["senior", "senior", "senior", "none", "senior", "lead", "none", "none"]
+
+
+def test_wording_is_reference_data(spark):
+    refs = spark.createDataFrame([(1, "title", "Signal Keeper", None)], "ref_id bigint, field string, label string, alt_labels array<string>")
+    rows = spark.createDataFrame([(1, "Elder Sgn Kpr", ""), (2, "Signal Keeper (night)", None), (3, "Senior Signal Keeper", None)], "row_id bigint, title string, job_category string")
+    of = lambda w: {r.row_id: r.ref_id for r in C.canonical_matches(rows, refs, wording=w).collect()}
+    own = C.Wording(levels={"senior": "elder"}, short_forms={"signal keeper": "sgn_kpr"}, notes="night")
+    assert of(own)[1] == 1 and of(own)[2] == 1 and of(C.USUAL)[1] == -1 and of(C.USUAL)[3] == 1
+    assert {r.value: r.edits for r in C.nearest_labels(C.entered_values(rows), refs).collect()} == {}
