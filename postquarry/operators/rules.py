@@ -29,14 +29,14 @@ class Rules:
     lone_bonuses: tuple[tuple[str, float], ...] = ()
 
 
-#: What a named tie-breaker of a rules file does: overrides by title pattern, bonuses of one category over another.
+# What a named tie-breaker of a rules file does, overrides by title pattern, bonuses of one category over another.
 TIE_BREAKERS: dict[str, dict] = {
     "ml_over_data_science": {"bonus": ("Machine Learning Science", "Data Science", 0.5)},
     "bi_over_data_science": {"bonus": ("Business Intelligence", "Data Science", 0.5)},
     "solutions_architect_override": {"override": (r"\bsolutions? architect\b", "Solutions Architect")},
     "security_override": {"override": (r"\bsecurity\b", "Security")},
 }
-#: The category that its own title words always promote.
+# The category that its own title words always promote, and by how much.
 PROMOTED = (("Project/Program/Product Management--Technical", 0.5),)
 
 
