@@ -5,19 +5,20 @@ one); headings, term lists and figures are no sentences.  Words get their syllab
 patterns of their language: numbers between letters, of which the highest at a place counts, and an odd one
 parts the word there.  Each sentence gets the grades of several formulas; their median is the
 sentence's grade, and the median over sentences that of the text, so that a few sentences of another
-level, or a foreign passage, don't move it.  The cuts between the levels are fitted per language on a bounded
-sample of rated documents.
+level, or a foreign passage, don't move it.  The cuts between the levels are fitted per language on all
+rated documents.
 
-The language is an input column.  What the words of a language are that hold sentences together is learned from a bounded
-sample of the documents themselves, and so is the language of a document that names none.
+The language is an input column.  What the words of a language are that hold sentences together is learned from all
+the documents themselves, and so is the language of a document that names none.
 Tokens of a whole Arrow batch are found at once, the work per word is done once per distinct word, the rest is
-arithmetic on arrays; there is no shuffle but for the join with the ratings.
+arithmetic on arrays; word counts and grades are shuffled, texts never.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,22 +28,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, is_small
+from ..operators.analytics import running
+from ..session import cut, look_up
 from .words import slices
 
-#: Rated documents used to fit the cuts, at most.
-MAX_RATED = 20_000
 #: Ratings that a language needs for cuts of its own.
 LEAST_RATED = 40
 #: A sentence has so many words at least.
 LEAST_WORDS = 4
-#: Documents of each declared language, of so many characters at most, from which its common words are learned.
-MAX_LEARNED, MAX_CHARS = 300, 20_000
-#: A word is common in a language if this share of the learned documents has it.
+#: A word is common in a language if this share of its documents with any word has it.
 COMMON = 0.25
-#: A language that fewer learned documents declare has no words of its own.
+#: A language that fewer documents declare has no words of its own.
 LEAST_DECLARED = 20
-#: Distinct words that a worker remembers between batches.
+#: Distinct words that a worker remembers between batches, or counts before it hands them on.
 REMEMBERED = 300_000
 
 # Abbreviations whose full stop ends no sentence.
@@ -131,8 +129,9 @@ class Patterns:
         return max(n + vowel, 1)
 
 
-_TAG = re.compile(r"<(?:br|/?(?:p|li|ul|ol|div|h\d|tr|td))\b[^<>]*>|<!--.*?-->", re.I | re.S)
-_INLINE = re.compile(r"</?[a-zA-Z][^<>]*>")
+# a tag or remark that is never closed ends with its text
+_TAG = re.compile(r"<(?:br|/?(?:p|li|ul|ol|div|h\d|tr|td))\b[^<>\x01]*>|<!--[^\x01]*?-->", re.I)
+_INLINE = re.compile(r"</?[a-zA-Z][^<>\x01]*>")
 _SEP = "\x01"
 # a bullet at a line's start; a word with the mark that ends its sentence; such a mark alone; commas; line and text ends
 _TOKEN = re.compile(
@@ -209,32 +208,69 @@ class Words:
         return self.syllables[codes, lang]
 
 
+def word_counts(texts: list[str | None], langs: list[str]) -> pd.DataFrame:
+    """``lang, word, n``: the texts of each language that have a word; the word '' counts those that have any."""
+    code, names = pd.factorize(np.array(tokens(texts), object))
+    text = np.cumsum(code == 0) - 1  # the first token is a separator
+    word, bases = pd.factorize(np.array([_BASE.match(x)[0].lower() if token_kind(x) & WORD else "" for x in names], object))
+    word, size = word[code], len(bases)
+    pairs = pd.unique((text * size + word)[word > 0])
+    pairs = np.concatenate([pairs, pd.unique(pairs // size) * size])
+    lang, said = pd.factorize(np.array(langs, object))
+    at, n = np.unique(lang[pairs // size] * size + pairs % size, return_counts=True)
+    return pd.DataFrame({"lang": said[at // size], "word": bases[at % size], "n": n})
+
+
+def least_counts(texts: dict[str, int], total: int) -> dict[str, float]:
+    """Language -> the texts that have a common word of it, at least; '' for all of the ``total`` together, where no language has ``LEAST_DECLARED`` texts.
+
+    The share is half of ``COMMON`` there, as languages may be mixed, but for many texts of which none declares any.
+    """
+    named = {lang: COMMON * n for lang, n in texts.items() if lang and n >= LEAST_DECLARED}
+    mixed = texts.get("", 0) < max(total, LEAST_DECLARED)
+    return named or ({"": COMMON * total / (1 + mixed)} if total else {})
+
+
 def common_words(texts: list[str], langs: list[str]) -> dict[str, frozenset[str]]:
-    """Language -> the words that the share ``COMMON`` of its texts have; '' for all, where no language has ``LEAST_DECLARED`` texts."""
-    sets = [{_BASE.match(x)[0].lower() for x in tokens([t]) if token_kind(x) & WORD} for t in texts]
-    out = {}
-    for lang in sorted(set(langs)):
-        mine = [s for s, k in zip(sets, langs) if k == lang]
-        if len(mine) >= LEAST_DECLARED:
-            n = pd.Series([w for s in mine for w in s], dtype=object).value_counts()
-            out[lang] = frozenset(n.index[n >= COMMON * len(mine)])
-    if not out and sets:
-        n = pd.Series([w for s in sets for w in s], dtype=object).value_counts()
-        out[""] = frozenset(n.index[n >= COMMON / 2 * len(sets)])
-    return out
+    """What ``learn`` finds, for texts in memory."""
+    n = word_counts(texts, langs)
+    any_word = n["word"] == ""
+    least = least_counts(dict(zip(n["lang"][any_word], n["n"][any_word].tolist())), int(n["n"][any_word].sum()))
+    n = n[~any_word].assign(**{"lang": ""} if "" in least else {}).groupby(["lang", "word"], as_index=False)["n"].sum()
+    return {lang: frozenset(n["word"][(n["lang"] == lang) & (n["n"] >= k)]) for lang, k in least.items()}
 
 
 def learn(docs: DataFrame, text: str, lang: str) -> dict[str, frozenset[str]]:
-    """Common words from ``MAX_LEARNED`` documents per declared language at most, chosen by a hash of their text."""
-    rows = docs.select(F.col(text).cast("string").alias("t"), F.coalesce(F.lower(F.col(lang).cast("string")), F.lit("")).alias("l")).where(F.length("t").between(100, MAX_CHARS))
-    rows = rows.withColumn("h", F.xxhash64("t"))
-    n = rows.groupBy("l").count()
-    rows = rows.join(F.broadcast(n) if is_small(n) else n, "l").where((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("count") < MAX_LEARNED)
-    # about so many by the threshold on the hash; a sort of all is not needed
-    got = rows.select("t", "l").toPandas()
-    named = got[got["l"] != ""]
-    got = named if len(named) else got
-    return common_words(got["t"].tolist(), got["l"].tolist())
+    """Common words of each declared language, counted in all documents; only those come to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def handed() -> pa.RecordBatch:
+            langs, names = zip(*seen) if seen else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(names, pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
+
+        seen: Counter[tuple[str, str]] = Counter()
+        for whole in batches:
+            for b in slices(whole):
+                n = word_counts(b.column(0).to_pylist(), b.column(1).to_pylist())
+                seen.update(dict(zip(zip(n["lang"], n["word"]), n["n"].tolist())))
+                if len(seen) > REMEMBERED:
+                    yield handed()
+                    seen.clear()
+        yield handed()
+
+    rows = docs.select(F.col(text).cast("string"), F.coalesce(F.lower(F.col(lang).cast("string")), F.lit("")))
+    counts = cut(rows.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    texts = counts.where("word = ''")
+    enough = texts.where(F.col("n") >= LEAST_DECLARED)
+    least = least_counts({r["lang"]: r["n"] for r in enough.collect()}, texts.agg(F.sum("n")).first()[0] or 0)
+    if "" in least:
+        found = counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least[""]).select(F.lit("").alias("lang"), "word")
+    else:
+        found = look_up(counts, enough.where("lang <> ''").select("lang", (F.col("n") * COMMON).alias("least")), ["lang"]).where("n >= least")
+    out: dict[str, set[str]] = {x: set() for x in least}
+    for r in found.where("word <> ''").select("lang", "word").collect() if least else ():
+        out[r["lang"]].add(r["word"])
+    return {x: frozenset(w) for x, w in out.items()}
 
 
 def sentence_grades(n_words, n_syll, n_long, n_chars, n_poly, lang: np.ndarray) -> np.ndarray:
@@ -334,25 +370,53 @@ def reading_grades(docs: DataFrame, key: str = "doc_id", text: str = "text", lan
     return rows.mapInArrow(run, f"key {kind}, lang_used string, grade double, n_sentences int").withColumnRenamed("key", key)
 
 
+def _between(below: float, above: float | None) -> float:
+    """A cut between two neighbouring grades, or outside of the first or the last one."""
+    if above is None or np.isinf(below):
+        return below + 1 if above is None else above - 1
+    middle = (below + above) / 2
+    return middle if middle < above else below  # neighbouring floats
+
+
 def fit_cuts(rated: pd.DataFrame) -> dict[str, tuple[float, float]]:
-    """Language -> the two cuts between levels 1, 2 and 3 with the fewest wrong levels; '' for all languages together."""
+    """What ``fitted_cuts`` finds, for a table in memory."""
 
     def best(grade: np.ndarray, level: np.ndarray, upper: int) -> float:
-        order = np.argsort(grade, kind="stable")
-        g, above = grade[order], (level[order] >= upper).astype(int)
-        wrong = np.concatenate([[0], np.cumsum(above)]) + np.concatenate([np.cumsum((1 - above)[::-1])[::-1], [0]])
+        g, place = np.unique(grade, return_inverse=True)
+        wrong = np.concatenate([[0], np.cumsum(np.bincount(place, np.where(level >= upper, 1, -1)))])
         at = np.flatnonzero(wrong == wrong.min())
         at = at[len(at) // 2]
-        return float(g[0] - 1 if at == 0 else g[-1] + 1 if at == len(g) else (g[at - 1] + g[at]) / 2)
+        return _between(float(g[at - 1]) if at else -np.inf, float(g[at]) if at < len(g) else None)
 
     cuts = {}
-    for lang, x in [("", rated), *rated.groupby("lang_used")]:
+    for lang, x in [("", rated), *rated[rated["lang_used"] != ""].groupby("lang_used")]:
         if len(x) and (lang == "" or len(x) >= LEAST_RATED):
             g, lv = x["grade"].to_numpy(float), x["level"].to_numpy(float)
             cuts[lang] = (best(g, lv, 2), best(g, lv, 3))
     return cuts
 
 
+def fitted_cuts(rated: DataFrame) -> dict[str, tuple[float, float]]:
+    """Language -> the two cuts between levels 1, 2 and 3 with the fewest wrong levels among all rows of ``lang_used, grade, level``; '' for all languages together.
+
+    A cut never parts equal grades; of several that are as good the middle one counts.  Wrong levels are running totals in ranges of the
+    grades; to the driver come two rows per language.
+    """
+    key = ["lang", "upper"]
+    rows = rated.select(F.explode(F.array_distinct(F.array(F.lit(""), F.col("lang_used")))).alias("lang"), "grade", "level").withColumn("upper", F.explode(F.array(F.lit(2), F.lit(3))))
+    # the place before all grades is a cut too
+    places = F.array(F.struct(F.col("grade"), F.lit(1).alias("n")), F.struct(F.lit(float("-inf")).alias("grade"), F.lit(0).alias("n")))
+    rows = rows.select(*key, "level", F.explode(places).alias("p")).groupBy(*key, F.col("p.grade").alias("grade"))
+    steps = rows.agg(F.sum("p.n").alias("n"), F.sum(F.when(F.col("level") >= F.col("upper"), F.col("p.n")).otherwise(-F.col("p.n"))).alias("step"))
+    steps = cut(running(steps.withColumn("place", F.struct(*key, "grade")), "place", {"wrong": "step"}).drop("place"))
+    fewest = steps.groupBy(*key).agg(F.min("wrong").alias("wrong"), F.sum("n").alias("n")).where((F.col("lang") == "") | (F.col("n") >= LEAST_RATED)).drop("n")
+    tied = look_up(steps, fewest, [*key, "wrong"]).groupBy(*key).agg(F.expr("percentile_disc(0.5) within group (order by grade desc)").alias("below"))
+    tied = cut(tied)
+    above = look_up(steps, tied, key).groupBy(*key, "below").agg(F.min(F.when(F.col("grade") > F.col("below"), F.col("grade"))).alias("above"))
+    found = {(r["lang"], r["upper"]): _between(r["below"], r["above"]) for r in above.collect()}
+    return {lang: (found[lang, 2], found[lang, 3]) for lang in sorted({x for x, _ in found})}
+
+
 def level_column(cuts: dict[str, tuple[float, float]], grade: Column, lang: Column) -> Column:
     """The level of a grade; without any ratings the usual school grades 6 and 12 part the levels."""
     low, high = cuts.get("", (6.0, 12.0))
@@ -364,11 +428,10 @@ def reading_levels(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", tex
     """``key, reading_level, grade, lang_used`` of every document with running text.
 
     A document's rating is the median of its non-null ratings (a tie goes down); ratings of unknown documents and null ratings
-    don't count.  The cuts are fitted on ``MAX_RATED`` rated documents at most, chosen by a hash of their key.
+    don't count.  The cuts are fitted on all rated documents.
     Repeated documents are graded each.  An empty table gives an empty table.
     """
     grades = cut(reading_grades(docs, key, text, lang))
     rated = ratings.where("reading_level between 1 and 3").groupBy(F.col(key)).agg(F.expr("percentile_disc(0.5) within group (order by reading_level)").cast("double").alias("level"))
-    sample = grades.where("grade is not null").join(rated, key).orderBy(F.xxhash64(key)).limit(MAX_RATED).select("lang_used", "grade", "level").toPandas()
-    cuts = fit_cuts(sample)
+    cuts = fitted_cuts(grades.where("grade is not null").join(rated, key).select("lang_used", "grade", "level"))
     return grades.where("grade is not null").select(key, level_column(cuts, F.col("grade"), F.col("lang_used")).alias("reading_level"), "grade", "lang_used")

@@ -65,3 +65,59 @@ def test_cuts():
 def test_level_column(spark):
     df = spark.createDataFrame([(1.0, "en"), (5.0, "en"), (9.0, "xx")], "g double, l string")
     assert [r[0] for r in df.select(R.level_column({"en": (2.0, 4.0), "": (5.0, 7.0)}, F.col("g"), F.col("l"))).collect()] == [1, 3, 3]
+
+
+def test_common_words_are_counted_in_all_documents(spark):
+    # 400 documents of one language: each of four words is in 99 to 102 of them, so that only whole counts tell which are common
+    has = {"alpha": range(99), "beta": range(300, 400), "gamma": range(100, 201), "delta": range(150, 252)}
+    long = "filler " * 4000  # more than 20,000 characters
+    docs = [(i, " ".join(["you", *(w for w, at in has.items() if i in at), long if i >= 390 else "box"]), "EN" if i % 2 else "en") for i in range(400)]
+    docs += [(400 + i, "die", "de") for i in range(20)] + [(500, None, "en"), (501, " 7 ", "en"), (502, "die", None), (503, "you", "fr")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string").repartition(3)
+    want = {"en": {"you", "box", "beta", "gamma", "delta"}, "de": {"die"}}
+    assert R.learn(df, "text", "lang") == want
+    assert R.common_words([t for _, t, _ in docs], [(x or "").lower() for _, _, x in docs]) == want
+    unnamed = df.withColumn("lang", F.lit(None).cast("string"))
+    assert R.learn(unnamed, "text", "lang") == {"": {"you", "box"}} and R.learn(df.limit(0), "text", "lang") == {}
+    few = df.where("doc_id >= 410")  # no language has 20 documents: half the share of all
+    assert R.learn(few, "text", "lang") == {"": {"die"}}
+
+
+def test_counts_are_handed_on(spark, monkeypatch):
+    docs = [(i, f"you see box {i % 7} word{chr(97 + i % 26)}", "en") for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    whole = R.learn(df, "text", "lang")
+    monkeypatch.setattr(R, "REMEMBERED", 2)
+    assert R.learn(df, "text", "lang") == whole == {"en": {"you", "see", "box"}}
+
+
+def test_an_open_tag_ends_with_its_text():
+    words = R.Words({"en": frozenset("we you a".split())})
+    texts = ["We pay you each week. <b unclosed <!-- open", "You see a --> and > in a text.", "The job is fun for you."]
+    assert R._profile(texts, ["en"] * 3, words)["n_sentences"].tolist() == [1, 1, 1]
+    assert R._profile(texts[1:2], ["en"], words)["grade"][0] == R._profile(texts, ["en"] * 3, words)["grade"][1]
+
+
+def test_cuts_are_fitted_on_all_ratings(spark):
+    # 30,000 ratings whose middle is rated otherwise in a few: any part of them gives other cuts
+    i = pd.Series(range(30_000))
+    x = pd.DataFrame({"lang_used": (i % 3).map({0: "en", 1: "de", 2: ""}), "grade": (i * 7919 % 30_011) / 64.0, "level": 0.0})
+    x["level"] = (x["grade"] > 150).astype(float) + (x["grade"] > 300.015625) + 1
+    x.loc[i % 10 == 0, "level"] = (i * 31 % 3 + 1).astype(float)
+    x = pd.concat([x, pd.DataFrame({"lang_used": ["es"] * 39 + ["fr"] * 40, "grade": [1.0] * 39 + [2.0] * 20 + [4.0] * 20, "level": [3.0] * 39 + [1.0] * 20 + [3.0] * 20})])
+    got = R.fitted_cuts(spark.createDataFrame(x).repartition(5))
+    assert got == R.fit_cuts(x) and set(got) == {"", "de", "en", "fr"} and got["fr"] == (3.0, 3.0)
+    assert R.fitted_cuts(spark.createDataFrame(x).limit(0)) == {}
+    # the best place of all is the one that whole counts give
+    for k, upper in enumerate((2, 3)):
+        order = x.sort_values("grade").groupby("grade")["level"].agg(up=lambda v: (v >= upper).sum(), n="size")
+        wrong = (2 * order["up"] - order["n"]).cumsum()
+        assert wrong[wrong.index <= got[""][k]].iloc[-1] == min(0, wrong.min())
+
+
+def test_equal_grades_are_not_parted(spark):
+    # one above among equals at 2.0: a cut within them would count as right what it can't part
+    x = pd.DataFrame({"lang_used": ["en"] * 9, "grade": [1.0] * 3 + [2.0] * 3 + [3.0] * 3, "level": [1.0] * 3 + [1.0, 3.0, 3.0] + [3.0] * 3})
+    assert R.fit_cuts(x) == R.fit_cuts(x.iloc[::-1]) == R.fitted_cuts(spark.createDataFrame(x)) == {"": (1.5, 1.5)}
+    y = pd.DataFrame({"lang_used": ["en"], "grade": [3.0], "level": [2.0]})
+    assert R.fit_cuts(y)[""] == R.fitted_cuts(spark.createDataFrame(y))[""] == (2.0, 4.0)
